@@ -73,6 +73,26 @@ def rate_of_change(df: DataFrame, cols: Sequence[str] = ("value",), *,
     return halo_apply(df, list(keys), fn, block_slots=block_slots, lookback=lb)
 
 
+def tag_features(df: DataFrame, cols: Sequence[str] = ("value",), *,
+                 windows: Mapping[str, int] = WINDOWS, stats: Sequence[str] = STATS,
+                 lags: Mapping[str, int] = ROC_LAGS, keys: Sequence[str] = ("tag",),
+                 stat_name: str = "{col}_{win}_{stat}", roc_name: str = "{col}_roc_{win}",
+                 eps: float = EPS, block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+    """Rolling stats and rates of change in one halo pass (one shuffle, one sort)."""
+    lb = max(max(windows.values()) - 1, max(lags.values()) if lags else 0)
+
+    def fn(x: DataFrame, part: list[str]) -> DataFrame:
+        new: dict[str, Column] = {}
+        for c in cols:
+            new.update(_stat_columns(c, part, windows, stats, stat_name))
+            for win, k in lags.items():
+                prev = F.first(c).over(ordered(part).rangeBetween(-int(k), -int(k)))
+                new[roc_name.format(col=c, win=win)] = guarded_ratio(F.col(c) - prev, F.abs(prev), eps)
+        return x.withColumns(new)
+
+    return halo_apply(df, list(keys), fn, block_slots=block_slots, lookback=lb)
+
+
 def cross_tag_features(wide: DataFrame, *, share: Mapping[str, tuple[str, str]] | None = None,
                        imbalances: Mapping[str, tuple[str, str]] | None = None,
                        ratios: Mapping[str, tuple[str, str]] | None = None,
@@ -131,6 +151,7 @@ def feature_columns(df: DataFrame, exclude: Sequence[str], exclude_prefixes: Seq
     return [c for c in df.columns if c not in ex and not any(c.startswith(p) for p in exclude_prefixes)]
 
 
-__all__ = ["WINDOWS", "ROC_LAGS", "STATS", "rolling_stats", "rate_of_change", "cross_tag_features",
+__all__ = ["WINDOWS", "ROC_LAGS", "STATS", "rolling_stats", "rate_of_change", "tag_features",
+           "cross_tag_features",
            "row_quality", "calendar_features", "baseline_deviation", "finish_matrix",
            "feature_columns", "Window"]

@@ -146,3 +146,128 @@ SELECT count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts,
        {rates}
 FROM lb""")
     return q
+
+
+# ---------------------------------------------------------------- stage 3: features
+FEAT_WINDOWS = {"30m": 6, "2h": 24, "6h": 72, "24h": 288}
+FEAT_LAGS = {"30m": 6, "2h": 24, "6h": 72}
+FEAT_STATS = ("mean", "std", "min", "max", "range")
+
+
+def _q(name: str) -> str:
+    return f'"{name}"'
+
+
+def stat_names() -> list[str]:
+    return [f"{w}_{s}" for w in FEAT_WINDOWS for s in FEAT_STATS]
+
+
+def roc_names() -> list[str]:
+    return [f"roc_{w}" for w in FEAT_LAGS]
+
+
+def long_features_cte() -> str:
+    exprs = []
+    for w, k in FEAT_WINDOWS.items():
+        win = f"(PARTITION BY tag ORDER BY slot ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+        exprs += [f"avg(value) OVER {win} AS {_q(w + '_mean')}",
+                  f"stddev_samp(value) OVER {win} AS {_q(w + '_std')}",
+                  f"min(value) OVER {win} AS {_q(w + '_min')}",
+                  f"max(value) OVER {win} AS {_q(w + '_max')}",
+                  f"max(value) OVER {win} - min(value) OVER {win} AS {_q(w + '_range')}"]
+    for w, k in FEAT_LAGS.items():
+        lag = f"lag(value, {k}) OVER (PARTITION BY tag ORDER BY slot)"
+        exprs.append(f"(value - {lag}) / (abs({lag}) + 1e-6) AS {_q('roc_' + w)}")
+    tags = ", ".join(f"'{t}'" for t in C.SENSOR_COLS)
+    return FILLED + f""",
+tf AS (
+  SELECT tag, slot, ts, value, quality_frac,
+         {(',' + chr(10) + '         ').join(exprs)}
+  FROM f WHERE tag IN ({tags}))"""
+
+
+def wide_features_cte() -> str:
+    cols = []
+    for t in C.SENSOR_COLS:
+        cols.append(f"max(CASE WHEN tag = '{t}' THEN value END) AS {t}")
+        cols.append(f"max(CASE WHEN tag = '{t}' THEN quality_frac END) AS {t}_q")
+        names = stat_names() + (roc_names() if t in C.ROC_COLS else [])
+        cols += [f"max(CASE WHEN tag = '{t}' THEN {_q(n)} END) AS {_q(t + '_' + n)}" for n in names]
+    return long_features_cte() + f""",
+wf AS (
+  SELECT ts, {(',' + chr(10) + '         ').join(cols)}
+  FROM tf GROUP BY ts)"""
+
+
+def cross_exprs() -> dict[str, str]:
+    out = {}
+    for name, (a, b) in C.SHARE.items():
+        out[name] = f"{a} / (({a} + {b}) + 1e-6)"
+    for name, (a, b) in C.IMBALANCE.items():
+        out[name] = f"abs({a} - {b}) / (({a} + {b}) + 1e-6)"
+    for name, (a, b) in C.RATIO.items():
+        out[name] = f"{a} / ({b} + 1e-6)"
+    for name, cols in C.SPREAD.items():
+        out[name] = f"greatest({', '.join(cols)}) - least({', '.join(cols)})"
+    return out
+
+
+def quality_expr() -> str:
+    qs = [f"{t}_q" for t in C.SENSOR_COLS]
+    num = " + ".join(f"coalesce({q}, 0.0::DOUBLE)" for q in qs)
+    den = " + ".join(f"CAST({q} IS NOT NULL AS DOUBLE)" for q in qs)
+    return f"({num}) / NULLIF({den}, 0)"
+
+
+CALENDAR = {"hour_of_day": "CAST(hour(ts) AS INTEGER)",
+            "day_of_week": "CAST(isodow(ts) - 1 AS INTEGER)",
+            "is_weekend": "CAST(isodow(ts) IN (6, 7) AS INTEGER)"}
+
+
+def feature_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    sn = stat_names()
+    q["rolling_stats"] = with_(long_features_cte(), f"""
+SELECT tag, slot, ts, {', '.join(f"{r6(_q(n))} AS {_q(n)}" for n in sn)} FROM tf""")
+    q["rate_of_change"] = with_(long_features_cte(), f"""
+SELECT tag, slot, ts, {', '.join(f"{r6(_q(n))} AS {_q(n)}" for n in roc_names())}
+FROM tf WHERE tag IN ({', '.join(f"'{t}'" for t in C.ROC_COLS)})""")
+    cx = cross_exprs()
+    q["cross_tag_features"] = with_(wide_cte(), f"""
+SELECT ts, {', '.join(f'{r6(e)} AS {n}' for n, e in cx.items())} FROM wd""")
+    q["row_quality"] = with_(wide_cte(), f"""
+SELECT ts, {r6(quality_expr())} AS overall_quality FROM wd""")
+    q["calendar_features"] = with_(wide_cte(), f"""
+SELECT ts, {', '.join(f'{e} AS {n}' for n, e in CALENDAR.items())} FROM wd""")
+    q["baseline_deviation"] = with_(_baseline_dev_ctes(), f"""
+SELECT j.ts, {r6(f'(j.{C.LABEL_TAG} - j.baseline_7d) / (j.baseline_7d + 1e-6)')} AS flow_vs_baseline FROM j""")
+    q["feature_matrix"] = feature_matrix_sql()
+    return q
+
+
+def _labels_only_ctes() -> str:
+    """The label CTEs (s .. lb) without the stage-1 prefix (to append to another chain)."""
+    full = labels_cte()
+    return full[len(FILLED):]
+
+
+def _baseline_dev_ctes() -> str:
+    return wide_cte() + _labels_only_ctes() + f""",
+j AS (SELECT wd.ts, wd.{C.LABEL_TAG}, lb.baseline_7d FROM wd JOIN lb ON wd.ts = lb.ts)"""
+
+
+def feature_matrix_sql() -> str:
+    ctes = wide_features_cte() + _labels_only_ctes() + """,
+j AS (SELECT wf.*, lb.is_upset, lb.upset_4h, lb.upset_12h, lb.upset_24h, lb.baseline_7d
+      FROM wf JOIN lb ON wf.ts = lb.ts)"""
+    cols = ["ts", "is_upset", "upset_4h", "upset_12h", "upset_24h", "baseline_7d"]
+    for t in C.SENSOR_COLS:
+        names = stat_names() + (roc_names() if t in C.ROC_COLS else [])
+        cols += [f"{r6(_q(t + '_' + n))} AS {_q(t + '_' + n)}" for n in names]
+    cols += [f"{r6(e)} AS {n}" for n, e in cross_exprs().items()]
+    cols.append(f"{r6(quality_expr())} AS overall_quality")
+    cols += [f"{e} AS {n}" for n, e in CALENDAR.items()]
+    cols.append(f"{r6(f'({C.LABEL_TAG} - baseline_7d) / (baseline_7d + 1e-6)')} AS flow_vs_baseline")
+    return with_(ctes, f"""
+SELECT {', '.join(cols)}
+FROM j WHERE ts >= TIMESTAMP '{C.WARMUP_UNTIL}' AND {C.TARGET} IS NOT NULL""")

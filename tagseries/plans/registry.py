@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ingest, labelling
+from ..operators.features import baseline_deviation, calendar_features
+from . import config as C
+from . import ingest, labelling, matrix
 from .present import rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +67,38 @@ def _summary(spark, d):
     return labelling.summary(spark, d)
 
 
+def _rolling_stats(spark, d):
+    return rounded(matrix.long_features(spark, d).select("tag", "slot", "ts", *matrix.STAT_NAMES))
+
+
+def _roc(spark, d):
+    lf = matrix.long_features(spark, d).filter(F.col("tag").isin(C.ROC_COLS))
+    return rounded(lf.select("tag", "slot", "ts", *matrix.ROC_NAMES))
+
+
+def _cross(spark, d):
+    w = matrix.cross_features(matrix.sensors_wide(spark, d))
+    return rounded(w.select("ts", *C.SHARE, *C.IMBALANCE, *C.RATIO, *C.SPREAD))
+
+
+def _row_quality(spark, d):
+    return rounded(matrix.quality_feature(matrix.sensors_wide(spark, d)).select("ts", "overall_quality"))
+
+
+def _calendar(spark, d):
+    return calendar_features(matrix.sensors_wide(spark, d).select("ts"))
+
+
+def _baseline_dev(spark, d):
+    lab = labelling.labelled(spark, d).select("ts", "baseline_7d")
+    j = matrix.sensors_wide(spark, d).select("ts", C.LABEL_TAG).join(lab, "ts", "inner")
+    return rounded(baseline_deviation(j, C.LABEL_TAG).select("ts", "flow_vs_baseline"))
+
+
+def _feature_matrix(spark, d):
+    return rounded(matrix.feature_matrix(spark, d))
+
+
 QUERIES: dict[str, Query] = {
     "readings_union": _readings_union,
     "resample_5min": _resample,
@@ -79,4 +113,11 @@ QUERIES: dict[str, Query] = {
     "event_starts": _starts,
     "event_count": _count,
     "label_summary": _summary,
+    "rolling_stats": _rolling_stats,
+    "rate_of_change": _roc,
+    "cross_tag_features": _cross,
+    "row_quality": _row_quality,
+    "calendar_features": _calendar,
+    "baseline_deviation": _baseline_dev,
+    "feature_matrix": _feature_matrix,
 }
