@@ -271,3 +271,124 @@ j AS (SELECT wf.*, lb.is_upset, lb.upset_4h, lb.upset_12h, lb.upset_24h, lb.base
     return with_(ctes, f"""
 SELECT {', '.join(cols)}
 FROM j WHERE ts >= TIMESTAMP '{C.WARMUP_UNTIL}' AND {C.TARGET} IS NOT NULL""")
+
+
+# ---------------------------------------------------------------- audits, slices, metrics
+SCORES = """
+sc AS (
+  SELECT event_id, ts,
+         CAST(CAST(json_extract(props, '$.k') AS BIGINT) >= 50 AS INTEGER) AS label,
+         round(value / (value + 50.0::DOUBLE) + 1e-8, 6) AS score
+  FROM events)"""
+
+CONFUSION = SCORES + """,
+cm AS (
+  SELECT CAST(sum(CASE WHEN score < 0.5 AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+         CAST(sum(CASE WHEN score >= 0.5 AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+         CAST(sum(CASE WHEN score < 0.5 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+         CAST(sum(CASE WHEN score >= 0.5 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp
+  FROM sc)"""
+
+CUMULATIVE = SCORES + """,
+d AS (SELECT score, CAST(sum(label) AS BIGINT) AS pos, CAST(sum(1 - label) AS BIGINT) AS neg
+      FROM sc GROUP BY score),
+c AS (SELECT score, pos, neg,
+             sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+             sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp
+      FROM d)"""
+
+
+def _dz(a: str, b: str) -> str:
+    return f"CASE WHEN ({b}) > 0 THEN ({a}) / ({b}) ELSE 0.0::DOUBLE END"
+
+
+def audit_eval_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    cols = ", ".join(f"{r6(t)} AS {t}" for t in C.TAGS)
+    q["time_slice_topk"] = with_(wide_cte(), f"""
+SELECT ts, {cols} FROM wd
+WHERE ts BETWEEN TIMESTAMP '{C.SLICE_START}' AND TIMESTAMP '{C.SLICE_END}'
+ORDER BY ts LIMIT 50""")
+    q["time_split_balance"] = with_(wide_features_cte() + _labels_only_ctes() + f""",
+m AS (SELECT lb.ts, lb.{C.TARGET} AS y FROM wf JOIN lb ON wf.ts = lb.ts
+      WHERE lb.ts >= TIMESTAMP '{C.WARMUP_UNTIL}' AND lb.{C.TARGET} IS NOT NULL),
+sp AS (SELECT 'train' AS split, y FROM m WHERE ts <= TIMESTAMP '{C.TRAIN_END}'
+       UNION ALL SELECT 'test' AS split, y FROM m WHERE ts >= TIMESTAMP '{C.TEST_START}')""", f"""
+SELECT split, count(*) AS n_rows, CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg,
+       {r6('CAST(sum(y) AS DOUBLE) / CAST(count(*) AS DOUBLE)')} AS pos_rate,
+       {r6('CAST(sum(1 - y) AS DOUBLE) / CAST(greatest(sum(y), 1) AS DOUBLE)')} AS scale_pos_weight
+FROM sp GROUP BY split""")
+    q["tag_health"] = with_(READINGS, f"""
+SELECT tag, date_trunc('month', ts) AS period, count(*) AS n_readings,
+       {r6("avg(CASE WHEN status = 192 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END)")} AS bad_share,
+       {r6("avg(CASE WHEN value = -999.0::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")} AS sentinel_share,
+       {r6("avg(CASE WHEN status = 192 THEN value END)")} AS mean_value,
+       {r6("min(CASE WHEN status = 192 THEN value END)")} AS min_value,
+       {r6("max(CASE WHEN status = 192 THEN value END)")} AS max_value,
+       {r6("min(value)")} AS min_raw
+FROM r GROUP BY 1, 2""")
+    q["tag_status"] = with_(READINGS + """,
+ts0 AS (
+  SELECT tag, count(*) AS n_readings, count(CASE WHEN status = 192 THEN value END) AS n_good,
+         min(CASE WHEN status = 192 THEN value END) AS min_value,
+         max(CASE WHEN status = 192 THEN value END) AS max_value,
+         max(abs(CASE WHEN status = 192 THEN value END)) AS max_abs,
+         avg(CASE WHEN value = -999.0::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS sentinel_share
+  FROM r GROUP BY tag)""", f"""
+SELECT tag, n_readings, n_good, {r6('min_value')} AS min_value, {r6('max_value')} AS max_value,
+       {r6('sentinel_share')} AS sentinel_share,
+       CASE WHEN n_good = 0 THEN 'no_data' WHEN max_abs = 0.0 THEN 'dead'
+            WHEN min_value = max_value THEN 'stuck' WHEN max_value < 0.0 THEN 'out_of_range'
+            WHEN sentinel_share > 0.5 THEN 'failing' ELSE 'ok' END AS status
+FROM ts0""")
+    q["level_shift"] = with_(READINGS, f"""
+SELECT tag, {r6(f"avg(CASE WHEN status = 192 AND ts < TIMESTAMP '{C.SHIFT_AT}' THEN value END)")} AS mean_before,
+       {r6(f"avg(CASE WHEN status = 192 AND ts >= TIMESTAMP '{C.SHIFT_AT}' THEN value END)")} AS mean_after,
+       {r6(f"avg(CASE WHEN status = 192 AND ts >= TIMESTAMP '{C.SHIFT_AT}' THEN value END) / NULLIF(avg(CASE WHEN status = 192 AND ts < TIMESTAMP '{C.SHIFT_AT}' THEN value END), 0)")} AS shift_ratio
+FROM r GROUP BY tag""")
+    q["confusion"] = with_(CONFUSION, f"""
+SELECT tn, fp, fn, tp,
+       {r6('100.0::DOUBLE * tp / greatest(tp + fn, 1)')} AS caught_pct,
+       {r6('CAST(fp AS DOUBLE) / greatest(fp + tn, 1)')} AS false_alarm_share
+FROM cm""")
+    tp, fp, fn, tn = ("CAST(tp AS DOUBLE)", "CAST(fp AS DOUBLE)", "CAST(fn AS DOUBLE)", "CAST(tn AS DOUBLE)")
+    p1, r1 = _dz(tp, f"{tp} + {fp}"), _dz(tp, f"{tp} + {fn}")
+    p0, r0 = _dz(tn, f"{tn} + {fn}"), _dz(tn, f"{tn} + {fp}")
+    q["classification_report"] = with_(CONFUSION + f""",
+pr AS (SELECT {p0} AS p0, {r0} AS r0, {p1} AS p1, {r1} AS r1, {tn} + {fp} AS s0, {tp} + {fn} AS s1,
+              {_dz(f'{tp} + {tn}', f'{tp} + {tn} + {fp} + {fn}')} AS acc FROM cm),
+pf AS (SELECT *, {_dz('2 * p0 * r0', 'p0 + r0')} AS f0, {_dz('2 * p1 * r1', 'p1 + r1')} AS f1,
+              s0 + s1 AS n FROM pr)""", f"""
+SELECT 'Normal' AS class, {r6('p0')} AS precision, {r6('r0')} AS recall, {r6('f0')} AS f1_score,
+       CAST(s0 AS BIGINT) AS support FROM pf
+UNION ALL SELECT 'Upset', {r6('p1')}, {r6('r1')}, {r6('f1')}, CAST(s1 AS BIGINT) FROM pf
+UNION ALL SELECT 'accuracy', NULL, NULL, {r6('acc')}, CAST(n AS BIGINT) FROM pf
+UNION ALL SELECT 'macro avg', {r6('(p0 + p1) / 2')}, {r6('(r0 + r1) / 2')}, {r6('(f0 + f1) / 2')},
+       CAST(n AS BIGINT) FROM pf
+UNION ALL SELECT 'weighted avg', {r6(_dz('p0 * s0 + p1 * s1', 'n'))}, {r6(_dz('r0 * s0 + r1 * s1', 'n'))},
+       {r6(_dz('f0 * s0 + f1 * s1', 'n'))}, CAST(n AS BIGINT) FROM pf""")
+    q["roc_auc_ap"] = with_(CUMULATIVE, f"""
+SELECT {r6('(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE) + sum(pos * (0.5::DOUBLE * neg - fp))) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE))')} AS roc_auc,
+       {r6('sum(pos * (CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE))) / CAST(sum(pos) AS DOUBLE)')} AS average_precision,
+       CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg
+FROM c""")
+    q["pr_curve"] = with_(CUMULATIVE, f"""
+SELECT score AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       {r6('CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE)')} AS precision,
+       {r6('CAST(tp AS DOUBLE) / greatest((SELECT sum(pos) FROM d), 1)')} AS recall
+FROM c""")
+    q["threshold_sweep"] = with_(SCORES + """,
+th AS (SELECT k, 0.1::DOUBLE + k * ((0.1::DOUBLE + 0.05::DOUBLE) - 0.1::DOUBLE) AS t FROM range(16) r(k)),
+sw AS (SELECT th.t, CAST(sum(CASE WHEN sc.score >= th.t AND sc.label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+              CAST(sum(CASE WHEN sc.score >= th.t AND sc.label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+              CAST(sum(CASE WHEN sc.score < th.t AND sc.label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn
+       FROM th, sc GROUP BY th.t)""", """
+SELECT round(t, 2) AS threshold,
+       round(CAST(tp AS DOUBLE) / greatest(tp + fn, 1) + 1e-8, 3) AS recall,
+       round(CAST(tp AS DOUBLE) / greatest(tp + fp, 1) + 1e-8, 3) AS precision,
+       CAST(fp AS INTEGER) AS false_alarms, CAST(tp AS INTEGER) AS upsets_caught,
+       CAST(fn AS INTEGER) AS upsets_missed
+FROM sw""")
+    q["score_timeline"] = with_(SCORES, """
+SELECT ts, score, label, CAST(score >= 0.5 AS INTEGER) AS alarm FROM sc""")
+    return q

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import audit, evaluate, slicing
 from ..operators.features import baseline_deviation, calendar_features
+from ..operators.model import feature_importances
 from . import config as C
-from . import ingest, labelling, matrix
+from . import ingest, labelling, matrix, training
 from .present import rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +101,68 @@ def _feature_matrix(spark, d):
     return rounded(matrix.feature_matrix(spark, d))
 
 
+def _slice(spark, d):
+    return rounded(slicing.time_slice(ingest.wide(spark, d), C.SLICE_START, C.SLICE_END,
+                                      cols=["ts", *C.TAGS], limit=50))
+
+
+def _split_balance(spark, d):
+    return rounded(training.split_balance(spark, d))
+
+
+def _tag_health(spark, d):
+    return rounded(audit.tag_health(ingest.readings(spark, d)))
+
+
+def _tag_status(spark, d):
+    return rounded(audit.tag_status(ingest.readings(spark, d)))
+
+
+def _level_shift(spark, d):
+    return rounded(audit.level_shift(ingest.readings(spark, d), C.SHIFT_AT))
+
+
+def _confusion(spark, d):
+    return rounded(evaluate.confusion(training.scores(spark, d)))
+
+
+def _report(spark, d):
+    return rounded(evaluate.classification_report(training.scores(spark, d)))
+
+
+def _auc(spark, d):
+    return rounded(evaluate.roc_auc_ap(training.scores(spark, d)))
+
+
+def _pr(spark, d):
+    return rounded(evaluate.pr_curve(training.scores(spark, d)))
+
+
+def _sweep(spark, d):
+    return evaluate.threshold_sweep(training.scores(spark, d))
+
+
+def _timeline(spark, d):
+    return evaluate.score_timeline(training.scores(spark, d))
+
+
+def _sample(spark, d):
+    return slicing.sample_rows(training.scores(spark, d), 2000, key=["event_id"])
+
+
+def _gbt_scores(spark, d):
+    return training.gbt_scores(spark, d)
+
+
+def _perm_importance(spark, d):
+    return training.importance(spark, d)
+
+
+def _gbt_importances(spark, d):
+    model, feats, _ = training.fitted(spark, d)
+    return slicing.top_k(feature_importances(model, feats), "importance", 25)
+
+
 QUERIES: dict[str, Query] = {
     "readings_union": _readings_union,
     "resample_5min": _resample,
@@ -120,4 +184,19 @@ QUERIES: dict[str, Query] = {
     "calendar_features": _calendar,
     "baseline_deviation": _baseline_dev,
     "feature_matrix": _feature_matrix,
+    "time_slice_topk": _slice,
+    "time_split_balance": _split_balance,
+    "tag_health": _tag_health,
+    "tag_status": _tag_status,
+    "level_shift": _level_shift,
+    "confusion": _confusion,
+    "classification_report": _report,
+    "roc_auc_ap": _auc,
+    "pr_curve": _pr,
+    "threshold_sweep": _sweep,
+    "score_timeline": _timeline,
+    "sample_rows": _sample,
+    "gbt_scores": _gbt_scores,
+    "gbt_importances": _gbt_importances,
+    "permutation_importance": _perm_importance,
 }
