@@ -40,7 +40,7 @@ def _stat_columns(c: str, part: list[str], windows: Mapping[str, int], stats: Se
 def rolling_stats(df: DataFrame, cols: Sequence[str] = ("value",), *,
                   windows: Mapping[str, int] = WINDOWS, stats: Sequence[str] = STATS,
                   keys: Sequence[str] = ("tag",), name: str = "{col}_{win}_{stat}",
-                  block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+                  block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """Trailing mean / sample std / min / max / range over the last k slots including the
     current one (at least one value; std NULL for a single value, range 0.0).  All frames
     share one partitioning and one sort."""
@@ -58,7 +58,7 @@ def rolling_stats(df: DataFrame, cols: Sequence[str] = ("value",), *,
 def rate_of_change(df: DataFrame, cols: Sequence[str] = ("value",), *,
                    lags: Mapping[str, int] = ROC_LAGS, keys: Sequence[str] = ("tag",),
                    name: str = "{col}_roc_{win}", eps: float = EPS,
-                   block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+                   block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """(x - x[t-k]) / (|x[t-k]| + eps) with x[t-k] the value exactly k slots back."""
     lb = max(lags.values())
 
@@ -77,7 +77,7 @@ def tag_features(df: DataFrame, cols: Sequence[str] = ("value",), *,
                  windows: Mapping[str, int] = WINDOWS, stats: Sequence[str] = STATS,
                  lags: Mapping[str, int] = ROC_LAGS, keys: Sequence[str] = ("tag",),
                  stat_name: str = "{col}_{win}_{stat}", roc_name: str = "{col}_roc_{win}",
-                 eps: float = EPS, block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+                 eps: float = EPS, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """Rolling stats and rates of change in one halo pass (one shuffle, one sort)."""
     lb = max(max(windows.values()) - 1, max(lags.values()) if lags else 0)
 

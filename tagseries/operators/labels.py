@@ -34,7 +34,7 @@ def rolling_baseline(series: DataFrame, value: str = "value", *, entity: Sequenc
                      baseline_steps: int = BASELINE_STEPS, min_history: int | None = MIN_HISTORY,
                      out: str = "baseline_7d", count_out: str = "baseline_count",
                      round_digits: int | None = None,
-                     block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+                     block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """Trailing mean and count of ``value`` over slots [t - baseline_steps, t - 1] (never
     the current slot), then keep rows with at least ``min_history`` values."""
     def fn(x: DataFrame, part: list[str]) -> DataFrame:
@@ -61,7 +61,7 @@ def deviation_flag(df: DataFrame, value: str = "value", baseline: str = "baselin
 
 def merge_events(df: DataFrame, flag: str = "is_upset_raw", *, entity: Sequence[str] = (),
                  merge_steps: int = MERGE_STEPS, out: str = "is_upset",
-                 block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+                 block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """Sticky flag: max of the raw flag over slots [t - merge_steps, t]."""
     def fn(x: DataFrame, part: list[str]) -> DataFrame:
         return x.withColumn(out, range_any(F.col(flag), part, -merge_steps, 0))
@@ -72,7 +72,7 @@ def merge_events(df: DataFrame, flag: str = "is_upset_raw", *, entity: Sequence[
 def forward_labels(df: DataFrame, source: str = "is_upset", *, entity: Sequence[str] = (),
                    horizons: Mapping[str, int] = HORIZONS, lead_steps: int = LEAD_STEPS,
                    require_full_horizon: bool = False, dropna: bool = True,
-                   block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+                   block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """``name`` = max of ``source`` over slots [t + lead, t + lead + n] for each
     ``name -> n``.  Only an empty frame gives NULL (the last ``lead`` slots);
     ``require_full_horizon`` also nulls frames cut off by the end of the series.
@@ -111,7 +111,7 @@ def upset_labels(series: DataFrame, value: str = "value", *, entity: Sequence[st
                  horizons: Mapping[str, int] = HORIZONS, lead_from: str = "merged",
                  require_full_horizon: bool = False, dropna: bool = True,
                  baseline_round: int | None = None,
-                 block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+                 block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """The whole label chain: baseline -> history filter -> raw flag -> merged flag ->
     forward labels.  Two halo passes: the baseline (look-back ``baseline_steps``), then the
     merge and every horizon together (look-back ``merge_steps``, look-ahead
@@ -138,7 +138,7 @@ def upset_labels(series: DataFrame, value: str = "value", *, entity: Sequence[st
 
 
 def event_starts(labelled: DataFrame, flag: str = "is_upset", *, entity: Sequence[str] = (),
-                 block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+                 block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """Rows where ``flag`` rises: 1 now, and 0 or no row before (lag over rows)."""
     x = carry_prev(labelled, list(entity), flag, "_prev", block_slots=block_slots)
     return (x.filter((F.col(flag) == 1) & ((F.col("_prev") == 0) | F.col("_prev").isNull()))
@@ -146,7 +146,7 @@ def event_starts(labelled: DataFrame, flag: str = "is_upset", *, entity: Sequenc
 
 
 def event_count(labelled: DataFrame, flag: str = "is_upset", *, entity: Sequence[str] = (),
-                block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+                block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """Number of rising edges (per entity)."""
     starts = event_starts(labelled, flag, entity=entity, block_slots=block_slots)
     return starts.groupBy(*entity).agg(F.count(F.lit(1)).alias("n_distinct_upset_events"))

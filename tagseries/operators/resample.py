@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import nan_to_null
 from ..functions.time import floor_div, slot_of, slot_to_ts
-from .windows import DEFAULT_BLOCK_SLOTS, carry_last, halo_apply, ordered
+from .windows import DEFAULT_BLOCK_SLOTS, block_size, carry_last, halo_apply, ordered
 
 # Fixed value: historian status of a good reading.
 GOOD_CODE = 192
@@ -49,7 +49,7 @@ def resample(readings: DataFrame, step_s: int = 300, good_code: int = GOOD_CODE,
 
 def regularise(resampled: DataFrame, step_s: int = 300, *, tags: Sequence[str] | DataFrame | None = None,
                entity: Sequence[str] = (), tag: str = "tag", ts: str = "ts",
-               block_slots: int = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+               block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """Put every tag on a complete grid from the first to the last bucket (per entity) and
     left-join the buckets onto it; missing buckets get NULL values.
 
@@ -83,7 +83,7 @@ def regularise(resampled: DataFrame, step_s: int = 300, *, tags: Sequence[str] |
         else:
             tag_rows = _tag_frame(spark, list(tags), tag)
         base = tag_rows.select(tag, lo.alias("_lo"), hi.alias("_hi"))
-    b = int(block_slots)
+    b = block_size(block_slots) or block_size("auto")
     blocks = (base.withColumn("_b", F.explode(F.sequence(floor_div(F.col("_lo"), b),
                                                           floor_div(F.col("_hi"), b))))
                   # An explicit count: AQE would coalesce these tiny rows into one task.
@@ -98,12 +98,13 @@ def regularise(resampled: DataFrame, step_s: int = 300, *, tags: Sequence[str] |
 
 
 def _tag_frame(spark: SparkSession, tags: list[str], tag: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in tags], f"{tag} string")
+    """A literal list as a frame, built JVM-side (no Python RDD behind it)."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in tags])).alias(tag))
 
 
 def fill_forward(df: DataFrame, cols: Sequence[str] = ("value", "quality_frac"), *,
                  entity: Sequence[str] = (), tag: str | None = "tag", max_gap_steps: int | None = None,
-                 block_slots: int | None = DEFAULT_BLOCK_SLOTS, gap_flag: str | None = "is_gap_filled",
+                 block_slots: int | str | None = DEFAULT_BLOCK_SLOTS, gap_flag: str | None = "is_gap_filled",
                  age: str | None = None) -> DataFrame:
     """Carry the last non-null value of each column forward along the slot order.
 

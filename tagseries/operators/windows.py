@@ -32,12 +32,39 @@ HOME = "_home"
 # Fixed value: exact type for running sums of doubles (23 integer, 15 fraction digits).
 SUM_DECIMAL = "decimal(38,15)"
 
-#: Default block length: 30 days of 5-minute slots.
-DEFAULT_BLOCK_SLOTS = 8640
+#: Default block length: sized from the frame reach of each operator (see ``block_size``).
+DEFAULT_BLOCK_SLOTS = "auto"
+#: Smallest automatic block, and the block used by the unbounded carries.
+MIN_BLOCK_SLOTS = 2048
+#: Automatic blocks are this many times the frame reach: halo copies add at most 1/8.
+REACH_FACTOR = 8
+
+
+def block_size(block_slots: int | str | None, reach: int = 0) -> int | None:
+    """Resolve a ``block_slots`` argument: ``None`` (no blocks), an int, or ``"auto"``
+    = max(MIN_BLOCK_SLOTS, REACH_FACTOR x reach)."""
+    if block_slots is None:
+        return None
+    if block_slots == "auto":
+        return max(MIN_BLOCK_SLOTS, REACH_FACTOR * int(reach))
+    b = int(block_slots)
+    if b <= 0:
+        raise ValueError("block_slots must be positive")
+    return b
+
+
+def _spread(x: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Hash-partition on (keys, block) with the configured partition count.
+
+    A (key, block) group holds at most ``block + reach`` slots, so no group can be skewed;
+    the explicit count keeps AQE from folding a CPU-heavy window stage into a few tasks
+    because its input is small in bytes.  The window then needs no further exchange."""
+    n = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return x.repartition(n, *part)
 
 
 def halo_apply(df: DataFrame, keys: Sequence[str], fn: Callable[[DataFrame, list[str]], DataFrame],
-               *, slot: str = "slot", block_slots: int | None = DEFAULT_BLOCK_SLOTS,
+               *, slot: str = "slot", block_slots: int | str | None = DEFAULT_BLOCK_SLOTS,
                lookback: int = 0, lookahead: int = 0) -> DataFrame:
     """Run ``fn(frame, partition_keys)`` over halo blocks and keep each row's home copy.
 
@@ -45,16 +72,14 @@ def halo_apply(df: DataFrame, keys: Sequence[str], fn: Callable[[DataFrame, list
     and framed within [-lookback, +lookahead] slots.  ``block_slots=None`` runs the plain
     window partitioned by ``keys`` (what the reference does, one task per key).
     """
-    if block_slots is None:
+    b = block_size(block_slots, lookback + lookahead)
+    if b is None:
         return fn(df, list(keys))
-    b = int(block_slots)
-    if b <= 0:
-        raise ValueError("block_slots must be positive")
     s = F.col(slot)
     x = (df.withColumn(HOME, floor_div(s, b))
            .withColumn(BLOCK, F.explode(F.sequence(floor_div(s - F.lit(int(lookahead)), b),
                                                    floor_div(s + F.lit(int(lookback)), b)))))
-    out = fn(x, list(keys) + [BLOCK])
+    out = fn(_spread(x, list(keys) + [BLOCK]), list(keys) + [BLOCK])
     return out.filter(F.col(BLOCK) == F.col(HOME)).drop(BLOCK, HOME)
 
 
@@ -98,7 +123,7 @@ def range_any(flag: Column, part: Sequence[str], lo: int, hi: int, slot: str = "
 
 
 def carry_last(df: DataFrame, keys: Sequence[str], cols: Sequence[str], *, slot: str = "slot",
-               block_slots: int | None = DEFAULT_BLOCK_SLOTS, with_slot: str | None = None) -> DataFrame:
+               block_slots: int | str | None = DEFAULT_BLOCK_SLOTS, with_slot: str | None = None) -> DataFrame:
     """Replace each of ``cols`` by its last non-null value at or before the row (unbounded
     forward fill).  ``with_slot`` names an extra output column: the slot the first of
     ``cols`` was last seen at (for the age of a fill)."""
@@ -106,10 +131,10 @@ def carry_last(df: DataFrame, keys: Sequence[str], cols: Sequence[str], *, slot:
     track = {c: F.col(c) for c in cols}
     if with_slot:
         track[with_slot] = F.when(F.col(cols[0]).isNotNull(), F.col(slot))
-    if block_slots is None:
+    b = block_size(block_slots)
+    if b is None:
         w = ordered(keys, slot).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c: F.last(e, True).over(w) for c, e in track.items()})
-    b = int(block_slots)
     x = df.withColumn(BLOCK, floor_div(F.col(slot), b))
     part = list(keys) + [BLOCK]
     # Last non-null of every tracked column per (key, block): a few rows per key.
@@ -119,18 +144,18 @@ def carry_last(df: DataFrame, keys: Sequence[str], cols: Sequence[str], *, slot:
     wb = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select(*part, *[F.last(f"_sum_{c}", True).over(wb).alias(f"_carry_{c}") for c in track])
     w = ordered(part, slot).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumns({f"_in_{c}": F.last(e, True).over(w) for c, e in track.items()})
+    x = _spread(x, part).withColumns({f"_in_{c}": F.last(e, True).over(w) for c, e in track.items()})
     x = x.join(summary, on=part, how="left")
     return (x.withColumns({c: F.coalesce(F.col(f"_in_{c}"), F.col(f"_carry_{c}")) for c in track})
              .drop(BLOCK, *[f"_in_{c}" for c in track], *[f"_carry_{c}" for c in track]))
 
 
 def carry_prev(df: DataFrame, keys: Sequence[str], col: str, out: str, *, slot: str = "slot",
-               block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+               block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """``out`` = value of ``col`` on the previous *row* (lag 1 over rows, however far back)."""
-    if block_slots is None:
+    b = block_size(block_slots)
+    if b is None:
         return df.withColumn(out, F.lag(col, 1).over(ordered(keys, slot)))
-    b = int(block_slots)
     x = df.withColumn(BLOCK, floor_div(F.col(slot), b))
     part = list(keys) + [BLOCK]
     summary = x.groupBy(*part).agg(
@@ -138,7 +163,7 @@ def carry_prev(df: DataFrame, keys: Sequence[str], col: str, out: str, *, slot:
     summary = summary.select(*part, F.lag("_sum_last", 1).over(
         Window.partitionBy(*keys).orderBy(BLOCK)).alias("_carry_prev"))
     w = ordered(part, slot)
-    x = x.withColumns({"_lag_slot": F.lag(slot, 1).over(w), "_lag_val": F.lag(col, 1).over(w)})
+    x = _spread(x, part).withColumns({"_lag_slot": F.lag(slot, 1).over(w), "_lag_val": F.lag(col, 1).over(w)})
     x = x.join(summary, on=part, how="left")
     return (x.withColumn(out, F.when(F.col("_lag_slot").isNull(), F.col("_carry_prev"))
                          .otherwise(F.col("_lag_val")))

@@ -21,23 +21,23 @@ def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(events_readings(spark, sf_dir), C.STEP_S)
 
 
-def grid(spark: SparkSession, sf_dir: str, block_slots: int = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+def grid(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     return regularise(buckets(spark, sf_dir), C.STEP_S, tags=C.TAGS, block_slots=block_slots)
 
 
 def filled(spark: SparkSession, sf_dir: str, *, max_gap_steps: int | None = None,
-           block_slots: int | None = DEFAULT_BLOCK_SLOTS, age: str | None = None) -> DataFrame:
-    g = grid(spark, sf_dir, block_slots or DEFAULT_BLOCK_SLOTS)
+           block_slots: int | str | None = DEFAULT_BLOCK_SLOTS, age: str | None = None) -> DataFrame:
+    g = grid(spark, sf_dir, block_slots)
     return fill_forward(g, ("value", "quality_frac"), max_gap_steps=max_gap_steps,
                         block_slots=block_slots, age=age)
 
 
-def wide(spark: SparkSession, sf_dir: str, block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+def wide(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     return with_year(to_wide(filled(spark, sf_dir, block_slots=block_slots), C.TAGS))
 
 
 def series(spark: SparkSession, sf_dir: str, tag: str = C.LABEL_TAG,
-           block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+           block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """One filled tag as ``(slot, ts, value)``: the wide table's flow column."""
     f = filled(spark, sf_dir, block_slots=block_slots)
     return f.filter(F.col("tag") == tag).select("slot", "ts", "value")

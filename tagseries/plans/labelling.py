@@ -12,20 +12,20 @@ from . import config as C
 from .ingest import series
 
 
-def baseline(spark: SparkSession, sf_dir: str, block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+def baseline(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     return rolling_baseline(series(spark, sf_dir, block_slots=block_slots), round_digits=6,
                             block_slots=block_slots)
 
 
-def flagged(spark: SparkSession, sf_dir: str, block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+def flagged(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     return deviation_flag(baseline(spark, sf_dir, block_slots), drop_threshold=C.DROP_THRESHOLD)
 
 
-def merged(spark: SparkSession, sf_dir: str, block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+def merged(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     return merge_events(flagged(spark, sf_dir, block_slots), block_slots=block_slots)
 
 
-def labelled(spark: SparkSession, sf_dir: str, block_slots: int | None = DEFAULT_BLOCK_SLOTS,
+def labelled(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS,
              **kw) -> DataFrame:
     """The label table: ts, flow, baseline_7d, is_upset and the three labels (plus slot)."""
     out = upset_labels(series(spark, sf_dir, block_slots=block_slots), drop_threshold=C.DROP_THRESHOLD,
@@ -34,13 +34,13 @@ def labelled(spark: SparkSession, sf_dir: str, block_slots: int | None = DEFAULT
                       *C.LABEL_COLS)
 
 
-def starts(spark: SparkSession, sf_dir: str, block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+def starts(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     return event_starts(labelled(spark, sf_dir, block_slots), block_slots=block_slots)
 
 
-def count_events(spark: SparkSession, sf_dir: str, block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+def count_events(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     return event_count(labelled(spark, sf_dir, block_slots), block_slots=block_slots)
 
 
-def summary(spark: SparkSession, sf_dir: str, block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+def summary(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     return label_summary(labelled(spark, sf_dir, block_slots), C.LABEL_COLS)

@@ -16,14 +16,14 @@ STAT_NAMES = [f"{w}_{s}" for w in WINDOWS for s in STATS]
 ROC_NAMES = [f"roc_{w}" for w in ROC_LAGS]
 
 
-def long_features(spark: SparkSession, sf_dir: str, block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+def long_features(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """tag, slot, ts, value, quality_frac + 20 rolling stats + 3 rates of change."""
     f = ingest.filled(spark, sf_dir, block_slots=block_slots).filter(F.col("tag").isin(C.SENSOR_COLS))
     return tag_features(f.select("tag", "slot", "ts", "value", "quality_frac"), ["value"],
                         stat_name="{win}_{stat}", roc_name="roc_{win}", block_slots=block_slots)
 
 
-def wide_features(spark: SparkSession, sf_dir: str, block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+def wide_features(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """One pivot: raw value, quality and every per-tag feature as ``<tag>_<name>``."""
     lf = long_features(spark, sf_dir, block_slots)
     names = ["value", "quality_frac"] + STAT_NAMES + ROC_NAMES
@@ -46,17 +46,17 @@ def quality_feature(wide: DataFrame) -> DataFrame:
     return row_quality(wide, [f"{t}_q" for t in C.SENSOR_COLS])
 
 
-def sensors_wide(spark: SparkSession, sf_dir: str, block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+def sensors_wide(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     return ingest.wide(spark, sf_dir, block_slots)
 
 
-def joined(spark: SparkSession, sf_dir: str, block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+def joined(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """Sensors (with per-tag features) inner-joined to the label table on ts."""
     labels = labelling.labelled(spark, sf_dir, block_slots).select(*C.KEEP_COLS)
     return wide_features(spark, sf_dir, block_slots).join(labels, on="ts", how="inner")
 
 
-def feature_matrix(spark: SparkSession, sf_dir: str, block_slots: int | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+def feature_matrix(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """Kept columns + engineered features; warm-up rows, rows without a target and all raw
     sensor columns dropped."""
     j = joined(spark, sf_dir, block_slots)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.features import feature_columns
 from ..operators.model import GBTParams, fit_gbt, permutation_importance, score
 from ..operators.slicing import class_balance, time_split
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import events_scores
 from . import config as C
 from . import matrix
@@ -29,8 +30,18 @@ def split_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.unionByName(te)
 
 
-def fitted(spark: SparkSession, sf_dir: str, trees: int = QUERY_TREES):
+def materialised_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature matrix with its lineage cut (a reliable checkpoint in the shared
+    ``spark.checkpoint.dir``): the fit makes several passes and must not re-run the
+    window chain each time, nor after a lost executor."""
     fm = matrix.feature_matrix(spark, sf_dir)
+    if ensure_checkpoint_dir(spark):
+        return fm.checkpoint(eager=True)
+    return fm
+
+
+def fitted(spark: SparkSession, sf_dir: str, trees: int = QUERY_TREES):
+    fm = materialised_matrix(spark, sf_dir)
     feats = model_features(fm)
     train, test = time_split(fm, C.TRAIN_END, C.TEST_START)
     model = fit_gbt(train, feats, C.TARGET, GBTParams(max_iter=trees))
