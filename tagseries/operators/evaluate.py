@@ -35,6 +35,17 @@ def score_counts(scores: DataFrame, *, by: Sequence[str] = (), label: str = "lab
         F.sum((1 - F.col(label)).cast("long")).alias("neg"))
 
 
+def _rank_among(x: Column, bound, lo: int, hi: int, inclusive: bool = False) -> Column:
+    """Number of sorted bounds[lo:hi] below ``x`` (or at most ``x`` when ``inclusive``),
+    plus ``lo``, as a binary-search CASE tree: log2(n) comparisons per row, no lambda."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    left = (x < bound(mid)) if inclusive else (x <= bound(mid))
+    return F.when(left, _rank_among(x, bound, lo, mid, inclusive)).otherwise(
+        _rank_among(x, bound, mid + 1, hi, inclusive))
+
+
 def cumulative(counts: DataFrame, *, by: Sequence[str] = (), score: str = "score",
                n_buckets: int = 256) -> DataFrame:
     """Adds ``tp``/``fp``: positives / negatives with a score >= this one."""
@@ -43,12 +54,13 @@ def cumulative(counts: DataFrame, *, by: Sequence[str] = (), score: str = "score
     if by:
         bounds = counts.groupBy(*by).agg(F.percentile_approx(score, pct, 10_000).alias("_bounds"))
         x = counts.join(bounds, on=by, how="left")
-        bcol = F.col("_bounds")
+        bucket = _rank_among(F.col(score), lambda i: F.element_at("_bounds", i + 1), 0, len(pct))
     else:
-        # Materialise the scalar first: subqueries may not sit inside a lambda.
-        x = counts.withColumn("_bounds", counts.select(F.percentile_approx(score, pct, 10_000)).scalar())
-        bcol = F.col("_bounds")
-    x = x.withColumn("_bucket", F.size(F.filter(bcol, lambda b: b < F.col(score))))
+        # n_buckets - 1 quantiles: a fixed-size list of scalars, inlined as literals.
+        qs = sorted(set(counts.select(F.percentile_approx(score, pct, 10_000)).first()[0] or []))
+        x = counts
+        bucket = _rank_among(F.col(score), lambda i: F.lit(float(qs[i])), 0, len(qs))
+    x = x.withColumn("_bucket", bucket.cast("int"))
     if "_bounds" in x.columns:
         x = x.drop("_bounds")
     tot = x.groupBy(*by, "_bucket").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
@@ -149,21 +161,20 @@ def threshold_sweep(scores: DataFrame, thresholds: Sequence[float] | None = None
     No join with the threshold list."""
     ts = list(thresholds) if thresholds is not None else sweep_thresholds()
     arr = F.array(*[F.lit(float(t)) for t in ts])
-    reach = F.size(F.filter(arr, lambda t: t <= F.col(score)))
+    reach = _rank_among(F.col(score), lambda i: F.lit(float(ts[i])), 0, len(ts), inclusive=True)
     g = (scores.select(reach.alias("_reach"), F.col(label).cast("long").alias("_y"))
          .groupBy("_reach").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg")))
-    totals = g.agg(F.sum("_pos").alias("P"), F.sum("_neg").alias("N"))
-    P, N = totals.select("P").scalar(), totals.select("N").scalar()
     spark = scores.sparkSession
     zero = spark.range(len(ts)).select(F.col("id").cast("int").alias("k"), F.lit(0).cast("long").alias("_pos"),
                                        F.lit(0).cast("long").alias("_neg"))
-    # sequence(0, -1) counts down in Spark, so rows reaching no threshold are left out first.
-    contrib = (g.filter(F.col("_reach") > 0)
-                .select(F.explode(F.sequence(F.lit(0), F.col("_reach") - 1)).alias("k"), "_pos", "_neg"))
-    per_k = zero.unionByName(contrib).groupBy("k").agg(
-        F.sum("_pos").alias("tp"), F.sum("_neg").alias("fp"))
+    # Every group also feeds k = -1, which therefore holds the class totals.
+    contrib = g.select(F.explode(F.sequence(F.lit(-1), F.col("_reach") - 1)).alias("k"), "_pos", "_neg")
+    per_k = zero.unionByName(contrib).groupBy("k").agg(F.sum("_pos").alias("tp"), F.sum("_neg").alias("fp"))
+    # A window over the (len(thresholds) + 1)-row table: bounded, not data-sized.
+    total = F.max(F.when(F.col("k") == -1, F.col("tp"))).over(Window.partitionBy())
+    per_k = per_k.withColumn("_P", total).filter(F.col("k") >= 0)
     tp, fp = F.col("tp"), F.col("fp")
-    fn = F.coalesce(P, F.lit(0)) - tp
+    fn = F.col("_P") - tp
     return per_k.select(
         F.round(F.element_at(arr, F.col("k") + 1), 2).alias("threshold"),
         stable_round(tp / F.greatest(tp + fn, F.lit(1)), 3).alias("recall"),

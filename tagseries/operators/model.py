@@ -93,7 +93,8 @@ def iteration_loss(model: PipelineModel, df: DataFrame, features: Sequence[str],
     x = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias(label))
     for st in model.stages[:-1]:
         x = st.transform(x)
-    losses = model.stages[-1].evaluateEachIteration(x.select("_features", label).withColumnRenamed(label, "label"))
+    # Unweighted loss on the evaluation rows (the fit's weight column must exist).
+    losses = model.stages[-1].evaluateEachIteration(x.select("_features", label, F.lit(1.0).alias("_w")))
     spark = df.sparkSession
     return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(losses)], "iteration int, loss double")
 

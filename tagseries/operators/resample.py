@@ -73,16 +73,16 @@ def regularise(resampled: DataFrame, step_s: int = 300, *, tags: Sequence[str] |
             raise ValueError("with entity keys, pass tags as a DataFrame of (entity..., tag)")
         base = tag_rows.join(extent, on=ent, how="inner")
     else:
-        ext = resampled.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
-        lo = ext.select("lo").scalar()
-        hi = ext.select("hi").scalar()
+        # One scalar subquery (one pass) for both ends of the extent.
+        ext = resampled.agg(F.struct(F.min("slot").alias("lo"), F.max("slot").alias("hi")).alias("e")).scalar()
         if tags is None:
             tag_rows = resampled.select(tag).distinct()
         elif isinstance(tags, DataFrame):
             tag_rows = tags.select(tag)
         else:
             tag_rows = _tag_frame(spark, list(tags), tag)
-        base = tag_rows.select(tag, lo.alias("_lo"), hi.alias("_hi"))
+        base = (tag_rows.select(tag, ext.alias("_e"))
+                .select(tag, F.col("_e.lo").alias("_lo"), F.col("_e.hi").alias("_hi")))
     b = block_size(block_slots) or block_size("auto")
     blocks = (base.withColumn("_b", F.explode(F.sequence(floor_div(F.col("_lo"), b),
                                                           floor_div(F.col("_hi"), b))))

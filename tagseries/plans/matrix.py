@@ -16,16 +16,24 @@ STAT_NAMES = [f"{w}_{s}" for w in WINDOWS for s in STATS]
 ROC_NAMES = [f"roc_{w}" for w in ROC_LAGS]
 
 
-def long_features(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+def long_features_of(filled: DataFrame, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """tag, slot, ts, value, quality_frac + 20 rolling stats + 3 rates of change."""
-    f = ingest.filled(spark, sf_dir, block_slots=block_slots).filter(F.col("tag").isin(C.SENSOR_COLS))
+    f = filled.filter(F.col("tag").isin(C.SENSOR_COLS))
     return tag_features(f.select("tag", "slot", "ts", "value", "quality_frac"), ["value"],
                         stat_name="{win}_{stat}", roc_name="roc_{win}", block_slots=block_slots)
 
 
+def long_features(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+    return long_features_of(ingest.filled(spark, sf_dir, block_slots=block_slots), block_slots)
+
+
 def wide_features(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+    return wide_features_of(ingest.filled(spark, sf_dir, block_slots=block_slots), block_slots)
+
+
+def wide_features_of(filled: DataFrame, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """One pivot: raw value, quality and every per-tag feature as ``<tag>_<name>``."""
-    lf = long_features(spark, sf_dir, block_slots)
+    lf = long_features_of(filled, block_slots)
     names = ["value", "quality_frac"] + STAT_NAMES + ROC_NAMES
     p = lf.groupBy("ts").pivot("tag", C.SENSOR_COLS).agg(*[F.first(n).alias(n) for n in names])
     sel = [F.col("ts")]
@@ -57,9 +65,19 @@ def joined(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEF
 
 
 def feature_matrix(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+    return finish(joined(spark, sf_dir, block_slots))
+
+
+def feature_matrix_of(filled: DataFrame, labels: DataFrame,
+                      block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+    """The matrix from a filled long table and a label table (e.g. read back from sinks)."""
+    j = wide_features_of(filled, block_slots).join(labels.select(*C.KEEP_COLS), on="ts", how="inner")
+    return finish(j)
+
+
+def finish(j: DataFrame) -> DataFrame:
     """Kept columns + engineered features; warm-up rows, rows without a target and all raw
     sensor columns dropped."""
-    j = joined(spark, sf_dir, block_slots)
     raw = [c for c in C.SENSOR_COLS] + [f"{t}_q" for t in C.SENSOR_COLS]
     x = quality_feature(cross_features(j))
     x = baseline_deviation(calendar_features(x), C.LABEL_TAG)

@@ -163,6 +163,10 @@ def _gbt_importances(spark, d):
     return slicing.top_k(feature_importances(model, feats), "importance", 25)
 
 
+def _gbt_losses(spark, d):
+    return training.losses(spark, d)
+
+
 QUERIES: dict[str, Query] = {
     "readings_union": _readings_union,
     "resample_5min": _resample,
@@ -199,4 +203,5 @@ QUERIES: dict[str, Query] = {
     "gbt_scores": _gbt_scores,
     "gbt_importances": _gbt_importances,
     "permutation_importance": _perm_importance,
+    "gbt_iteration_loss": _gbt_losses,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import feature_columns
-from ..operators.model import GBTParams, fit_gbt, permutation_importance, score
+from ..operators.model import GBTParams, fit_gbt, iteration_loss, permutation_importance, score
 from ..operators.slicing import class_balance, time_split
 from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import events_scores
@@ -40,12 +40,24 @@ def materialised_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm
 
 
+_FITTED: dict = {}
+
+
 def fitted(spark: SparkSession, sf_dir: str, trees: int = QUERY_TREES):
-    fm = materialised_matrix(spark, sf_dir)
-    feats = model_features(fm)
-    train, test = time_split(fm, C.TRAIN_END, C.TEST_START)
-    model = fit_gbt(train, feats, C.TARGET, GBTParams(max_iter=trees))
-    return model, feats, test
+    """(model, features, test rows); one fit per session, data folder and tree count."""
+    key = (id(spark), sf_dir, trees)
+    if key not in _FITTED:
+        fm = materialised_matrix(spark, sf_dir)
+        feats = model_features(fm)
+        train, test = time_split(fm, C.TRAIN_END, C.TEST_START)
+        model = fit_gbt(train, feats, C.TARGET, GBTParams(max_iter=trees))
+        _FITTED[key] = (model, feats, test)
+    return _FITTED[key]
+
+
+def losses(spark: SparkSession, sf_dir: str, trees: int = QUERY_TREES) -> DataFrame:
+    model, feats, test = fitted(spark, sf_dir, trees)
+    return iteration_loss(model, test, feats, C.TARGET)
 
 
 def gbt_scores(spark: SparkSession, sf_dir: str, trees: int = QUERY_TREES) -> DataFrame:
