@@ -131,6 +131,24 @@ SELECT slot, ts, {r6('value')} AS value, baseline_7d, is_upset_raw FROM fl""")
 SELECT slot, ts, is_upset_raw, is_upset FROM mg""")
     q["forward_labels"] = with_(labels_cte(), f"""
 SELECT ts, {r6('value')} AS flow, baseline_7d, is_upset, upset_4h, upset_12h, upset_24h FROM lb""")
+    q["forward_labels_raw_lead"] = with_(labels_cte() + """,
+rl AS (
+  SELECT ts, value, baseline_7d, is_upset,
+         max(is_upset_raw) OVER (ORDER BY slot ROWS BETWEEN 24 FOLLOWING AND 72 FOLLOWING) AS upset_4h,
+         max(is_upset_raw) OVER (ORDER BY slot ROWS BETWEEN 24 FOLLOWING AND 168 FOLLOWING) AS upset_12h,
+         max(is_upset_raw) OVER (ORDER BY slot ROWS BETWEEN 24 FOLLOWING AND 312 FOLLOWING) AS upset_24h
+  FROM mg)""", f"""
+SELECT ts, {r6('value')} AS flow, baseline_7d, is_upset, upset_4h, upset_12h, upset_24h FROM rl
+WHERE upset_4h IS NOT NULL AND upset_12h IS NOT NULL AND upset_24h IS NOT NULL""")
+    q["forward_labels_full_horizon"] = with_(labels_cte() + """,
+fh AS (
+  SELECT ts, value, baseline_7d, is_upset,
+         CASE WHEN slot + 72 <= (SELECT max(slot) FROM mg) THEN upset_4h END AS upset_4h,
+         CASE WHEN slot + 168 <= (SELECT max(slot) FROM mg) THEN upset_12h END AS upset_12h,
+         CASE WHEN slot + 312 <= (SELECT max(slot) FROM mg) THEN upset_24h END AS upset_24h
+  FROM lb0)""", f"""
+SELECT ts, {r6('value')} AS flow, baseline_7d, is_upset, upset_4h, upset_12h, upset_24h FROM fh
+WHERE upset_4h IS NOT NULL AND upset_12h IS NOT NULL AND upset_24h IS NOT NULL""")
     q["event_starts"] = with_(labels_cte() + """,
 ev AS (SELECT ts, is_upset, lag(is_upset) OVER (ORDER BY slot) AS prev FROM lb)""", """
 SELECT ts FROM ev WHERE is_upset = 1 AND (prev = 0 OR prev IS NULL)""")

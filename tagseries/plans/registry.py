@@ -57,6 +57,14 @@ def _labels(spark, d):
     return rounded(labelling.labelled(spark, d).drop("slot"))
 
 
+def _labels_raw(spark, d):
+    return rounded(labelling.labelled(spark, d, lead_from="raw").drop("slot"))
+
+
+def _labels_full(spark, d):
+    return rounded(labelling.labelled(spark, d, require_full_horizon=True).drop("slot"))
+
+
 def _starts(spark, d):
     return labelling.starts(spark, d).select("ts")
 
@@ -178,6 +186,8 @@ QUERIES: dict[str, Query] = {
     "upset_flag": _flag,
     "merged_events": _merged,
     "forward_labels": _labels,
+    "forward_labels_raw_lead": _labels_raw,
+    "forward_labels_full_horizon": _labels_full,
     "event_starts": _starts,
     "event_count": _count,
     "label_summary": _summary,
