@@ -29,7 +29,12 @@ def epoch_micros(c: Column | str, dtype: T.DataType) -> Column:
     """Microseconds since the epoch (wall clock for NTZ, instant for TIMESTAMP)."""
     c = F.col(c) if isinstance(c, str) else c
     if isinstance(dtype, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", _epoch(dtype), c)
+        # From date and time-of-day parts: no conversion through the session time zone
+        # (timestamp_diff would cast NTZ to TIMESTAMP and shift wall times in a DST gap).
+        days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("long")
+        tod = (F.hour(c).cast("long") * 3_600_000_000 + F.minute(c).cast("long") * 60_000_000
+               + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long"))
+        return days * F.lit(86_400_000_000) + tod
     return F.unix_micros(c)
 
 

@@ -107,3 +107,18 @@ def test_grid_is_complete(spark):
     r = g.agg(F.min("slot"), F.max("slot"), F.count("*")).collect()[0]
     assert r[2] == r[1] - r[0] + 1 == 30
     assert not math.isnan(r[0])
+
+
+def test_slots_ignore_session_zone(spark):  # D29: no conversion through local time
+    from tagseries.functions.time import slot_of, slot_to_ts
+    from pyspark.sql import types as T
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 32),), (dt.datetime(2024, 11, 3, 1, 31),)],
+                                   "ts timestamp_ntz")
+        nt = T.TimestampNTZType()
+        out = df.select("ts", slot_to_ts(slot_of("ts", 300, nt), 300, nt).alias("b")).collect()
+        assert [r["b"] for r in out] == [dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 11, 3, 1, 30)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
