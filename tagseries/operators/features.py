@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import (EPS, guarded_ratio, imbalance, ratio, row_mean, row_spread,
                                  share_ratio)
 from ..functions.time import calendar_columns
-from .windows import DEFAULT_BLOCK_SLOTS, halo_apply, ordered
+from .windows import DEFAULT_BLOCK_SLOTS, halo_apply, ordered, range_mean
 
 # Trailing windows (5-minute steps) and rate-of-change lags of the source.
 WINDOWS = {"30m": 6, "2h": 24, "6h": 72, "24h": 288}
@@ -29,11 +29,16 @@ def _stat_columns(c: str, part: list[str], windows: Mapping[str, int], stats: Se
     out: dict[str, Column] = {}
     for win, k in windows.items():
         w = ordered(part).rangeBetween(-(int(k) - 1), 0)
-        mn, mx = F.min(c).over(w), F.max(c).over(w)
-        exprs = {"mean": F.avg(c).over(w), "std": F.stddev_samp(c).over(w), "min": mn,
-                 "max": mx, "range": mx - mn}
+        exprs = {
+            # Exact running-sum difference: O(1) per row whatever the width.
+            "mean": lambda: range_mean(F.col(c), part, -(int(k) - 1), 0)[0],
+            "std": lambda: F.stddev_samp(c).over(w),
+            "min": lambda: F.min(c).over(w),
+            "max": lambda: F.max(c).over(w),
+            "range": lambda: F.max(c).over(w) - F.min(c).over(w),
+        }
         for s in stats:
-            out[name.format(col=c, win=win, stat=s)] = exprs[s]
+            out[name.format(col=c, win=win, stat=s)] = exprs[s]()
     return out
 
 
