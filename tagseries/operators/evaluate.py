@@ -190,4 +190,4 @@ def score_timeline(scores: DataFrame, threshold: float = 0.5, *, ts: str = "ts",
 
 
 __all__ = ["sweep_thresholds", "score_counts", "cumulative", "roc_auc_ap", "pr_curve", "confusion",
-           "classification_report", "threshold_sweep", "score_timeline", "Column"]
+           "classification_report", "threshold_sweep", "score_timeline"]

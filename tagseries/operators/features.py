@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import (EPS, guarded_ratio, imbalance, ratio, row_mean, row_spread,
@@ -159,4 +159,4 @@ def feature_columns(df: DataFrame, exclude: Sequence[str], exclude_prefixes: Seq
 __all__ = ["WINDOWS", "ROC_LAGS", "STATS", "rolling_stats", "rate_of_change", "tag_features",
            "cross_tag_features",
            "row_quality", "calendar_features", "baseline_deviation", "finish_matrix",
-           "feature_columns", "Window"]
+           "feature_columns"]

@@ -141,4 +141,4 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
 
 
 __all__ = ["GBTParams", "with_class_weight", "fit_gbt", "score", "feature_importances", "iteration_loss",
-           "permutation_importance", "PipelineModel"]
+           "permutation_importance"]

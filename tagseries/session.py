@@ -27,6 +27,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     conf.update(extra or {})
     if "spark.checkpoint.dir" not in conf:
         conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="tagseries-ckpt-")
+    if "spark.sql.warehouse.dir" not in conf:
+        conf["spark.sql.warehouse.dir"] = tempfile.mkdtemp(prefix="tagseries-wh-")
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -99,3 +99,23 @@ def test_baseline_is_causal(spark):  # §5.3: baseline at t ignores rows >= t
     ja = {r[0]: r[1] for r in a.collect()}
     jb = {r[0]: r[1] for r in b.collect()}
     assert all(ja[s] == jb[s] for s in range(10, 501))
+
+
+def test_label_depends_only_on_its_flag_interval(spark):  # §5.3.3
+    rnd = random.Random(9)
+    base = [1 if rnd.random() < 0.03 else 0 for _ in range(600)]
+    t, lead, merge, n = 300, 24, 24, 48
+    for src, lo in (("merged", t + lead - merge), ("raw", t + lead)):
+        flipped = list(base)
+        for i in range(600):
+            if not (lo <= i <= t + lead + n):
+                flipped[i] = 1 - flipped[i]
+        out = []
+        for fl in (base, flipped):
+            raw = spark.createDataFrame(list(enumerate(fl)), "slot long, is_upset_raw int")
+            if src == "merged":
+                lab = forward_labels(merge_events(raw, merge_steps=merge), horizons={"h": n}, lead_steps=lead)
+            else:
+                lab = forward_labels(raw, source="is_upset_raw", horizons={"h": n}, lead_steps=lead)
+            out.append(lab.filter(F.col("slot") == t).collect()[0]["h"])
+        assert out[0] == out[1]

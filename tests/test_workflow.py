@@ -18,3 +18,15 @@ def test_stages_round_trip(spark, tmp_path):
     sl = time_slice(sensors, "2024-01-10 00:00:00", "2024-01-11 00:00:00", limit=10)
     plan = sl._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and sl.count() == 10
+
+
+def test_namespace_and_table_sink(spark):  # S9, S10
+    from tagseries.sources.readers import read_table
+    from tagseries.sources.sinks import create_namespace, write_table
+    create_namespace(spark, "ts_ns")
+    assert spark.catalog.databaseExists("ts_ns")
+    df = spark.range(5).withColumnRenamed("id", "k")
+    write_table(df, "ts_ns.t5")
+    assert read_table(spark, "ts_ns.t5", ["k"]).count() == 5
+    write_table(df.filter("k < 2"), "ts_ns.t5")
+    assert read_table(spark, "ts_ns.t5").count() == 2
