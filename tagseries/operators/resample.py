@@ -136,20 +136,28 @@ def fill_forward(df: DataFrame, cols: Sequence[str] = ("value", "quality_frac"),
     return out
 
 
+def pivot_keyed(df: DataFrame, group: Sequence[str], key: str, keys: Sequence[str],
+                values: Sequence[str], name=lambda k, v: f"{k}_{v}") -> DataFrame:
+    """Long -> wide in one shuffle: per group, a map key -> (values...), read out per key.
+
+    Spark's ``pivot`` aggregates by (group, key) and then by group, moving the long table
+    twice; here each row crosses the network once and a group holds one entry per key
+    (bounded by the key list).  Rows must be unique per (group, key)."""
+    entry = F.struct(F.col(key).alias("k"), F.struct(*[F.col(v) for v in values]).alias("v"))
+    g = df.filter(F.col(key).isin(list(keys))).groupBy(*group).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("_m"))
+    return g.select(*[F.col(c) for c in group],
+                    *[F.col("_m").getItem(k).getField(v).alias(name(k, v)) for k in keys for v in values])
+
+
 def to_wide(filled: DataFrame, tags: Sequence[str], *, entity: Sequence[str] = (), tag: str = "tag",
             ts: str = "ts", value: str = "value", quality: str | None = "quality_frac",
             quality_suffix: str = "_q") -> DataFrame:
-    """One column per tag (and ``<tag>_q`` for quality) in a single pivot with an explicit
-    tag list: no discovery job, one shuffle on (entity, ts)."""
+    """One column per tag (and ``<tag>_q`` for quality) from an explicit tag list: no
+    discovery job, one shuffle on (entity, ts)."""
     tags = list(tags)
-    aggs = [F.first(value).alias("v")]
-    if quality:
-        aggs.append(F.first(quality).alias("q"))
-    p = filled.groupBy(*entity, ts).pivot(tag, tags).agg(*aggs)
-    sel = [F.col(c) for c in list(entity) + [ts]]
-    if not quality:
-        return p.select(*sel, *[F.col(f"`{t}`") for t in tags])
-    sel += [F.col(f"`{t}_v`").alias(t) for t in tags]
-    if quality:
-        sel += [F.col(f"`{t}_q`").alias(f"{t}{quality_suffix}") for t in tags]
-    return p.select(*sel)
+    vals = [value] + ([quality] if quality else [])
+    w = pivot_keyed(filled, list(entity) + [ts], tag, tags, vals,
+                    name=lambda k, v: k if v == value else f"{k}{quality_suffix}")
+    cols = list(entity) + [ts] + tags + ([f"{t}{quality_suffix}" for t in tags] if quality else [])
+    return w.select(*[F.col(f"`{c}`") for c in cols])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.features import (ROC_LAGS, STATS, WINDOWS, baseline_deviation, calendar_features,
                                   cross_tag_features, finish_matrix, row_quality, tag_features)
+from ..operators.resample import pivot_keyed
 from ..operators.windows import DEFAULT_BLOCK_SLOTS
 from . import config as C
 from . import ingest, labelling
@@ -35,7 +36,7 @@ def wide_features_of(filled: DataFrame, block_slots: int | str | None = DEFAULT_
     """One pivot: raw value, quality and every per-tag feature as ``<tag>_<name>``."""
     lf = long_features_of(filled, block_slots)
     names = ["value", "quality_frac"] + STAT_NAMES + ROC_NAMES
-    p = lf.groupBy("ts").pivot("tag", C.SENSOR_COLS).agg(*[F.first(n).alias(n) for n in names])
+    p = pivot_keyed(lf, ["ts"], "tag", C.SENSOR_COLS, names)
     sel = [F.col("ts")]
     for t in C.SENSOR_COLS:
         sel += [F.col(f"{t}_value").alias(t), F.col(f"{t}_quality_frac").alias(f"{t}_q")]
