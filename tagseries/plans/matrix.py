@@ -20,8 +20,11 @@ ROC_NAMES = [f"roc_{w}" for w in ROC_LAGS]
 def long_features_of(filled: DataFrame, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """tag, slot, ts, value, quality_frac + 20 rolling stats + 3 rates of change."""
     f = filled.filter(F.col("tag").isin(C.SENSOR_COLS))
+    # The filled frame is a complete grid (one row per tag and slot): wide frames can use
+    # running prefix / suffix aggregates.
     return tag_features(f.select("tag", "slot", "ts", "value", "quality_frac"), ["value"],
-                        stat_name="{win}_{stat}", roc_name="roc_{win}", block_slots=block_slots)
+                        stat_name="{win}_{stat}", roc_name="roc_{win}", complete_grid=True,
+                        block_slots=block_slots)
 
 
 def long_features(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:

@@ -69,3 +69,20 @@ def test_feature_columns_prefixes(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0, 4.0)], "ts int, flow_x double, vib double, flow double")
     assert feature_columns(df, ["ts"], ["flow"]) == ["vib"]
     assert F is not None
+
+
+def test_chunked_equals_sliding(spark):
+    import random
+    from tagseries.plans.present import rounded
+    rnd = random.Random(4)
+    rows = []
+    for tag, lo, hi in (("a", 3, 1200), ("b", -700, 300)):
+        for s in range(lo, hi):
+            v = None if rnd.random() < 0.1 else round(rnd.gauss(50, 20), 2)
+            rows.append((tag, s, 42.0 if 500 < s < 560 else v))
+    df = spark.createDataFrame(rows, "tag string, slot long, value double")
+    wins = {"a": 6, "b": 50, "c": 97, "d": 288}
+    ref = rounded(rolling_stats(df, windows=wins, block_slots=None))
+    for b in (None, 400):
+        got = rounded(rolling_stats(df, windows=wins, complete_grid=True, block_slots=b))
+        assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
