@@ -44,10 +44,14 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str
     when it is unset *and* ``allow_local`` is given (tests, local bench) a fresh
     scratch folder is created.  Returns the directory in use, or ``None``.
     """
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         if not allow_local:
             return None
         d = tempfile.mkdtemp(prefix="tagseries-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d

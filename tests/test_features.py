@@ -86,3 +86,10 @@ def test_chunked_equals_sliding(spark):
     for b in (None, 400):
         got = rounded(rolling_stats(df, windows=wins, complete_grid=True, block_slots=b))
         assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
+
+
+def test_feature_plan_has_no_single_partition(spark):  # §5.3.6
+    df = spark.createDataFrame([("a", i, float(i % 7)) for i in range(1000)], "tag string, slot long, value double")
+    for cg in (False, True):
+        plan = tag_features(df, complete_grid=cg)._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan
