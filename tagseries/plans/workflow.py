@@ -57,3 +57,24 @@ def run_stages(spark: SparkSession, sf_dir: str, out_root: str, *, fmt: str = "p
         "report": classification_report(scores),
         "thresholds": threshold_sweep(scores),
     }
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m tagseries.plans.workflow SF_DIR OUT_DIR [TREES]``: run the stages on the
+    test tables and print the reports."""
+    import sys
+
+    from ..session import local_session
+    args = list(sys.argv[1:] if argv is None else argv)
+    if len(args) < 2:
+        raise SystemExit("usage: python -m tagseries.plans.workflow SF_DIR OUT_DIR [TREES]")
+    spark = local_session()
+    out = run_stages(spark, args[0], args[1], trees=int(args[2]) if len(args) > 2 else 40)
+    for name, df in out.items():
+        print(f"== {name}")
+        df.show(truncate=False)
+    spark.stop()
+
+
+if __name__ == "__main__":
+    main()
