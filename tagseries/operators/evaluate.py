@@ -94,11 +94,12 @@ def pr_curve(scores: DataFrame, *, by: Sequence[str] = (), label: str = "label",
     """Precision and recall at every distinct score used as threshold (score >= t)."""
     c = cumulative(score_counts(scores, by=by, label=label, score=score), by=by, score=score,
                    n_buckets=n_buckets)
-    total = F.sum("pos").over(Window.partitionBy(*by)) if by else None
-    if total is None:
-        c = c.withColumn("_P", c.select(F.sum("pos")).scalar())
+    if by:
+        # Group totals as an aggregate joined back (one row per group), not a window that
+        # would put all of a group's distinct scores into one task.
+        c = c.join(c.groupBy(*by).agg(F.sum("pos").alias("_P")), on=list(by), how="left")
     else:
-        c = c.withColumn("_P", total)
+        c = c.withColumn("_P", c.select(F.sum("pos")).scalar())
     return c.select(*by, F.col(score).alias("threshold"), "tp", "fp",
                     F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double")).alias("precision"),
                     (F.col("tp").cast("double") / F.greatest(F.col("_P"), F.lit(1))).alias("recall"))

@@ -80,3 +80,10 @@ def test_report_matches_confusion(spark):
     assert rep["Upset"]["precision"] == 0.5 and rep["Upset"]["recall"] == 0.5
     assert abs(rep["Normal"]["precision"] - 2 / 3) < 1e-15 and rep["Normal"]["support"] == 3
     assert rep["accuracy"]["f1_score"] == 0.6
+
+
+def test_grouped_pr_curve(spark):
+    rows = [(g, y, s) for g in range(2) for y, s in [(1, 0.9), (0, 0.8), (1, 0.8), (0, 0.1)]]
+    df = spark.createDataFrame(rows, "g int, label int, score double")
+    pts = {(r["g"], r["threshold"]): r for r in pr_curve(df, by=["g"]).collect()}
+    assert pts[(1, 0.8)]["recall"] == 1.0 and pts[(0, 0.9)]["recall"] == 0.5
