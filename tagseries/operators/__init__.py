@@ -2,11 +2,12 @@
 
 from .labels import (deviation_flag, event_count, event_starts, forward_labels, label_summary,
                      merge_events, rolling_baseline, upset_labels)
-from .resample import fill_forward, regularise, resample, to_wide
+from .resample import fill_forward, fill_on_grid, pivot_keyed, regularise, resample, to_wide
 from .windows import carry_last, carry_prev, halo_apply
 
 __all__ = [
     "deviation_flag", "event_count", "event_starts", "forward_labels", "label_summary",
-    "merge_events", "rolling_baseline", "upset_labels", "fill_forward", "regularise", "resample",
+    "merge_events", "rolling_baseline", "upset_labels", "fill_forward", "fill_on_grid", "pivot_keyed",
+    "regularise", "resample",
     "to_wide", "carry_last", "carry_prev", "halo_apply",
 ]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nan_to_null
@@ -61,8 +61,17 @@ def regularise(resampled: DataFrame, step_s: int = 300, *, tags: Sequence[str] |
     many tasks instead of one ``explode``.
     """
     dtype = resampled.schema[ts].dataType
-    spark = resampled.sparkSession
     ent = list(entity)
+    base, _ = _tag_extent(resampled, tags, ent, tag)
+    grid = _grid_rows(base, ent, tag, block_size(block_slots) or block_size("auto"))
+    grid = grid.withColumn(ts, slot_to_ts("slot", step_s, dtype))
+    vals = resampled.drop(ts)
+    return grid.join(vals, on=ent + [tag, "slot"], how="left")
+
+
+def _tag_extent(resampled: DataFrame, tags, ent: list[str], tag: str) -> tuple[DataFrame, DataFrame]:
+    """(rows ``entity..., tag, _lo, _hi`` of the grid to build, buckets restricted to them)."""
+    spark = resampled.sparkSession
     if ent:
         extent = resampled.groupBy(*ent).agg(F.min("slot").alias("_lo"), F.max("slot").alias("_hi"))
         if tags is None:
@@ -73,7 +82,6 @@ def regularise(resampled: DataFrame, step_s: int = 300, *, tags: Sequence[str] |
             raise ValueError("with entity keys, pass tags as a DataFrame of (entity..., tag)")
         base = tag_rows.join(extent, on=ent, how="inner")
     else:
-        # One scalar subquery (one pass) for both ends of the extent.
         ext = resampled.agg(F.struct(F.min("slot").alias("lo"), F.max("slot").alias("hi")).alias("e")).scalar()
         if tags is None:
             tag_rows = resampled.select(tag).distinct()
@@ -83,18 +91,74 @@ def regularise(resampled: DataFrame, step_s: int = 300, *, tags: Sequence[str] |
             tag_rows = _tag_frame(spark, list(tags), tag)
         base = (tag_rows.select(tag, ext.alias("_e"))
                 .select(tag, F.col("_e.lo").alias("_lo"), F.col("_e.hi").alias("_hi")))
-    b = block_size(block_slots) or block_size("auto")
+    if tags is None:
+        data = resampled
+    elif isinstance(tags, DataFrame):
+        data = resampled.join(tags.select(*ent, tag).distinct(), on=ent + [tag], how="left_semi")
+    else:
+        data = resampled.filter(F.col(tag).isin(list(tags)))
+    return base, data
+
+
+def _grid_rows(base: DataFrame, ent: list[str], tag: str, b: int) -> DataFrame:
+    """Every slot of [_lo, _hi] per (entity, tag), generated block by block."""
+    spark = base.sparkSession
     blocks = (base.withColumn("_b", F.explode(F.sequence(floor_div(F.col("_lo"), b),
                                                           floor_div(F.col("_hi"), b))))
                   # An explicit count: AQE would coalesce these tiny rows into one task.
                   .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *ent, tag, "_b"))
-    grid = blocks.select(
+    return blocks.select(
         *ent, tag,
         F.explode(F.sequence(F.greatest(F.col("_lo"), F.col("_b") * b),
                              F.least(F.col("_hi"), F.col("_b") * b + (b - 1)))).alias("slot"))
-    grid = grid.withColumn(ts, slot_to_ts("slot", step_s, dtype))
-    vals = resampled.drop(ts)
-    return grid.join(vals, on=ent + [tag, "slot"], how="left")
+
+
+def fill_on_grid(resampled: DataFrame, step_s: int = 300, *, tags: Sequence[str] | DataFrame | None = None,
+                 entity: Sequence[str] = (), tag: str = "tag", ts: str = "ts",
+                 cols: Sequence[str] = ("value", "quality_frac"), max_gap_steps: int | None = None,
+                 block_slots: int | str | None = DEFAULT_BLOCK_SLOTS, gap_flag: str | None = "is_gap_filled",
+                 age: str | None = None) -> DataFrame:
+    """``regularise`` followed by ``fill_forward`` in one shuffle of the grid.
+
+    Grid rows and bucket rows are unioned and partitioned once by (entity, tag, block); the
+    window sorts a bucket row right after the grid row of its slot, fills along that
+    order, and keeps one row per slot (the bucket row where there is one).  This avoids the
+    separate shuffle of the grid-sized join."""
+    dtype = resampled.schema[ts].dataType
+    ent = list(entity)
+    keys = ent + [tag]
+    cols = list(cols)
+    base, data = _tag_extent(resampled, tags, ent, tag)
+    grid = _grid_rows(base, ent, tag, block_size(block_slots) or block_size("auto"))
+    payload = [c for c in data.columns if c not in keys + ["slot", ts]]
+    grid = grid.select(*keys, "slot", *[F.lit(None).cast(data.schema[c].dataType).alias(c) for c in payload],
+                       F.lit(0).alias("_is_data"))
+    both = grid.unionByName(data.select(*keys, "slot", *payload, F.lit(1).alias("_is_data")))
+    if gap_flag:
+        both = both.withColumn(gap_flag, F.col(cols[0]).isNull().cast("int"))
+    # A grid row is superseded by the bucket row of the same slot, which sorts right after it.
+    order = ["slot", "_is_data"]
+    if max_gap_steps is None:
+        out = carry_last(both, keys, cols, block_slots=block_slots, with_slot="_seen" if age else None,
+                         order=order, mark_dup="_dup")
+    else:
+        k = int(max_gap_steps)
+
+        def fn(x: DataFrame, part: list[str]) -> DataFrame:
+            w = ordered(part).rangeBetween(-k, 0)
+            new = {c: F.last(c, True).over(w) for c in cols}
+            if age:
+                new["_seen"] = F.last(F.when(F.col(cols[0]).isNotNull(), F.col("slot")), True).over(w)
+            new["_dup"] = F.lead("slot").over(Window.partitionBy(*part).orderBy(*order)) == F.col("slot")
+            return x.withColumns(new)
+
+        out = halo_apply(both, keys, fn, block_slots=block_slots, lookback=k)
+    out = out.filter(~F.coalesce(F.col("_dup"), F.lit(False))).drop("_dup", "_is_data")
+    if age:
+        out = out.withColumn(age, F.col("slot") - F.col("_seen")).drop("_seen")
+    out = out.withColumn(ts, slot_to_ts("slot", step_s, dtype))
+    tail = ([gap_flag] if gap_flag else []) + ([age] if age else [])
+    return out.select(*keys, "slot", ts, *payload, *tail)
 
 
 def _tag_frame(spark: SparkSession, tags: list[str], tag: str) -> DataFrame:

@@ -123,28 +123,40 @@ def range_any(flag: Column, part: Sequence[str], lo: int, hi: int, slot: str = "
 
 
 def carry_last(df: DataFrame, keys: Sequence[str], cols: Sequence[str], *, slot: str = "slot",
-               block_slots: int | str | None = DEFAULT_BLOCK_SLOTS, with_slot: str | None = None) -> DataFrame:
+               block_slots: int | str | None = DEFAULT_BLOCK_SLOTS, with_slot: str | None = None,
+               order: Sequence[str] | None = None, mark_dup: str | None = None) -> DataFrame:
     """Replace each of ``cols`` by its last non-null value at or before the row (unbounded
     forward fill).  ``with_slot`` names an extra output column: the slot the first of
-    ``cols`` was last seen at (for the age of a fill)."""
+    ``cols`` was last seen at (for the age of a fill).  ``order`` refines the row order
+    within a slot; ``mark_dup`` names a flag set on a row followed by one of the same slot."""
+    order = list(order or [slot])
     cols = list(cols)
     track = {c: F.col(c) for c in cols}
     if with_slot:
         track[with_slot] = F.when(F.col(cols[0]).isNotNull(), F.col(slot))
     b = block_size(block_slots)
     if b is None:
-        w = ordered(keys, slot).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({c: F.last(e, True).over(w) for c, e in track.items()})
-    x = df.withColumn(BLOCK, floor_div(F.col(slot), b))
+        w = Window.partitionBy(*keys).orderBy(*order)
+        new = {c: F.last(e, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c, e in track.items()}
+        if mark_dup:
+            new[mark_dup] = F.lead(slot).over(w) == F.col(slot)
+        return df.withColumns(new)
     part = list(keys) + [BLOCK]
+    # The in-block window and the block summary both start from the (key, block) exchange;
+    # the summary's aggregate needs no further shuffle.
+    x = _spread(df.withColumn(BLOCK, floor_div(F.col(slot), b)), part)
     # Last non-null of every tracked column per (key, block): a few rows per key.
     summary = x.groupBy(*part).agg(*[
         F.max(F.when(e.isNotNull(), F.struct(F.col(slot).alias("s"), e.alias("v"))))["v"].alias(f"_sum_{c}")
         for c, e in track.items()])
     wb = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select(*part, *[F.last(f"_sum_{c}", True).over(wb).alias(f"_carry_{c}") for c in track])
-    w = ordered(part, slot).rowsBetween(Window.unboundedPreceding, 0)
-    x = _spread(x, part).withColumns({f"_in_{c}": F.last(e, True).over(w) for c, e in track.items()})
+    w0 = Window.partitionBy(*part).orderBy(*order)
+    w = w0.rowsBetween(Window.unboundedPreceding, 0)
+    new = {f"_in_{c}": F.last(e, True).over(w) for c, e in track.items()}
+    if mark_dup:
+        new[mark_dup] = F.lead(slot).over(w0) == F.col(slot)
+    x = x.withColumns(new)
     x = x.join(summary, on=part, how="left")
     return (x.withColumns({c: F.coalesce(F.col(f"_in_{c}"), F.col(f"_carry_{c}")) for c in track})
              .drop(BLOCK, *[f"_in_{c}" for c in track], *[f"_carry_{c}" for c in track]))
@@ -156,14 +168,14 @@ def carry_prev(df: DataFrame, keys: Sequence[str], col: str, out: str, *, slot:
     b = block_size(block_slots)
     if b is None:
         return df.withColumn(out, F.lag(col, 1).over(ordered(keys, slot)))
-    x = df.withColumn(BLOCK, floor_div(F.col(slot), b))
     part = list(keys) + [BLOCK]
+    x = _spread(df.withColumn(BLOCK, floor_div(F.col(slot), b)), part)  # shared by both branches
     summary = x.groupBy(*part).agg(
         F.max(F.struct(F.col(slot).alias("s"), F.col(col).alias("v")))["v"].alias("_sum_last"))
     summary = summary.select(*part, F.lag("_sum_last", 1).over(
         Window.partitionBy(*keys).orderBy(BLOCK)).alias("_carry_prev"))
     w = ordered(part, slot)
-    x = _spread(x, part).withColumns({"_lag_slot": F.lag(slot, 1).over(w), "_lag_val": F.lag(col, 1).over(w)})
+    x = x.withColumns({"_lag_slot": F.lag(slot, 1).over(w), "_lag_val": F.lag(col, 1).over(w)})
     x = x.join(summary, on=part, how="left")
     return (x.withColumn(out, F.when(F.col("_lag_slot").isNull(), F.col("_carry_prev"))
                          .otherwise(F.col("_lag_val")))

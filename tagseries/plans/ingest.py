@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.resample import fill_forward, regularise, resample, to_wide
+from ..operators.resample import fill_on_grid, regularise, resample, to_wide
 from ..operators.windows import DEFAULT_BLOCK_SLOTS
 from ..sources.fixtures import events_readings
 from ..sources.sinks import with_year
@@ -27,8 +27,8 @@ def grid(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAU
 
 def filled(spark: SparkSession, sf_dir: str, *, max_gap_steps: int | None = None,
            block_slots: int | str | None = DEFAULT_BLOCK_SLOTS, age: str | None = None) -> DataFrame:
-    g = grid(spark, sf_dir, block_slots)
-    return fill_forward(g, ("value", "quality_frac"), max_gap_steps=max_gap_steps,
+    """Grid + forward fill in one shuffle of the grid (``fill_on_grid``)."""
+    return fill_on_grid(buckets(spark, sf_dir), C.STEP_S, tags=C.TAGS, max_gap_steps=max_gap_steps,
                         block_slots=block_slots, age=age)
 
 

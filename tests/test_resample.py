@@ -123,3 +123,29 @@ def test_slots_ignore_session_zone(spark):  # D29: no conversion through local t
         assert [r["b"] for r in out] == [dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 11, 3, 1, 30)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_fused_grid_fill_equals_two_steps(spark):
+    from tagseries.operators.resample import fill_on_grid
+    rows = [(at(5 * i + 1), "a", float(i), 192 if i % 4 else 0) for i in range(0, 300, 1) if i % 7 and not 100 < i < 140]
+    rows += [(at(5 * i + 2), "b", float(-i), 192) for i in range(50, 260, 3)]
+    rows += [(at(5 * 10), "zzz", 1.0, 192)]
+    b = resample(spark.createDataFrame(rows, SCHEMA))
+    for tags in (None, ["a", "b", "missing"]):
+        for cap, age in ((None, None), (None, "age"), (12, "age")):
+            for blk in (None, 17, "auto"):
+                two = fill_forward(regularise(b, tags=tags, block_slots=blk), max_gap_steps=cap, age=age,
+                                   block_slots=blk)
+                one = fill_on_grid(b, tags=tags, max_gap_steps=cap, age=age, block_slots=blk)
+                assert one.columns == two.columns
+                assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+
+
+def test_fused_grid_fill_entities(spark):
+    from tagseries.operators.resample import fill_on_grid
+    rows = [(p, at(5 * i + 1), "a", float(i), 192) for p in ("x", "y") for i in range(0, 200, 3 if p == "x" else 5)]
+    b = resample(spark.createDataFrame(rows, "plant string, " + SCHEMA), entity=["plant"])
+    tags = b.select("plant", "tag").distinct()
+    two = fill_forward(regularise(b, tags=tags, entity=["plant"], block_slots=40), entity=["plant"], block_slots=40)
+    one = fill_on_grid(b, tags=tags, entity=["plant"], block_slots=40)
+    assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
