@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nan_to_null
+from ..session import ensure_checkpoint_dir
 from ..functions.time import floor_div, slot_of, slot_to_ts
 from .windows import DEFAULT_BLOCK_SLOTS, block_size, carry_last, halo_apply, ordered
 
@@ -117,7 +118,7 @@ def fill_on_grid(resampled: DataFrame, step_s: int = 300, *, tags: Sequence[str]
                  entity: Sequence[str] = (), tag: str = "tag", ts: str = "ts",
                  cols: Sequence[str] = ("value", "quality_frac"), max_gap_steps: int | None = None,
                  block_slots: int | str | None = DEFAULT_BLOCK_SLOTS, gap_flag: str | None = "is_gap_filled",
-                 age: str | None = None) -> DataFrame:
+                 age: str | None = None, checkpoint_buckets: bool = True) -> DataFrame:
     """``regularise`` followed by ``fill_forward`` in one shuffle of the grid.
 
     Grid rows and bucket rows are unioned and partitioned once by (entity, tag, block); the
@@ -129,6 +130,9 @@ def fill_on_grid(resampled: DataFrame, step_s: int = 300, *, tags: Sequence[str]
     keys = ent + [tag]
     cols = list(cols)
     base, data = _tag_extent(resampled, tags, ent, tag)
+    if (checkpoint_buckets and max_gap_steps is None and block_size(block_slots)
+            and ensure_checkpoint_dir(resampled.sparkSession)):
+        data = data.checkpoint(eager=True)
     grid = _grid_rows(base, ent, tag, block_size(block_slots) or block_size("auto"))
     payload = [c for c in data.columns if c not in keys + ["slot", ts]]
     grid = grid.select(*keys, "slot", *[F.lit(None).cast(data.schema[c].dataType).alias(c) for c in payload],
