@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import stable_round
-from .windows import DEFAULT_BLOCK_SLOTS, carry_prev, halo_apply, range_any, range_mean
+from ..session import ensure_checkpoint_dir
+from .windows import DEFAULT_BLOCK_SLOTS, block_size, carry_prev, halo_apply, range_any, range_mean
 
 # Label configuration of the source notebooks (5-minute steps).
 BASELINE_STEPS = 2016          # 7 days
@@ -138,8 +139,15 @@ def upset_labels(series: DataFrame, value: str = "value", *, entity: Sequence[st
 
 
 def event_starts(labelled: DataFrame, flag: str = "is_upset", *, entity: Sequence[str] = (),
-                 block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
-    """Rows where ``flag`` rises: 1 now, and 0 or no row before (lag over rows)."""
+                 block_slots: int | str | None = DEFAULT_BLOCK_SLOTS,
+                 checkpoint_input: bool = True) -> DataFrame:
+    """Rows where ``flag`` rises: 1 now, and 0 or no row before (lag over rows).
+
+    The blocked form reads its input twice (rows and block summary); with
+    ``checkpoint_input`` and a ``spark.checkpoint.dir`` configured, the needed columns are
+    checkpointed there first so the label chain runs once."""
+    if checkpoint_input and block_size(block_slots) and ensure_checkpoint_dir(labelled.sparkSession):
+        labelled = labelled.checkpoint(eager=True)
     x = carry_prev(labelled, list(entity), flag, "_prev", block_slots=block_slots)
     return (x.filter((F.col(flag) == 1) & ((F.col("_prev") == 0) | F.col("_prev").isNull()))
              .drop("_prev"))
@@ -148,7 +156,8 @@ def event_starts(labelled: DataFrame, flag: str = "is_upset", *, entity: Sequenc
 def event_count(labelled: DataFrame, flag: str = "is_upset", *, entity: Sequence[str] = (),
                 block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """Number of rising edges (per entity)."""
-    starts = event_starts(labelled, flag, entity=entity, block_slots=block_slots)
+    cols = list(entity) + ["slot", flag]
+    starts = event_starts(labelled.select(*cols), flag, entity=entity, block_slots=block_slots)
     return starts.groupBy(*entity).agg(F.count(F.lit(1)).alias("n_distinct_upset_events"))
 
 
