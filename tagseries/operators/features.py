@@ -168,7 +168,9 @@ def tag_features(df: DataFrame, cols: Sequence[str] = ("value",), *,
         new: dict[str, Column] = {}
         for c in cols:
             for win, k in lags.items():
-                prev = F.first(c).over(ordered(part).rangeBetween(-int(k), -int(k)))
+                # On a complete grid the row k back is the slot k back: an offset frame.
+                prev = (F.lag(c, int(k)).over(ordered(part)) if complete_grid
+                        else F.first(c).over(ordered(part).rangeBetween(-int(k), -int(k))))
                 new[roc_name.format(col=c, win=win)] = guarded_ratio(F.col(c) - prev, F.abs(prev), eps)
         x = x.withColumns(new)
         return _with_stats(x, cols, part, windows, stats, stat_name, complete_grid)

@@ -93,3 +93,12 @@ def test_feature_plan_has_no_single_partition(spark):  # §5.3.6
     for cg in (False, True):
         plan = tag_features(df, complete_grid=cg)._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in plan
+
+
+def test_tag_features_complete_grid_equal(spark):
+    from tagseries.plans.present import rounded
+    df = spark.createDataFrame([("a", i, float((i * 7) % 11) if i % 9 else None) for i in range(-50, 700)],
+                               "tag string, slot long, value double")
+    a = rounded(tag_features(df, block_slots=None))
+    b = rounded(tag_features(df, complete_grid=True, block_slots=200))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
