@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,12 +62,6 @@ def crc_fold(c: Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % n
 
 
-def encoded(texts: Iterable) -> Iterator[bytes]:
-    """UTF-8 bytes of each text; null is empty."""
-    for t in texts:
-        yield t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit integers (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(33))
@@ -75,15 +71,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def map_frames(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``mapInPandas`` of a function of one frame; empty frames are skipped."""
+def texts_of(column: pa.Array) -> list[bytes]:
+    """UTF-8 bytes of an Arrow string column; null is empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
-    def run(frames):
-        for pdf in frames:
-            if len(pdf):
-                yield f(pdf)
 
-    return df.mapInPandas(run, schema)
+def add_columns(df: DataFrame, text_col: str, start: Callable[[], Callable[[list[bytes]], list]], fields: str) -> DataFrame:
+    """``df`` with new columns ``fields`` (DDL) computed from the whole text of each row.
+
+    ``start()`` runs once per task and returns a function from texts to one list per new column.
+    Input columns pass through as Arrow arrays, so ids keep their exact type and nulls.
+    """
+    new = T._parse_datatype_string(fields)
+    types, at = [f.type for f in to_arrow_schema(new)], df.columns.index(text_col)
+    names = df.columns + new.names
+
+    def run(batches):
+        f = start()
+        for b in batches:
+            if b.num_rows:
+                made = f(texts_of(b.column(at)))
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(made, types, strict=True))], names)
+
+    return df.mapInArrow(run, T.StructType(df.schema.fields + new.fields))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagseries.llm import mixing, secret_scan, url_filter
+from tagseries.llm import decontaminate, mixing, secret_scan, token_counts, toxicity, url_filter
 from tagseries.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_secret_scan(spark, sf_dir):
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_section_tokens(spark, sf_dir):
+    return token_counts.section_tokens(table(spark, sf_dir, "documents")).drop("section_tokens")
+
+
 def op5_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -18,5 +22,14 @@ def op6_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_mix_sources, op6_url_filter)}
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_decontaminate(spark, sf_dir):
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_section_tokens, op5_mix_sources, op6_url_filter,
+                                   op7_toxicity, op10_decontaminate)}
 SQL = {"op5_mix_sources": mixing.mixing_sql(), "op6_url_filter": url_filter.url_sql()}
