@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from tagseries.llm import decontaminate, mixing, secret_scan, token_counts, toxicity, url_filter
+from tagseries.llm import (
+    decontaminate,
+    hash_forest,
+    lm_score,
+    mixing,
+    repeats,
+    secret_scan,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from tagseries.llm.common import table
 
 
@@ -10,6 +20,10 @@ def op1_secret_scan(spark, sf_dir):
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark, sf_dir):
+    return lm_score.lm_score(table(spark, sf_dir, "documents"))
+
+
 def op4_section_tokens(spark, sf_dir):
     return token_counts.section_tokens(table(spark, sf_dir, "documents")).drop("section_tokens")
 
@@ -26,10 +40,18 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_remove_repeats(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_nearest(spark, sf_dir):
+    return hash_forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_section_tokens, op5_mix_sources, op6_url_filter,
-                                   op7_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_lm_score, op4_section_tokens, op5_mix_sources, op6_url_filter,
+                                   op7_toxicity, op8_remove_repeats, op9_nearest, op10_decontaminate)}
 SQL = {"op5_mix_sources": mixing.mixing_sql(), "op6_url_filter": url_filter.url_sql()}
