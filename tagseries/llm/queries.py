@@ -5,6 +5,7 @@ from __future__ import annotations
 from tagseries.llm import (
     decontaminate,
     hash_forest,
+    jaccard_join,
     lm_score,
     mixing,
     repeats,
@@ -20,6 +21,10 @@ def op1_secret_scan(spark, sf_dir):
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_score(spark, sf_dir):
     return lm_score.lm_score(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,6 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_lm_score, op4_section_tokens, op5_mix_sources, op6_url_filter,
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_lm_score, op4_section_tokens, op5_mix_sources, op6_url_filter,
                                    op7_toxicity, op8_remove_repeats, op9_nearest, op10_decontaminate)}
 SQL = {"op5_mix_sources": mixing.mixing_sql(), "op6_url_filter": url_filter.url_sql()}
