@@ -44,6 +44,7 @@ from tagseries.llm.common import components, mix64, stage, texts_of
 WORDS, LINK = 5, (80, 100)
 SKETCH, BITS, FILTER = 1 << 18, 2048, 1 << 23
 LEAF, SMALL, PIVOTS, DEPTH = 2048, 64, 16, 4
+SALTS = 64
 _mult = mix64(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -121,7 +122,8 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, words: int, order: np.ndarray) -> DataFrame:
-    """(s, node) for the prefix of each document's set, ``hot`` where the sketch says it is frequent."""
+    """(s, salt, node) for the prefix of each document's set.  Shingles that the sketch says are
+    frequent get one of SALTS salts by node, all others salt 0."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
     limit = max(1000, 8 * int(order.mean()) + 1)
 
@@ -135,21 +137,26 @@ def _prefixes(docs: DataFrame, words: int, order: np.ndarray) -> DataFrame:
                     c = count[bucket(s)]
                     k = len(s) - -(-LINK[0] * len(s) // LINK[1]) + 1
                     first = np.lexsort((s, c))[:k]
+                    node = short_key(digest(s))
                     out[0].append(s[first].view(np.int64))
-                    out[1].append(np.full(k, short_key(digest(s)), np.int64))
-                    out[2].append(c[first] > limit)
+                    out[1].append(np.where(c[first] > limit, node % SALTS + 1, 0).astype(np.int32))
+                    out[2].append(np.full(k, node, np.int64))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["s", "node", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["s", "salt", "node"])
 
-    return docs.select("text").mapInArrow(run, "s bigint, node bigint, hot boolean")
+    return docs.select("text").mapInArrow(run, "s bigint, salt int, node bigint")
 
 
 def _members(prefixes: DataFrame) -> DataFrame:
-    """(lead, node): the members of each leader's region, short keys, leaders included."""
-    cold = prefixes.where("not hot").withColumn("lead", F.first("node").over(Window.partitionBy("s").orderBy("node")))
-    hot = prefixes.where("hot").select("s", "node").distinct()  # spread by both
-    lead = hot.groupBy("s").agg(F.min("node").alias("lead"))
-    pairs = cold.select("lead", "node").unionByName(hot.join(lead, "s").select("lead", "node"))
+    """(lead, node): the members of each leader's region, short keys, leaders included.
+
+    Prefixes are shuffled once, by shingle and salt, and read in order; the leaders of a frequent
+    shingle's salts then agree on the smallest, map-side."""
+    first = F.first("node").over(Window.partitionBy("s", "salt").orderBy("node"))
+    led = stage(prefixes.withColumn("lead", first).where("salt > 0 or lead <> node"), "led")
+    hot = led.where("salt > 0").select("s", "node").distinct()
+    top = led.where("salt > 0").groupBy("s").agg(F.min("lead").alias("lead"))
+    pairs = led.where("salt = 0").select("lead", "node").unionByName(hot.join(top, "s").select("lead", "node"))
     pairs = pairs.where("lead <> node").distinct()
     return pairs.unionByName(pairs.select("lead", F.col("lead").alias("node")).distinct())
 
@@ -178,8 +185,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) whose sets link; only the sets of these pairs' nodes are made again."""
+    pairs = stage(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(docs, stage(classes.select("node", "id").join(nodes, "node", "left_semi"), "wanted"), words)
+    sets = stage(sets, "shingles")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -284,13 +295,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                + ", n bigint, bits binary, k bigint")
     member = stage(_members(_prefixes(src, words, order)), "members")
     region = stage(member.join(keyed, member["node"] == keyed["k"]).select(
-        F.col("lead").alias("region"), keyed["node"].alias("node"), "n", "bits", "id",
+        F.col("lead").alias("region"), keyed["node"].alias("node"), "n", "bits",
         (F.col("lead") == F.col("k")).alias("leads")), "regions")
-    sets = stage(_sets(src, region.select("node", "id").distinct(), words), "shingles")
+    verified = lambda p: _verified(p, src, classes, words)
 
     lead = region.where("leads").select("region", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
     led = region.join(lead, "region").where("node <> b").select(F.col("node").alias("a"), "b", "n", "n2", "bits", "bits2")
-    links = stage(_verified(led.mapInArrow(_close_pairs, "a binary, b binary").distinct(), sets), "links0")
+    links = stage(verified(led.mapInArrow(_close_pairs, "a binary, b binary").distinct()), "links0")
     comp = components(links)
     rest = stage(_with_component(region.select("region", "node", "n", "bits"), comp), "rest")
     leaves = [rest.where((F.col("size") > 2) & (F.col("size") <= leaf))]  # two: compared above
@@ -300,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         cells = stage(_cells(big, level), "cells")
         homes = cells.where("pivot is not null").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        links = stage(links.unionByName(_verified(homes, sets)), f"links{level + 1}")
+        links = stage(links.unionByName(verified(homes)), f"links{level + 1}")
         comp = components(links)
         rest = stage(_with_component(cells.drop("pivot"), comp), "rest")
         leaves.append(rest.where(F.col("size") <= leaf))
@@ -310,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for x in leaves[1:]:
         todo = todo.unionByName(x)
     pairs = _leaf_pairs(todo.select("region", "size", "node", "n", "bits", "root"), leaf)
-    more = stage(_verified(pairs, sets), "links")
+    more = stage(verified(pairs), "links")
     comp = components(links.unionByName(more)) if not more.isEmpty() else comp
 
     named = comp.join(classes.select("node", "id"), "node")
