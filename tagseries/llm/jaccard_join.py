@@ -11,12 +11,14 @@ link at 0.8.
    in the region of each shingle of its prefix (its first n - ceil(0.8 n) + 1 shingles, rare ones
    first), and sets that link share such a shingle.  The smallest member of a region is its leader,
    and regions of one leader are one region.
-2. Each member is compared with its leader; members that link directly are one component already, and
-   a region that lies in one component is finished, without any of its pairs.
-3. A region with more than ``leaf`` members is cut into Voronoi cells of sampled pivots.  A member
-   goes to its nearest pivot, and also to each pivot that is farther by at most its window, twice the
-   largest difference a link allows: where its links' homes may be.  Members are compared with their
-   home pivot, finished cells leave, and cells are cut again.
+2. Each member is compared exactly with its home, the nearest leader; linked ones are one component,
+   and a region that lies in one component is finished, without any of its pairs.  Two more rounds
+   compare members with the nearest of freshly drawn pivots of their regions.  Each round makes at
+   most one comparison per set.
+3. A region with more than ``leaf`` members that is not finished is cut into Voronoi cells of sampled
+   pivots.  A member goes to its nearest pivot, and also to each pivot that is farther by at most its
+   window, twice the largest difference a link allows: where its links' homes may be.  Finished cells
+   leave, large ones are cut again.
 4. In the leaves, pairs of different components that pass size and bitmap are compared exactly; a leaf
    that cutting no longer shrinks is joined in blocks of rows, one task per pair of blocks.
 
@@ -43,7 +45,9 @@ from tagseries.llm.common import components, mix64, stage, texts_of
 
 WORDS, LINK = 5, (80, 100)
 SKETCH, BITS, FILTER = 1 << 18, 2048, 1 << 23
+FINE, LARGE = 16384, 1024  # sets above LARGE shingles have a second bitmap of FINE bits
 LEAF, SMALL, PIVOTS, DEPTH = 2048, 64, 16, 4
+ROUNDS, NEAR_PIVOTS, NEAR_SIZE = 2, 4, 8
 SALTS = 64
 _mult = mix64(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
 
@@ -63,11 +67,23 @@ def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+def bitmap(s: np.ndarray, bits: int) -> bytes:
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def bitmaps(s: np.ndarray) -> tuple[bytes, bytes]:
+    """The bitmap that all sets have, and the finer one of large sets (else empty)."""
+    return bitmap(s, BITS) if len(s) else b"", bitmap(s, FINE) if len(s) > LARGE else b""
+
+
+def fine_close(n1, n2, x: bytes, y: bytes) -> bool:
+    """Whether the finer bitmaps allow a link, where both sets have one."""
+    if not x or not y:
+        return True
+    return bool(close(n1, n2, int(_hamming(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))))
+
+
 def bucket(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(46)).astype(np.int64)
 
@@ -106,19 +122,18 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
                 continue
             sets = [shingle_set(t, words) for t in texts_of(b.column(1))]
             counts += np.bincount(np.concatenate([bucket(s) for s in sets]), minlength=SKETCH)
-            none = pa.nulls(b.num_rows, pa.int64())
+            none, maps = pa.nulls(b.num_rows, pa.int64()), [bitmaps(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), none, none],
-                ["id", "node", "n", "bits", "bucket", "count"])
+                 *(pa.array([m[i] for m in maps], pa.binary()) for i in (0, 1)), none, none], names)
         at = np.flatnonzero(counts)
         if len(at):
-            nulls = [pa.nulls(len(at), t) for t in (id_type, pa.binary(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*nulls, pa.array(at), pa.array(counts[at])],
-                                             ["id", "node", "n", "bits", "bucket", "count"])
+            nulls = [pa.nulls(len(at), t) for t in (id_type, pa.binary(), pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nulls, pa.array(at), pa.array(counts[at])], names)
 
     id_type = to_arrow_type(docs.schema["id"].dataType)
-    return docs.mapInArrow(run, f"id {kind}, node binary, n bigint, bits binary, bucket bigint, count bigint")
+    names = ["id", "node", "n", "bits", "fine", "bucket", "count"]
+    return docs.mapInArrow(run, f"id {kind}, node binary, n bigint, bits binary, fine binary, bucket bigint, count bigint")
 
 
 def _prefixes(docs: DataFrame, words: int, order: np.ndarray) -> DataFrame:
@@ -182,7 +197,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                                                   pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
     found = docs.select(spot.alias("spot"), "text").mapInArrow(run, "node binary, shingles binary")
-    return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles"))
+    return found.groupBy("node").agg(F.min("shingles").alias("shingles"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -190,7 +205,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int)
     pairs = stage(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = _sets(docs, stage(classes.select("node", "id").join(nodes, "node", "left_semi"), "wanted"), words)
-    sets = stage(sets, "shingles")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -213,35 +227,62 @@ def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(split.where("lo <> hi").select("region", "size"), "region")
 
 
-def _cells(rows: DataFrame, level: int) -> DataFrame:
-    """Voronoi cells of sampled pivots: (region, node, n, bits, root, home pivot) per cell."""
+def _pivots(rows: DataFrame, level: int, count: int) -> DataFrame:
+    """(region, pivots): up to ``count`` members of each region, drawn by hash, map-side."""
     pick = F.xxhash64("node", F.lit(level))
-    pivots = rows.groupBy("region", F.pmod(pick, F.lit(PIVOTS)).alias("j")).agg(
-        F.min(F.struct("node", "bits", "n", "root")).alias("p"))
-    pivots = pivots.groupBy("region").agg(F.array_sort(F.collect_list("p")).alias("pivots"))
-    joined = rows.join(pivots, "region").select("region", "node", "n", "bits", "root", "pivots")
+    pivots = rows.groupBy("region", F.pmod(pick, F.lit(count)).alias("j")).agg(
+        F.min(F.struct("node", "n", "bits", "fine", "root")).alias("p"))
+    return pivots.groupBy("region").agg(F.array_sort(F.collect_list("p")).alias("pivots"))
+
+
+def _home_pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(a, b): for each node, over all its regions, the nearest pivot of another component that size
+    and bitmaps allow as a link; at most one pair per node."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out = []
+            node, n, root, bits, fine, ps = (b.column(i).to_pylist() for i in range(6))
+            for i, many in enumerate(ps):
+                many = [p for p in many if p["root"] != root[i]]
+                if many:
+                    size = np.array([p["n"] for p in many])
+                    d = _hamming(_bits([bits[i]]), _bits([p["bits"] for p in many]))
+                    ok = close(n[i], size, d)
+                    j = int(np.where(ok, d / (size + n[i]), np.inf).argmin())
+                    if ok[j] and fine_close(n[i], size[j], fine[i], many[j]["fine"]):
+                        out.append((node[i], float(d[j] / (size[j] + n[i])), many[j]["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.float64()),
+                                              pa.array([x[2] for x in out], pa.binary())], ["a", "d", "b"])
+
+    near = rows.join(pivots, "region").select("node", "n", "root", "bits", "fine", "pivots").mapInArrow(
+        run, "a binary, d double, b binary")
+    return near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+
+
+def _cells(rows: DataFrame, level: int) -> DataFrame:
+    """Voronoi cells of sampled pivots: (region, node, n, bits, fine), one row per cell of a node."""
+    joined = rows.join(_pivots(rows, level, PIVOTS), "region").select("region", "node", "n", "bits", "fine", "pivots")
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            pdf = b.to_pandas()
+            region, n, bits, ps = (b.column(i).to_pylist() for i in (0, 2, 3, 5))
             out = []
-            bits = _bits(pdf["bits"])
-            for i, ps in enumerate(pdf["pivots"]):
-                d = _hamming(bits[i], _bits([p["bits"] for p in ps]))
-                home = int(d.argmin())
-                # a link differs in at most (n + 5/4 n) / 9 = n / 4 shingles
-                for j in np.flatnonzero(2 * (d - d[home]) <= pdf["n"][i]):
-                    p = ps[home]
-                    ok = j == home and p["root"] != pdf["root"][i] and bool(close(pdf["n"][i], p["n"], d[home]))
-                    out.append((xxhash.xxh3_64_intdigest(f"{pdf['region'][i]}:{level}:{j}") - (1 << 63), i, p["node"] if ok else None))
+            for i, many in enumerate(ps):
+                d = _hamming(_bits([bits[i]]), _bits([p["bits"] for p in many]))
+                # a link differs in at most (n + 5/4 n) / 9 = n / 4 shingles, so a link's home lies
+                # at most twice that farther than this home
+                for j in np.flatnonzero(2 * (d - d.min()) <= n[i]):
+                    out.append((xxhash.xxh3_64_intdigest(f"{region[i]}:{level}:{j}") - (1 << 63), i))
             at = pa.array([x[1] for x in out])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), *(b.column(c).take(at) for c in (1, 2, 3)),
-                 pa.array([x[2] for x in out], pa.binary())], ["region", "node", "n", "bits", "pivot"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(b.column(c).take(at) for c in (1, 2, 3, 4))],
+                                             ["region", "node", "n", "bits", "fine"])
 
-    return joined.mapInArrow(run, "region bigint, node binary, n bigint, bits binary, pivot binary")
+    return joined.mapInArrow(run, "region bigint, node binary, n bigint, bits binary, fine binary")
 
 
 def _leaf_pairs(rows: DataFrame, leaf: int) -> DataFrame:
@@ -255,13 +296,13 @@ def _leaf_pairs(rows: DataFrame, leaf: int) -> DataFrame:
     # small regions share groups of about `leaf` rows
     group = F.when(F.col("size") <= SMALL, F.pmod(F.xxhash64("region"), F.lit(few))).otherwise(F.col("region"))
     rows = rows.select(group.alias("grp"), F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"),
-                       "region", "blk", "node", "n", "bits", F.xxhash64("root").alias("root"))
+                       "region", "blk", "node", "n", "bits", "fine", F.xxhash64("root").alias("root"))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["region", "n", "node"]).reset_index(drop=True)
         n, root, blk, bits = pdf["n"].to_numpy(), pdf["root"].to_numpy(), pdf["blk"].to_numpy(), _bits(pdf["bits"])
         apart = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        node, region, out = pdf["node"].to_numpy(), pdf["region"].to_numpy(), [[], []]
+        node, region, fine, out = pdf["node"].to_numpy(), pdf["region"].to_numpy(), pdf["fine"].to_numpy(), [[], []]
         cut = np.flatnonzero(np.diff(region)) + 1
         for lo, hi in zip([0, *cut], [*cut, len(pdf)], strict=True):
             end = lo + np.searchsorted(n[lo:hi], n[lo:hi] * LINK[1] // LINK[0], "right")
@@ -270,6 +311,7 @@ def _leaf_pairs(rows: DataFrame, leaf: int) -> DataFrame:
                 js = js[(root[js] != root[i]) & ((blk[js] != blk[i]) if apart else True)]
                 if len(js):
                     js = js[close(n[i], n[js], _hamming(bits[i], bits[js]))]
+                    js = js[[fine_close(n[i], n[j], fine[i], fine[j]) for j in js]] if fine[i] and len(js) else js
                     out[0] += [node[i]] * len(js)
                     out[1] += node[js].tolist()
         return pd.DataFrame({"a": out[0], "b": out[1]})
@@ -279,49 +321,50 @@ def _leaf_pairs(rows: DataFrame, leaf: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                    leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+                    leaf: int = LEAF, depth: int = DEPTH, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     first = stage(_classes(src, words), "sets")
-    rows = first.where("node is not null").select("id", "node", "n", "bits")
+    rows = first.where("node is not null").select("id", "node", "n", "bits", "fine")
     order = np.zeros(SKETCH, np.int64)
     got = first.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("c")).toPandas()
     order[got["bucket"].to_numpy()] = got["c"].to_numpy()
 
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("bits").alias("bits"))
+    classes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"),
+                                                      F.min("bits").alias("bits"), F.min("fine").alias("fine"))
     classes = stage(classes, "classes")
     # the first 8 bytes of the digest as a number; should two classes share them, both are members
-    keyed = classes.mapInArrow(_short_keys, "node binary, id " + src.schema["id"].dataType.simpleString()
-                               + ", n bigint, bits binary, k bigint")
+    keyed = classes.drop("id").mapInArrow(_short_keys, "node binary, n bigint, bits binary, fine binary, k bigint")
     member = stage(_members(_prefixes(src, words, order)), "members")
     region = stage(member.join(keyed, member["node"] == keyed["k"]).select(
-        F.col("lead").alias("region"), keyed["node"].alias("node"), "n", "bits",
+        F.col("lead").alias("region"), keyed["node"].alias("node"), "n", "bits", "fine",
         (F.col("lead") == F.col("k")).alias("leads")), "regions")
-    verified = lambda p: _verified(p, src, classes, words)
-
-    lead = region.where("leads").select("region", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
-    led = region.join(lead, "region").where("node <> b").select(F.col("node").alias("a"), "b", "n", "n2", "bits", "bits2")
-    links = stage(verified(led.mapInArrow(_close_pairs, "a binary, b binary").distinct()), "links0")
+    start = region.withColumn("root", F.col("node"))
+    leaders = start.where("leads").groupBy("region").agg(F.collect_list(F.struct("node", "n", "bits", "fine", "root")).alias("pivots"))
+    links = stage(_verified(_home_pairs(start, leaders), src, classes, words), "links")
     comp = components(links)
-    rest = stage(_with_component(region.select("region", "node", "n", "bits"), comp), "rest")
-    leaves = [rest.where((F.col("size") > 2) & (F.col("size") <= leaf))]  # two: compared above
-    big = rest.where(F.col("size") > leaf)
-    for level in range(depth):
-        if big.isEmpty():
+    rest = stage(_with_component(region.drop("leads"), comp), "rest")
+    for level in range(rounds):
+        wide = rest.where(F.col("size") > NEAR_SIZE)
+        more = stage(_verified(_home_pairs(wide, _pivots(wide, level, NEAR_PIVOTS)), src, classes, words), "links")
+        if more.isEmpty():
             break
-        cells = stage(_cells(big, level), "cells")
-        homes = cells.where("pivot is not null").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        links = stage(links.unionByName(verified(homes)), f"links{level + 1}")
+        links = links.unionByName(more)
         comp = components(links)
-        rest = stage(_with_component(cells.drop("pivot"), comp), "rest")
-        leaves.append(rest.where(F.col("size") <= leaf))
-        big = rest.where(F.col("size") > leaf)
+        rest = stage(_with_component(rest.drop("root", "size"), comp), "rest")
+    leaves, big = [rest.where(F.col("size") <= leaf)], rest.where(F.col("size") > leaf)
+    for level in range(rounds, rounds + depth):
+        if big.isEmpty():
+            break
+        cells = stage(_with_component(_cells(big, level), comp), "cells")
+        leaves.append(cells.where(F.col("size") <= leaf))
+        big = cells.where(F.col("size") > leaf)
     leaves.append(big)
     todo = leaves[0]
     for x in leaves[1:]:
         todo = todo.unionByName(x)
-    pairs = _leaf_pairs(todo.select("region", "size", "node", "n", "bits", "root"), leaf)
-    more = stage(verified(pairs), "links")
+    pairs = _leaf_pairs(todo, leaf)
+    more = stage(_verified(pairs, src, classes, words), "links")
     comp = components(links.unionByName(more)) if not more.isEmpty() else comp
 
     named = comp.join(classes.select("node", "id"), "node")
@@ -336,12 +379,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _short_keys(batches):
     for b in batches:
         keys = [short_key(x) for x in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], ["node", "id", "n", "bits", "k"])
-
-
-def _close_pairs(batches):
-    for b in batches:
-        if b.num_rows:
-            n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
-            ok = close(n, m, _hamming(_bits(b.column(4).to_pylist()), _bits(b.column(5).to_pylist())))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], ["node", "n", "bits", "fine", "k"])
