@@ -11,10 +11,10 @@ link at 0.8.
    in the region of each shingle of its prefix (its first n - ceil(0.8 n) + 1 shingles, rare ones
    first), and sets that link share such a shingle.  The smallest member of a region is its leader,
    and regions of one leader are one region.
-2. Each member is compared exactly with its home, the nearest leader; linked ones are one component,
-   and a region that lies in one component is finished, without any of its pairs.  Two more rounds
-   compare members with the nearest of freshly drawn pivots of their regions.  Each round makes at
-   most one comparison per set.
+2. Members that no other member of their region can link with, by size and bitmap, leave.  The others
+   are compared exactly with their home, the nearest of a few pivots drawn from their regions; linked
+   ones are one component, and a region that lies in one component is finished, without any of its
+   pairs.  A few rounds draw new pivots.  Each round makes at most one comparison per set.
 3. A region with more than ``leaf`` members that is not finished is cut into Voronoi cells of sampled
    pivots.  A member goes to its nearest pivot, and also to each pivot that is farther by at most its
    window, twice the largest difference a link allows: where its links' homes may be.  Finished cells
@@ -47,7 +47,7 @@ WORDS, LINK = 5, (80, 100)
 SKETCH, BITS, FILTER = 1 << 18, 2048, 1 << 23
 FINE, LARGE = 16384, 1024  # sets above LARGE shingles have a second bitmap of FINE bits
 LEAF, SMALL, PIVOTS, DEPTH = 2048, 64, 16, 4
-ROUNDS, NEAR_PIVOTS, NEAR_SIZE = 2, 4, 8
+ROUNDS, NEAR_PIVOTS, NEAR_SIZE = 3, 4, 8
 SALTS = 64
 _mult = mix64(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
 
@@ -285,41 +285,71 @@ def _cells(rows: DataFrame, level: int) -> DataFrame:
     return joined.mapInArrow(run, "region bigint, node binary, n bigint, bits binary, fine binary")
 
 
-def _leaf_pairs(rows: DataFrame, leaf: int) -> DataFrame:
-    """(a, b) of different components that size and bitmap allow; rows (region, size, node, n, bits,
-    root).  A region of more than ``leaf`` rows is dealt into blocks, and each pair of blocks is one
-    group."""
+def _grouped(rows: DataFrame, leaf: int) -> DataFrame:
+    """Rows (region, size, ..) with the group (grp, i, j) they are compared in: small regions share
+    groups of about ``leaf`` rows, a region of more than ``leaf`` rows is dealt into blocks, and each
+    pair of blocks is one group."""
     few = rows.where(F.col("size") <= SMALL).count() // leaf + 1
     rows = rows.withColumn("m", F.expr(f"cast(ceil(size / {leaf}) as int)"))
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    # small regions share groups of about `leaf` rows
     group = F.when(F.col("size") <= SMALL, F.pmod(F.xxhash64("region"), F.lit(few))).otherwise(F.col("region"))
-    rows = rows.select(group.alias("grp"), F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"),
-                       "region", "blk", "node", "n", "bits", "fine", F.xxhash64("root").alias("root"))
+    return rows.withColumns({"grp": group, "i": F.least("blk", "other"), "j": F.greatest("blk", "other")})
+
+
+def _partners(pdf: pd.DataFrame, root: np.ndarray):
+    """(row, later rows of the same region and of another root that size and bitmaps allow) of rows
+    sorted by region and n."""
+    n, blk, bits = pdf["n"].to_numpy(), pdf["blk"].to_numpy(), _bits(pdf["bits"])
+    region, fine = pdf["region"].to_numpy(), pdf["fine"].to_numpy()
+    apart = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+    cut = np.flatnonzero(np.diff(region)) + 1
+    for lo, hi in zip([0, *cut], [*cut, len(pdf)], strict=True):
+        end = lo + np.searchsorted(n[lo:hi], n[lo:hi] * LINK[1] // LINK[0], "right")
+        for i in range(lo, hi):
+            js = np.arange(i + 1, end[i - lo])
+            js = js[(root[js] != root[i]) & ((blk[js] != blk[i]) if apart else True)]
+            if len(js):
+                js = js[close(n[i], n[js], _hamming(bits[i], bits[js]))]
+                if fine[i] and len(js):
+                    js = js[[fine_close(n[i], n[j], fine[i], fine[j]) for j in js]]
+                if len(js):
+                    yield i, js
+
+
+def _leaf_pairs(rows: DataFrame, leaf: int) -> DataFrame:
+    """(a, b) of different components that size and bitmaps allow; rows (region, size, node, n, bits,
+    fine, root)."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["region", "n", "node"]).reset_index(drop=True)
-        n, root, blk, bits = pdf["n"].to_numpy(), pdf["root"].to_numpy(), pdf["blk"].to_numpy(), _bits(pdf["bits"])
-        apart = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        node, region, fine, out = pdf["node"].to_numpy(), pdf["region"].to_numpy(), pdf["fine"].to_numpy(), [[], []]
-        cut = np.flatnonzero(np.diff(region)) + 1
-        for lo, hi in zip([0, *cut], [*cut, len(pdf)], strict=True):
-            end = lo + np.searchsorted(n[lo:hi], n[lo:hi] * LINK[1] // LINK[0], "right")
-            for i in range(lo, hi):
-                js = np.arange(i + 1, end[i - lo])
-                js = js[(root[js] != root[i]) & ((blk[js] != blk[i]) if apart else True)]
-                if len(js):
-                    js = js[close(n[i], n[js], _hamming(bits[i], bits[js]))]
-                    js = js[[fine_close(n[i], n[j], fine[i], fine[j]) for j in js]] if fine[i] and len(js) else js
-                    out[0] += [node[i]] * len(js)
-                    out[1] += node[js].tolist()
+        node, out = pdf["node"].to_numpy(), [[], []]
+        for i, js in _partners(pdf, pdf["root"].to_numpy()):
+            out[0] += [node[i]] * len(js)
+            out[1] += node[js].tolist()
         return pd.DataFrame({"a": out[0], "b": out[1]})
 
+    rows = _grouped(rows, leaf).select("grp", "i", "j", "region", "blk", "node", "n", "bits", "fine", F.xxhash64("root").alias("root"))
     pairs = rows.groupBy("grp", "i", "j").applyInPandas(join, "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _with_partners(rows: DataFrame, leaf: int) -> DataFrame:
+    """Leaves out members whose region has no other member that size and bitmaps allow: shared
+    shingles bring many sets together that are far apart."""
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["region", "n", "node"]).reset_index(drop=True)
+        on = np.zeros(len(pdf), bool)
+        for i, js in _partners(pdf, np.arange(len(pdf))):
+            on[i] = on[js] = True
+        return pdf.loc[on, ["region", "node", "n", "bits", "fine"]]
+
+    cut = _grouped(rows.where(F.col("size") <= leaf), leaf).select("grp", "i", "j", "region", "blk", "node", "n", "bits", "fine")
+    kept = cut.groupBy("grp").applyInPandas(keep, "region bigint, node binary, n bigint, bits binary, fine binary")
+    return kept.unionByName(rows.where(F.col("size") > leaf).select("region", "node", "n", "bits", "fine"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                     leaf: int = LEAF, depth: int = DEPTH, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
@@ -336,20 +366,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the first 8 bytes of the digest as a number; should two classes share them, both are members
     keyed = classes.drop("id").mapInArrow(_short_keys, "node binary, n bigint, bits binary, fine binary, k bigint")
     member = stage(_members(_prefixes(src, words, order)), "members")
-    region = stage(member.join(keyed, member["node"] == keyed["k"]).select(
-        F.col("lead").alias("region"), keyed["node"].alias("node"), "n", "bits", "fine",
-        (F.col("lead") == F.col("k")).alias("leads")), "regions")
-    start = region.withColumn("root", F.col("node"))
-    leaders = start.where("leads").groupBy("region").agg(F.collect_list(F.struct("node", "n", "bits", "fine", "root")).alias("pivots"))
-    links = stage(_verified(_home_pairs(start, leaders), src, classes, words), "links")
-    comp = components(links)
-    rest = stage(_with_component(region.drop("leads"), comp), "rest")
+    member = member.join(member.groupBy("lead").agg(F.count("*").alias("size")), "lead")
+    region = member.join(keyed, member["node"] == keyed["k"]).select(
+        F.col("lead").alias("region"), "size", keyed["node"].alias("node"), "n", "bits", "fine")
+    rest = stage(_with_partners(region, leaf), "regions")
+    rest = rest.withColumn("root", F.col("node")).withColumn("size", F.lit(2))
+    links = comp = None
     for level in range(rounds):
-        wide = rest.where(F.col("size") > NEAR_SIZE)
-        more = stage(_verified(_home_pairs(wide, _pivots(wide, level, NEAR_PIVOTS)), src, classes, words), "links")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
+        near = rest.where((F.col("size") > NEAR_SIZE) | F.lit(level == 0))
+        more = stage(_verified(_home_pairs(near, _pivots(near, level, NEAR_PIVOTS)), src, classes, words), "links")
+        links = more if links is None else links.unionByName(more)
         comp = components(links)
         rest = stage(_with_component(rest.drop("root", "size"), comp), "rest")
     leaves, big = [rest.where(F.col("size") <= leaf)], rest.where(F.col("size") > leaf)
