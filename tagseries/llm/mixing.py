@@ -25,6 +25,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3          # targets and documents stop at so many times their size
 SLOTS = 1 << 18   # slots of the schedule
 BUCKETS = 4096    # hash buckets of a source
+CELLS = 1 << 14   # cells of the line of cumulative targets
 GOLDEN = 2654435769  # 2^32 / golden ratio, odd
 
 
@@ -60,9 +61,12 @@ def schedule(targets: DataFrame, slots: int = SLOTS, most: int = MOST) -> DataFr
     t = t.withColumn("hi", F.sum("share").over(run)).withColumn("lo", F.col("hi") - F.col("share"))
     t = t.withColumn("blocks", F.expr("(s + b - 1) div b"))
     point = spark.range(slots).select(F.col("id").alias("k"), (F.col("id") * GOLDEN % two32).alias("u"))
-    hit = point.join(F.broadcast(t.select("src", "nul", "lo", "hi", "blocks", "total", "b")),
-                     (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))
-                     & (F.col("k") * F.col("b") < F.col("total")))
+    # points meet the intervals by cells of the line: at most CELLS and one more for each source
+    width = two32 // CELLS
+    cells = t.where("hi > lo").select("src", "nul", "lo", "hi", "blocks", "total", "b", F.explode(F.sequence(
+        F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))).alias("cell"))
+    hit = point.withColumn("cell", F.expr(f"u div {width}")).join(cells, "cell").where(
+        "u >= lo and u < hi and k * b < total")
     rank = F.row_number().over(Window.partitionBy("nul", "src").orderBy("k")) - 1
     hit = hit.withColumn("r", rank).where(F.col("r") < most * F.col("blocks"))
     return hit.groupBy("src", "nul", (F.col("r") % F.col("blocks")).alias("block")).agg(F.count("*").alias("uses"))
