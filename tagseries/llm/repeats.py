@@ -7,8 +7,9 @@ smallest hash.  Equal windows have equal anchors at equal offsets, and consecuti
 (a run), so about one suffix in 77 bytes enters the first pass:
 
 1. by the anchor's 48 bytes; anchors that occur once leave;
-2. by all bytes that a run's windows cover; a run with an equal is repeated as a whole, and of each
-   different run one goes on, where its anchor has several different runs;
+2. windows that hold an anchor of those leave; what is left of each run, in parts of up to 32 windows,
+   is grouped by all bytes that the part's windows cover; a part with an equal is repeated as a whole,
+   and of each different part one goes on, where its anchor has several different ones;
 3. by the window's full 200 bytes, for the windows of those runs.
 
 Texts meet their anchors and spans by a key of two hashes; equal texts are merged first, in the one
@@ -32,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagseries.llm.common import mix64, texts_of
+from tagseries.llm.common import mix64, stage, texts_of
 
-WINDOW, ANCHOR, CHUNK = 200, 48, 1 << 20
+WINDOW, ANCHOR, PART, CHUNK = 200, 48, 32, 1 << 20
 ODD = 0x9E3779B97F4A7C15  # odd multiplier of the polynomial
 _cache: dict = {}
 
@@ -128,11 +129,24 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
     def runs(t, kept):
         kept = np.sort(np.array(kept, np.int64))
+        width = window - anchor
         for c, p in pieces(t, window, anchor):
-            use = np.flatnonzero(np.isin(p.pos + c, kept))
-            lo, hi = p.lo[use], p.hi[use]
-            shape = mix64(((lo - p.pos[use]).astype(np.int64) * 65536 + hi - lo).view(np.uint64))
-            yield p.g[use], p.spans(lo, hi - lo + window) ^ shape, lo + c, hi + c
+            # a window that holds an anchor which occurs once does not repeat
+            once = p.pos[~np.isin(p.pos + c, kept)]
+            last = p.n - window + 1
+            dead = np.zeros(p.n + 2, np.int64)
+            np.add.at(dead, np.maximum(once - width, 0), 1)
+            np.add.at(dead, once + 1, -1)
+            at = np.flatnonzero(np.cumsum(dead)[:last] == 0)
+            if not len(at):
+                continue
+            own = np.searchsorted(p.lo, at, "right") - 1
+            part = (p.pos[own] - at) // PART
+            cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(own) != 0) | (np.diff(part) != 0)) + 1
+            first, final = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)])) - 1
+            lo, hi, own = at[first], at[final], own[first]
+            shape = mix64(((p.pos[own] - lo).astype(np.int64) * 65536 + hi - lo).view(np.uint64))
+            yield p.g[own], p.spans(lo, hi - lo + window) ^ shape, lo + c, hi + c
 
     def windows(t, some):
         lo, hi, g, r = (np.array([x[i] for x in some], np.int64) for i in range(4))
@@ -149,20 +163,21 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     often = found.groupBy("g").agg(twice(_occurrence("k1", "k2", "pos"))).where("twice").select("g")
     kept = found.join(often, "g", "left_semi").groupBy(*key).agg(F.collect_list("pos").alias("at"))
 
-    run = _emit(texts.join(kept, key).select(*key, "text", "at"), runs,
-                "k1 bigint, k2 bigint, g bigint, r bigint, lo bigint, hi bigint")
-    # one row per different run of an anchor: whether it has an equal, and where one of them is
+    run = stage(_emit(texts.join(kept, key).select(*key, "text", "at"), runs,
+                      "k1 bigint, k2 bigint, g bigint, r bigint, lo bigint, hi bigint"), "runs")
+    # one row per different part of an anchor: whether it has an equal, and where one of them is
     one = run.groupBy("g", "r").agg(twice(_occurrence("k1", "k2", "lo")), F.min(F.struct("k1", "k2", "lo", "hi")).alias("at"))
+    one = stage(one, "parts")
     several = one.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     deep = one.join(several, "g", "left_semi").select("at.*", "g", "r").groupBy(*key).agg(
-        F.collect_list(F.struct("lo", "hi", "g", "r")).alias("some"))
+        F.collect_list(F.array("lo", "hi", "g", "r")).alias("some"))
     whole = run.join(one.where("twice").select("g", "r"), ["g", "r"], "left_semi").select(*key, "lo", "hi")
 
-    win = _emit(texts.join(deep.withColumn("some", F.transform("some", lambda x: F.array(x["lo"], x["hi"], x["g"], x["r"]))),
-                           key).select(*key, "text", "some"), windows,
-                "k1 bigint, k2 bigint, g bigint, w bigint, r bigint, i bigint")
+    win = _emit(texts.join(deep, key).select(*key, "text", "some"), windows,
+                "k1 bigint, k2 bigint, g bigint, w bigint, r bigint, i bigint").withColumn("i", F.col("i").cast("int"))
     again = win.groupBy("g", "w").agg(twice("r")).where("twice").select("g", "w")
-    single = win.join(again, ["g", "w"], "left_semi").select(*key, F.col("i").alias("lo"), F.col("i").alias("hi"))
+    single = win.select(*key, "g", "w", "i").join(again, ["g", "w"], "left_semi").select(
+        *key, F.col("i").cast("long").alias("lo"), F.col("i").cast("long").alias("hi"))
     return whole.unionByName(single).groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -192,7 +207,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = src.select("id", k["k1"].alias("k1"), k["k2"].alias("k2"), F.octet_length("text").cast("long").alias("n_bytes"),
                       F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     texts = src.where(F.octet_length("text") >= window).groupBy(k["k1"].alias("k1"), k["k2"].alias("k2")).agg(
-        F.max("text").alias("text"), F.count("*").alias("copies"))
+        F.max("text").alias("text"))
     spans = repeated_spans(texts, window, anchor)
 
     def cut(batches):
@@ -205,10 +220,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                      pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done])],
                     ["k1", "k2", "n_removed", "n_spans", "kept"])
 
-    part = texts.where("copies = 1").join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(
+    part = texts.join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(
         cut, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept string")
-    full = texts.where("copies > 1").select("k1", "k2", F.octet_length("text").cast("long").alias("n_removed"),
-                                            F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept"))
-    out = rows.join(part.unionByName(full), ["k1", "k2"], "left")
+    # of a text with an exact copy nothing is left
+    full = rows.where(F.col("n_bytes") >= window).groupBy("k1", "k2").agg(
+        F.count("*").alias("copies"), F.max("n_bytes").alias("all")).where("copies > 1")
+    part = part.join(full, ["k1", "k2"], "full").select(
+        "k1", "k2", F.coalesce("all", "n_removed").alias("n_removed"),
+        F.when(F.col("all").isNull(), F.col("n_spans")).otherwise(1).alias("n_spans"),
+        F.when(F.col("all").isNull(), F.col("kept")).otherwise(hashlib.sha256().hexdigest()).alias("kept"))
+    out = rows.join(part, ["k1", "k2"], "left")
     return out.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
                       F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
