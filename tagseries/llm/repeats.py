@@ -7,10 +7,10 @@ smallest hash.  Equal windows have equal anchors at equal offsets, and consecuti
 (a run), so about one suffix in 77 bytes enters the first pass:
 
 1. by the anchor's 48 bytes; anchors that occur once leave;
-2. windows that hold an anchor of those leave; what is left of each run, in parts of up to 32 windows,
-   is grouped by all bytes that the part's windows cover; a part with an equal is repeated as a whole,
-   and of each different part one goes on, where its anchor has several different ones;
-3. by the window's full 200 bytes, for the windows of those runs.
+2. by the 160 bytes of a second anchor, chosen in the same way, for the windows that are left;
+3. by all bytes that the windows of one second anchor cover (a run); a run with an equal is repeated
+   as a whole, and of each different run one goes on, where its anchor has several different ones;
+4. by the window's full 200 bytes, for the windows of those runs.
 
 Texts meet their anchors and spans by a key of two hashes; equal texts are merged first, in the one
 shuffle of texts, whose output all later steps reuse.  Digits are compared by 64-bit polynomial
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tagseries.llm.common import mix64, stage, texts_of
 
-WINDOW, ANCHOR, PART, CHUNK = 200, 48, 32, 1 << 20
+WINDOW, ANCHOR, SECOND, CHUNK = 200, 48, 160, 1 << 20
 ODD = 0x9E3779B97F4A7C15  # odd multiplier of the polynomial
 _cache: dict = {}
 
@@ -119,7 +119,7 @@ def _occurrence(k1, k2, pos):
     return F.xxhash64(k1, k2, pos)
 
 
-def repeated_spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def repeated_spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, second: int = SECOND) -> DataFrame:
     """(k1, k2, spans): starts of windows that occur elsewhere, as array of (lo, hi), of different
     texts (k1, k2, text)."""
 
@@ -127,42 +127,44 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         for c, p in pieces(t, window, anchor):
             yield p.pos + c, p.g
 
-    def runs(t, kept):
+    def deeper(t, kept):
         kept = np.sort(np.array(kept, np.int64))
-        width = window - anchor
         for c, p in pieces(t, window, anchor):
-            # a window that holds an anchor which occurs once does not repeat
-            once = p.pos[~np.isin(p.pos + c, kept)]
-            last = p.n - window + 1
-            dead = np.zeros(p.n + 2, np.int64)
-            np.add.at(dead, np.maximum(once - width, 0), 1)
-            np.add.at(dead, once + 1, -1)
-            at = np.flatnonzero(np.cumsum(dead)[:last] == 0)
-            if not len(at):
-                continue
-            own = np.searchsorted(p.lo, at, "right") - 1
-            part = (p.pos[own] - at) // PART
-            cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(own) != 0) | (np.diff(part) != 0)) + 1
-            first, final = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)])) - 1
-            lo, hi, own = at[first], at[final], own[first]
-            shape = mix64(((p.pos[own] - lo).astype(np.int64) * 65536 + hi - lo).view(np.uint64))
-            yield p.g[own], p.spans(lo, hi - lo + window) ^ shape, lo + c, hi + c
+            alive = np.zeros(p.n - window + 2, np.int64)
+            for i in np.flatnonzero(np.isin(p.pos + c, kept)):
+                alive[p.lo[i] + 1:p.hi[i] + 2] = 1
+            alive = np.cumsum(alive)
+            q = Piece(t[c:c + p.n], window, second)
+            use = alive[q.hi + 1] > alive[q.lo]
+            yield q.pos[use] + c, q.g[use]
+
+    def runs(t, kept):
+        kept = np.sort(np.array(kept, np.int64))
+        for c, p in pieces(t, window, second):
+            use = np.flatnonzero(np.isin(p.pos + c, kept))
+            lo, hi = p.lo[use], p.hi[use]
+            shape = mix64(((p.pos[use] - lo).astype(np.int64) * 65536 + hi - lo).view(np.uint64))
+            yield p.g[use], p.spans(lo, hi - lo + window) ^ shape, lo + c, hi + c
 
     def windows(t, some):
         lo, hi, g, r = (np.array([x[i] for x in some], np.int64) for i in range(4))
-        for c, p in pieces(t, window, anchor):
+        for c, p in pieces(t, window, second):
             for a, b, gg, rr in zip(lo - c, hi - c, g, r, strict=True):
                 if 0 <= a and b + window <= p.n:
                     at = np.arange(a, b + 1)
                     yield np.full(len(at), gg), p.spans(at, window), np.full(len(at), rr), at + c
 
     key = ["k1", "k2"]
-    found = _emit(texts.select(*key, "text"), anchors, "k1 bigint, k2 bigint, pos bigint, g bigint")
-    found = found.withColumn("pos", F.col("pos").cast("int"))
     twice = lambda o: (F.min(o) != F.max(o)).alias("twice")
-    often = found.groupBy("g").agg(twice(_occurrence("k1", "k2", "pos"))).where("twice").select("g")
-    kept = found.join(often, "g", "left_semi").groupBy(*key).agg(F.collect_list("pos").alias("at"))
 
+    def often(rows, f):
+        """Positions, per text, of the anchors that occur more than once."""
+        found = _emit(rows, f, "k1 bigint, k2 bigint, pos bigint, g bigint").withColumn("pos", F.col("pos").cast("int"))
+        some = found.groupBy("g").agg(twice(_occurrence("k1", "k2", "pos"))).where("twice").select("g")
+        return found.join(some, "g", "left_semi").groupBy(*key).agg(F.collect_list("pos").alias("at"))
+
+    kept = stage(often(texts.select(*key, "text"), anchors), "anchors")
+    kept = stage(often(texts.join(kept, key).select(*key, "text", "at"), deeper), "anchors")
     run = stage(_emit(texts.join(kept, key).select(*key, "text", "at"), runs,
                       "k1 bigint, k2 bigint, g bigint, r bigint, lo bigint, hi bigint"), "runs")
     # one row per different part of an anchor: whether it has an equal, and where one of them is
