@@ -27,10 +27,15 @@ def sweep_thresholds() -> list[float]:
     return [SWEEP_START + k * step for k in range(n)]
 
 
+def scored(scores: DataFrame, score: str = "score") -> DataFrame:
+    """Rows that have a score: NULL and NaN cannot be ranked or compared with a threshold."""
+    return scores.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+
+
 def score_counts(scores: DataFrame, *, by: Sequence[str] = (), label: str = "label",
                  score: str = "score") -> DataFrame:
     """One row per distinct (by, score): positives and negatives (map-side combined)."""
-    return scores.groupBy(*by, score).agg(
+    return scored(scores, score).groupBy(*by, score).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         F.sum((1 - F.col(label)).cast("long")).alias("neg"))
 
@@ -111,7 +116,7 @@ def confusion(scores: DataFrame, threshold: float = 0.5, *, by: Sequence[str] =
     pred = (F.col(score) >= F.lit(threshold))
     y = F.col(label) == 1
     cnt = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("long")
-    out = scores.groupBy(*by).agg(cnt(~pred & ~y).alias("tn"), cnt(pred & ~y).alias("fp"),
+    out = scored(scores, score).groupBy(*by).agg(cnt(~pred & ~y).alias("tn"), cnt(pred & ~y).alias("fp"),
                                   cnt(~pred & y).alias("fn"), cnt(pred & y).alias("tp"))
     return out.withColumns({
         "caught_pct": 100.0 * F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1)),
@@ -155,12 +160,14 @@ def classification_report(scores: DataFrame, threshold: float = 0.5, *,
 
 def threshold_sweep(scores: DataFrame, thresholds: Sequence[float] | None = None, *,
                     label: str = "label", score: str = "score") -> DataFrame:
-    """Recall, precision, false alarms, caught and missed at each threshold (score >= t).
+    """Recall, precision, false alarms, caught and missed at each different threshold
+    (score >= t), in ascending order; rows without a score do not count.
 
     One pass: each score row learns how many thresholds it reaches, rows are counted per
     that number (a handful of groups), and each threshold sums the groups that reach it.
     No join with the threshold list."""
-    ts = list(thresholds) if thresholds is not None else sweep_thresholds()
+    ts = sorted(set(thresholds)) if thresholds is not None else sweep_thresholds()
+    scores = scored(scores, score)
     arr = F.array(*[F.lit(float(t)) for t in ts])
     reach = _rank_among(F.col(score), lambda i: F.lit(float(ts[i])), 0, len(ts), inclusive=True)
     g = (scores.select(reach.alias("_reach"), F.col(label).cast("long").alias("_y"))
@@ -172,7 +179,7 @@ def threshold_sweep(scores: DataFrame, thresholds: Sequence[float] | None = None
     contrib = g.select(F.explode(F.sequence(F.lit(-1), F.col("_reach") - 1)).alias("k"), "_pos", "_neg")
     per_k = zero.unionByName(contrib).groupBy("k").agg(F.sum("_pos").alias("tp"), F.sum("_neg").alias("fp"))
     # A window over the (len(thresholds) + 1)-row table: bounded, not data-sized.
-    total = F.max(F.when(F.col("k") == -1, F.col("tp"))).over(Window.partitionBy())
+    total = F.coalesce(F.max(F.when(F.col("k") == -1, F.col("tp"))).over(Window.partitionBy()), F.lit(0))
     per_k = per_k.withColumn("_P", total).filter(F.col("k") >= 0)
     tp, fp = F.col("tp"), F.col("fp")
     fn = F.col("_P") - tp
@@ -180,8 +187,7 @@ def threshold_sweep(scores: DataFrame, thresholds: Sequence[float] | None = None
         F.round(F.element_at(arr, F.col("k") + 1), 2).alias("threshold"),
         stable_round(tp / F.greatest(tp + fn, F.lit(1)), 3).alias("recall"),
         stable_round(tp / F.greatest(tp + fp, F.lit(1)), 3).alias("precision"),
-        fp.cast("int").alias("false_alarms"), tp.cast("int").alias("upsets_caught"),
-        fn.cast("int").alias("upsets_missed"))
+        fp.alias("false_alarms"), tp.alias("upsets_caught"), fn.alias("upsets_missed"))
 
 
 def score_timeline(scores: DataFrame, threshold: float = 0.5, *, ts: str = "ts",
@@ -190,5 +196,5 @@ def score_timeline(scores: DataFrame, threshold: float = 0.5, *, ts: str = "ts",
     return scores.select(ts, score, label, (F.col(score) >= F.lit(threshold)).cast("int").alias("alarm"))
 
 
-__all__ = ["sweep_thresholds", "score_counts", "cumulative", "roc_auc_ap", "pr_curve", "confusion",
+__all__ = ["sweep_thresholds", "scored", "score_counts", "cumulative", "roc_auc_ap", "pr_curve", "confusion",
            "classification_report", "threshold_sweep", "score_timeline"]

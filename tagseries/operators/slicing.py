@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 
 def time_slice(df: DataFrame, start, end, *, cols: Sequence[str] | None = None, ts: str = "ts",
-               limit: int | None = None, year_col: str | None = "year") -> DataFrame:
+               limit: int | None = None, year_col: str | None = None) -> DataFrame:
     """Rows with start <= ts <= end in time order, optionally the first ``limit``.
 
-    When the table is partitioned by a derived ``year`` column, the matching ``year``
-    predicate is added so that partitions are pruned (a ``ts`` filter alone cannot prune
-    them).  ``orderBy + limit`` plans as a top-k (TakeOrderedAndProject)."""
+    ``year_col`` names a column that holds the year of ``ts`` (a partition column): the
+    matching predicate is then added, so that partitions are pruned, which a ``ts`` filter
+    alone cannot do.  ``orderBy + limit`` plans as a top-k (TakeOrderedAndProject)."""
     dt = df.schema[ts].dataType
     lo, hi = F.lit(start).cast(dt), F.lit(end).cast(dt)
     out = df.filter(F.col(ts).between(lo, hi))
-    if year_col and year_col in df.columns:
+    if year_col:
         out = out.filter(F.col(year_col).between(F.year(lo), F.year(hi)))
     if cols:
         out = out.select(*cols)
@@ -33,8 +33,8 @@ def top_k(df: DataFrame, col: str, k: int, *, descending: bool = True) -> DataFr
 
 def sample_rows(df: DataFrame, n: int, *, key: Sequence[str] = ("ts",), seed: int = 42) -> DataFrame:
     """min(n, rows) rows without replacement, the same ones on every run: the ``n``
-    smallest xxhash64(key, seed).  A top-k, so each task keeps only ``n`` rows."""
-    h = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
+    smallest md5 of the key's text and the seed.  A top-k, so each task keeps only ``n`` rows."""
+    h = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in key], F.lit(str(seed))))
     return df.withColumn("_h", h).orderBy("_h", *key).limit(n).drop("_h")
 
 

@@ -147,7 +147,8 @@ def _pr(spark, d):
 
 
 def _sweep(spark, d):
-    return evaluate.threshold_sweep(training.scores(spark, d))
+    out = evaluate.threshold_sweep(training.scores(spark, d))
+    return out.withColumns({c: out[c].cast("int") for c in ("false_alarms", "upsets_caught", "upsets_missed")})
 
 
 def _timeline(spark, d):

@@ -21,7 +21,7 @@ from ..operators.resample import GOOD_CODE
 
 
 def resample_stream(readings: DataFrame, step_s: int = 300, good_code: int = GOOD_CODE, *,
-                    late: str = "1 hour", entity: Sequence[str] = (), ts: str = "ts",
+                    late: str, entity: Sequence[str] = (), ts: str = "ts",
                     tag: str = "tag", value: str = "value", status: str = "status") -> DataFrame:
     """Streaming ``(entity..., tag, ts, slot, value, quality_frac, n_raw)``."""
     dtype = readings.schema[ts].dataType
@@ -43,7 +43,7 @@ def resample_stream(readings: DataFrame, step_s: int = 300, good_code: int = GOO
 
 
 def start_resample(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str, *,
-                   step_s: int = 300, late: str = "1 hour", fmt: str = "parquet",
+                   step_s: int = 300, late: str, fmt: str = "parquet",
                    trigger_seconds: int | None = 60) -> StreamingQuery:
     """Read new Parquet files under ``source``, resample them and append final buckets
     to ``sink``.  ``checkpoint`` must be on shared storage."""

@@ -49,3 +49,9 @@ def test_slice_split_sample(spark):
     a1 = sample_rows(df, 50).collect()
     assert len(a1) == 50 and a1 == sample_rows(df, 50).collect()
     assert sample_rows(df, 10_000).count() == df.count()
+
+
+def test_slice_keeps_rows_of_an_unrelated_year(spark):
+    df = spark.createDataFrame([(d(1, 1), 1999), (d(1, 2), 2024)], "ts timestamp_ntz, year int")
+    assert time_slice(df, "2024-01-01", "2024-01-02").count() == 2
+    assert time_slice(df, "2024-01-01", "2024-01-02", year_col="year").count() == 1

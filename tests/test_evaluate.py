@@ -87,3 +87,18 @@ def test_grouped_pr_curve(spark):
     df = spark.createDataFrame(rows, "g int, label int, score double")
     pts = {(r["g"], r["threshold"]): r for r in pr_curve(df, by=["g"]).collect()}
     assert pts[(1, 0.8)]["recall"] == 1.0 and pts[(0, 0.9)]["recall"] == 0.5
+
+
+def test_rows_without_a_score(spark):
+    df = spark.createDataFrame([(0.9, 1), (0.2, 0), (None, 1), (float("nan"), 0), (None, 0)], "score double, label int")
+    sweep = {r["threshold"]: r for r in threshold_sweep(df, [0.5, 0.1, 0.25, 0.1]).collect()}
+    assert sorted(sweep) == [0.1, 0.25, 0.5]
+    for t, r in sweep.items():
+        c = confusion(df, t).first()
+        assert (r["false_alarms"], r["upsets_caught"], r["upsets_missed"]) == (c["fp"], c["tp"], c["fn"])
+    assert sweep[0.5]["recall"] == 1.0 and sweep[0.1]["false_alarms"] == 1
+
+
+def test_sweep_of_no_scores(spark):
+    out = threshold_sweep(spark.createDataFrame([], "score double, label int"), [0.5]).first()
+    assert (out["false_alarms"], out["upsets_caught"], out["upsets_missed"]) == (0, 0, 0)

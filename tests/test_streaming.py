@@ -17,7 +17,7 @@ def test_stream_equals_batch(spark):
     readings = src.select("ts", F.col("event_type").alias("tag"),
                           F.when(bad, F.lit(-999.0)).otherwise(F.col("value")).alias("value"),
                           F.when(bad, F.lit(0)).otherwise(F.lit(192)).cast("int").alias("status"))
-    q = (resample_stream(readings).writeStream.format("memory").queryName("rs_test")
+    q = (resample_stream(readings, late="1 hour").writeStream.format("memory").queryName("rs_test")
          .outputMode("complete").start())
     q.processAllAvailable()
     q.stop()
