@@ -17,7 +17,7 @@ from ..functions.numeric import (EPS, guarded_ratio, imbalance, ratio, row_mean,
                                  share_ratio)
 from ..functions.time import calendar_columns
 from ..functions.time import floor_div
-from .windows import DEFAULT_BLOCK_SLOTS, halo_apply, ordered, range_mean
+from .windows import DEFAULT_BLOCK_SLOTS, halo_apply, ordered, range_mean, scale_of, with_scale
 
 # Trailing windows (5-minute steps) and rate-of-change lags of the source.
 WINDOWS = {"30m": 6, "2h": 24, "6h": 72, "24h": 288}
@@ -47,6 +47,14 @@ def _chunked_parts(x: DataFrame, c: str, part: list[str], k: int, tag: str) -> D
     return x.withColumns(cols)
 
 
+def _lag_checked(c: Column | str, k: int, w) -> Column:
+    """The value ``k`` slots back on a complete grid: the row ``k`` back; a grid with a missing
+    slot ends the job."""
+    ok = F.lag("slot", k).over(w) == F.col("slot") - F.lit(k)
+    gap = F.raise_error(F.lit("complete_grid=True needs one row per slot; use regularise first"))
+    return F.when(F.lag("slot", k).over(w).isNull() | ok, F.lag(c, k).over(w)).otherwise(gap)
+
+
 def _chunked_stats(x: DataFrame, c: str, part: list[str], k: int, tag: str) -> DataFrame:
     """Window [t - k + 1, t] on a complete grid = suffix of the previous chunk (taken k - 1
     rows back, or at the partition's first row near its start) + prefix of the current
@@ -60,7 +68,7 @@ def _chunked_stats(x: DataFrame, c: str, part: list[str], k: int, tag: str) -> D
     prev = {}
     for f in ("n", "mean", "m2", "min", "max"):
         src = F.col(f"_s{f}{tag}")
-        lagged = F.lag(src, k - 1).over(w)
+        lagged = _lag_checked(src, k - 1, w)
         at_first = F.first(src).over(w.rowsBetween(Window.unboundedPreceding, 0))
         prev[f"_q{f}{tag}"] = F.when(use_prev, F.when(inside, lagged).otherwise(at_first))
     x = x.withColumns(prev)
@@ -86,7 +94,7 @@ def _stat_columns(c: str, part: list[str], windows: Mapping[str, int], stats: Se
         w = ordered(part).rangeBetween(-(int(k) - 1), 0)
         exprs = {
             # Exact running-sum difference: O(1) per row whatever the width.
-            "mean": lambda: range_mean(F.col(c), part, -(int(k) - 1), 0)[0],
+            "mean": lambda: range_mean(c, part, -(int(k) - 1), 0)[0],
             "std": lambda: F.stddev_samp(c).over(w),
             "min": lambda: F.min(c).over(w),
             "max": lambda: F.max(c).over(w),
@@ -107,7 +115,8 @@ def rolling_stats(df: DataFrame, cols: Sequence[str] = ("value",), *,
 
     ``complete_grid=True`` (one row per slot, as ``regularise`` produces) computes frames of
     at least ``CHUNKED_MIN_WIDTH`` slots from running prefix / suffix aggregates: O(1) per
-    row instead of re-aggregating the whole frame for every row."""
+    row instead of re-aggregating the whole frame for every row.  The result is the same; a
+    frame with a missing slot ends the job."""
     lb = max(windows.values()) - 1
 
     def fn(x: DataFrame, part: list[str]) -> DataFrame:
@@ -121,6 +130,7 @@ def _with_stats(x: DataFrame, cols: Sequence[str], part: list[str], windows: Map
     small = {w: k for w, k in windows.items() if not complete_grid or k < CHUNKED_MIN_WIDTH}
     wide = {w: k for w, k in windows.items() if w not in small}
     new: dict[str, Column] = {}
+    x = with_scale(x, cols, part)
     for c in cols:
         new.update(_stat_columns(c, part, small, stats, name))
     x = x.withColumns(new) if new else x
@@ -128,13 +138,13 @@ def _with_stats(x: DataFrame, cols: Sequence[str], part: list[str], windows: Map
         for i, (win, k) in enumerate(wide.items()):
             tag = f"_{i}"
             x = _chunked_stats(x, c, part, int(k), tag)
-            exprs = {"mean": lambda: range_mean(F.col(c), part, -(int(k) - 1), 0)[0],
+            exprs = {"mean": lambda: range_mean(c, part, -(int(k) - 1), 0)[0],
                      "std": lambda: F.col(f"_std{tag}"), "min": lambda: F.col(f"_min{tag}"),
                      "max": lambda: F.col(f"_max{tag}"),
                      "range": lambda: F.col(f"_max{tag}") - F.col(f"_min{tag}")}
             x = x.withColumns({name.format(col=c, win=win, stat=st): exprs[st]() for st in stats})
             x = x.drop(f"_std{tag}", f"_min{tag}", f"_max{tag}")
-    return x
+    return x.drop(*[scale_of(c) for c in cols])
 
 
 def rate_of_change(df: DataFrame, cols: Sequence[str] = ("value",), *,
@@ -169,7 +179,7 @@ def tag_features(df: DataFrame, cols: Sequence[str] = ("value",), *,
         for c in cols:
             for win, k in lags.items():
                 # On a complete grid the row k back is the slot k back: an offset frame.
-                prev = (F.lag(c, int(k)).over(ordered(part)) if complete_grid
+                prev = (_lag_checked(c, int(k), ordered(part)) if complete_grid
                         else F.first(c).over(ordered(part).rangeBetween(-int(k), -int(k))))
                 new[roc_name.format(col=c, win=win)] = guarded_ratio(F.col(c) - prev, F.abs(prev), eps)
         x = x.withColumns(new)

@@ -103,15 +103,19 @@ def _tag_extent(resampled: DataFrame, tags, ent: list[str], tag: str) -> tuple[D
 
 def _grid_rows(base: DataFrame, ent: list[str], tag: str, b: int) -> DataFrame:
     """Every slot of [_lo, _hi] per (entity, tag), generated block by block."""
+    return _block_rows(base, ent, tag, b).select(
+        *ent, tag,
+        F.explode(F.sequence(F.greatest(F.col("_lo"), F.col("_b") * b),
+                             F.least(F.col("_hi"), F.col("_b") * b + (b - 1)))).alias("slot"))
+
+
+def _block_rows(base: DataFrame, ent: list[str], tag: str, b: int) -> DataFrame:
+    """One row per (entity, tag) and block ``_b`` of its extent."""
     spark = base.sparkSession
-    blocks = (base.withColumn("_b", F.explode(F.sequence(floor_div(F.col("_lo"), b),
+    return (base.withColumn("_b", F.explode(F.sequence(floor_div(F.col("_lo"), b),
                                                           floor_div(F.col("_hi"), b))))
                   # An explicit count: AQE would coalesce these tiny rows into one task.
                   .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *ent, tag, "_b"))
-    return blocks.select(
-        *ent, tag,
-        F.explode(F.sequence(F.greatest(F.col("_lo"), F.col("_b") * b),
-                             F.least(F.col("_hi"), F.col("_b") * b + (b - 1)))).alias("slot"))
 
 
 def fill_on_grid(resampled: DataFrame, step_s: int = 300, *, tags: Sequence[str] | DataFrame | None = None,
@@ -143,7 +147,13 @@ def fill_on_grid(resampled: DataFrame, step_s: int = 300, *, tags: Sequence[str]
     # A grid row is superseded by the bucket row of the same slot, which sorts right after it.
     order = ["slot", "_is_data"]
     if max_gap_steps is None:
-        out = carry_last(both, keys, cols, block_slots=block_slots, with_slot="_seen" if age else None,
+        b, carriers = block_size(block_slots), None
+        if b:
+            starts = _block_rows(base, ent, tag, b).select(
+                *keys, F.greatest("_lo", F.col("_b") * b).alias("slot"),
+                *[F.lit(None).cast(data.schema[c].dataType).alias(c) for c in cols])
+            carriers = starts.unionByName(data.select(*keys, "slot", *cols))
+        out = carry_last(both, keys, cols, block_slots=block_slots, with_slot="_seen" if age else None, carriers=carriers,
                          order=order, mark_dup="_dup")
     else:
         k = int(max_gap_steps)

@@ -13,8 +13,9 @@ whole series into one task.  Every frame used by this library is either
 
 Frames are ``rangeBetween`` on the integer ``slot``, so a missing row never stretches a
 window.  Sums over a bounded range are differences of two running sums (O(n) instead of
-O(n * width) for a sliding frame); doubles are summed as decimals, so the difference is
-exact and does not depend on the block layout.
+O(n * width) for a sliding frame); doubles are scaled by a power of two near the largest
+magnitude of their window partition and summed as decimals, so values of any magnitude fit
+and the difference is exact to 27 digits below that magnitude.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from ..functions.time import floor_div
 BLOCK = "_blk"
 HOME = "_home"
 
-# Fixed value: exact type for running sums of doubles (23 integer, 15 fraction digits).
-SUM_DECIMAL = "decimal(38,15)"
+# Fixed value: exact type for running sums of values scaled to below 4 (11 integer, 27 fraction digits).
+SUM_DECIMAL = "decimal(38,27)"
+INF = float("inf")
 
 #: Default block length: sized from the frame reach of each operator (see ``block_size``).
 DEFAULT_BLOCK_SLOTS = "auto"
@@ -102,12 +104,34 @@ def range_count(c: Column, part: Sequence[str], lo: int, hi: int, slot: str = "s
             - F.count(c).over(w.rangeBetween(Window.unboundedPreceding, lo - 1)))
 
 
-def range_mean(c: Column, part: Sequence[str], lo: int, hi: int, slot: str = "slot") -> tuple[Column, Column]:
-    """(mean, count) of a double column over [s+lo, s+hi]; mean NULL when count = 0."""
-    d = c.cast(SUM_DECIMAL)
-    n = range_count(c, part, lo, hi, slot)
-    s = range_sum(d, part, lo, hi, slot)
-    mean = F.when(n > 0, (s / n).cast("double"))
+def scale_of(c: str) -> str:
+    return f"_scale_{c}"
+
+
+def with_scale(x: DataFrame, cols: Sequence[str], part: Sequence[str], slot: str = "slot") -> DataFrame:
+    """Adds, per column, the power of two near its largest finite magnitude in the window
+    partition (1 where it has none), in the sort order that the frames use anyway."""
+    w = ordered(part, slot).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    top = {c: F.max(F.when(F.abs(F.col(c)) < INF, F.abs(F.col(c)))).over(w) for c in cols}
+    x = x.withColumns({scale_of(c): m for c, m in top.items()})
+    return x.withColumns({scale_of(c): F.when(F.col(scale_of(c)) > 0, F.pow(F.lit(2.0), F.floor(F.log2(scale_of(c)))))
+                          .otherwise(F.lit(1.0)) for c in cols})
+
+
+def range_mean(c: str, part: Sequence[str], lo: int, hi: int, slot: str = "slot") -> tuple[Column, Column]:
+    """(mean, count) of a double column over [s+lo, s+hi]; mean NULL when count = 0.
+
+    Needs the column of ``with_scale``.  NaN is skipped in sum and count; an infinity in the
+    frame gives that infinity, and both of them NaN, as ``avg`` does."""
+    v, scale = F.col(c), F.col(scale_of(c))
+    n = range_count(F.when(~F.isnan(v), v), part, lo, hi, slot)
+    up = range_count(F.when(v == INF, 1), part, lo, hi, slot)
+    down = range_count(F.when(v == -INF, 1), part, lo, hi, slot)
+    s = range_sum(F.when(F.abs(v) < INF, (v / scale).cast(SUM_DECIMAL)), part, lo, hi, slot)
+    mean = (F.when(n == 0, F.lit(None).cast("double"))
+             .when((up > 0) & (down > 0), F.lit(float("nan")))
+             .when(up > 0, F.lit(INF)).when(down > 0, F.lit(-INF))
+             .otherwise(s.cast("double") / n * scale))
     return mean, n
 
 
@@ -124,11 +148,14 @@ def range_any(flag: Column, part: Sequence[str], lo: int, hi: int, slot: str = "
 
 def carry_last(df: DataFrame, keys: Sequence[str], cols: Sequence[str], *, slot: str = "slot",
                block_slots: int | str | None = DEFAULT_BLOCK_SLOTS, with_slot: str | None = None,
-               order: Sequence[str] | None = None, mark_dup: str | None = None) -> DataFrame:
+               order: Sequence[str] | None = None, mark_dup: str | None = None,
+               carriers: DataFrame | None = None) -> DataFrame:
     """Replace each of ``cols`` by its last non-null value at or before the row (unbounded
     forward fill).  ``with_slot`` names an extra output column: the slot the first of
     ``cols`` was last seen at (for the age of a fill).  ``order`` refines the row order
-    within a slot; ``mark_dup`` names a flag set on a row followed by one of the same slot."""
+    within a slot; ``mark_dup`` names a flag set on a row followed by one of the same slot.
+    ``carriers``: the rows of ``df`` that may hold values, and at least one row of each block;
+    the block summary is then aggregated from them, and the other rows are built once."""
     order = list(order or [slot])
     cols = list(cols)
     track = {c: F.col(c) for c in cols}
@@ -142,13 +169,12 @@ def carry_last(df: DataFrame, keys: Sequence[str], cols: Sequence[str], *, slot:
             new[mark_dup] = F.lead(slot).over(w) == F.col(slot)
         return df.withColumns(new)
     part = list(keys) + [BLOCK]
-    # The in-block window and the block summary both start from the (key, block) exchange;
-    # the summary's aggregate needs no further shuffle.
-    x = _spread(df.withColumn(BLOCK, floor_div(F.col(slot), b)), part)
+    blocked = df.withColumn(BLOCK, floor_div(F.col(slot), b))
+    x = _spread(blocked, part)
+    src = blocked if carriers is None else carriers.withColumn(BLOCK, floor_div(F.col(slot), b))
     # Last non-null of every tracked column per (key, block): a few rows per key.
-    summary = x.groupBy(*part).agg(*[
-        F.max(F.when(e.isNotNull(), F.struct(F.col(slot).alias("s"), e.alias("v"))))["v"].alias(f"_sum_{c}")
-        for c, e in track.items()])
+    summary = src.groupBy(*part).agg(*[
+        F.max_by(e, F.when(e.isNotNull(), F.col(slot))).alias(f"_sum_{c}") for c, e in track.items()])
     wb = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select(*part, *[F.last(f"_sum_{c}", True).over(wb).alias(f"_carry_{c}") for c in track])
     w0 = Window.partitionBy(*part).orderBy(*order)
@@ -169,9 +195,9 @@ def carry_prev(df: DataFrame, keys: Sequence[str], col: str, out: str, *, slot:
     if b is None:
         return df.withColumn(out, F.lag(col, 1).over(ordered(keys, slot)))
     part = list(keys) + [BLOCK]
-    x = _spread(df.withColumn(BLOCK, floor_div(F.col(slot), b)), part)  # shared by both branches
-    summary = x.groupBy(*part).agg(
-        F.max(F.struct(F.col(slot).alias("s"), F.col(col).alias("v")))["v"].alias("_sum_last"))
+    blocked = df.withColumn(BLOCK, floor_div(F.col(slot), b))
+    x = _spread(blocked, part)
+    summary = blocked.groupBy(*part).agg(F.max_by(col, slot).alias("_sum_last"))  # map-side
     summary = summary.select(*part, F.lag("_sum_last", 1).over(
         Window.partitionBy(*keys).orderBy(BLOCK)).alias("_carry_prev"))
     w = ordered(part, slot)

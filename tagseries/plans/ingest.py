@@ -26,9 +26,11 @@ def grid(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAU
 
 
 def filled(spark: SparkSession, sf_dir: str, *, max_gap_steps: int | None = None,
-           block_slots: int | str | None = DEFAULT_BLOCK_SLOTS, age: str | None = None) -> DataFrame:
-    """Grid + forward fill in one shuffle of the grid (``fill_on_grid``)."""
-    return fill_on_grid(buckets(spark, sf_dir), C.STEP_S, tags=C.TAGS, max_gap_steps=max_gap_steps,
+           block_slots: int | str | None = DEFAULT_BLOCK_SLOTS, age: str | None = None,
+           tags: list[str] = C.TAGS) -> DataFrame:
+    """Grid + forward fill in one shuffle of the grid (``fill_on_grid``); the grid spans all
+    tags' buckets whichever ``tags`` are filled."""
+    return fill_on_grid(buckets(spark, sf_dir), C.STEP_S, tags=tags, max_gap_steps=max_gap_steps,
                         block_slots=block_slots, age=age)
 
 
@@ -39,5 +41,8 @@ def wide(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAU
 def series(spark: SparkSession, sf_dir: str, tag: str = C.LABEL_TAG,
            block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """One filled tag as ``(slot, ts, value)``: the wide table's flow column."""
-    f = filled(spark, sf_dir, block_slots=block_slots)
-    return f.filter(F.col("tag") == tag).select("slot", "ts", "value")
+    return series_of(filled(spark, sf_dir, block_slots=block_slots, tags=[tag]), tag)
+
+
+def series_of(filled: DataFrame, tag: str = C.LABEL_TAG) -> DataFrame:
+    return filled.filter(F.col("tag") == tag).select("slot", "ts", "value")

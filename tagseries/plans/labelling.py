@@ -13,7 +13,7 @@ from .ingest import series
 
 
 def baseline(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
-    return rolling_baseline(series(spark, sf_dir, block_slots=block_slots), round_digits=6,
+    return rolling_baseline(series(spark, sf_dir, block_slots=block_slots),
                             block_slots=block_slots)
 
 
@@ -28,14 +28,18 @@ def merged(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEF
 def labelled(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS,
              **kw) -> DataFrame:
     """The label table: ts, flow, baseline_7d, is_upset and the three labels (plus slot)."""
-    out = upset_labels(series(spark, sf_dir, block_slots=block_slots), drop_threshold=C.DROP_THRESHOLD,
-                       baseline_round=6, block_slots=block_slots, **kw)
+    return labelled_of(series(spark, sf_dir, block_slots=block_slots), block_slots, **kw)
+
+
+def labelled_of(series: DataFrame, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS, **kw) -> DataFrame:
+    out = upset_labels(series, drop_threshold=C.DROP_THRESHOLD, block_slots=block_slots, **kw)
     return out.select("slot", "ts", F.col("value").alias("flow"), "baseline_7d", "is_upset",
                       *C.LABEL_COLS)
 
 
 def starts(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
-    return event_starts(labelled(spark, sf_dir, block_slots), block_slots=block_slots)
+    rows = labelled(spark, sf_dir, block_slots).select("slot", "ts", "is_upset")
+    return event_starts(rows, block_slots=block_slots)
 
 
 def count_events(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:

@@ -64,8 +64,9 @@ def sensors_wide(spark: SparkSession, sf_dir: str, block_slots: int | str | None
 
 def joined(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
     """Sensors (with per-tag features) inner-joined to the label table on ts."""
-    labels = labelling.labelled(spark, sf_dir, block_slots).select(*C.KEEP_COLS)
-    return wide_features(spark, sf_dir, block_slots).join(labels, on="ts", how="inner")
+    filled = ingest.filled(spark, sf_dir, block_slots=block_slots)  # one stage 1 for both sides
+    labels = labelling.labelled_of(ingest.series_of(filled), block_slots).select(*C.KEEP_COLS)
+    return wide_features_of(filled, block_slots).join(labels, on="ts", how="inner")
 
 
 def feature_matrix(spark: SparkSession, sf_dir: str, block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:

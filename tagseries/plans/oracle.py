@@ -78,8 +78,7 @@ bl AS (
   FROM s WINDOW w AS (ORDER BY slot ROWS BETWEEN 2016 PRECEDING AND 1 PRECEDING)),
 fl AS (
   SELECT slot, ts, value, {r6('baseline_raw')} AS baseline_7d, baseline_count,
-         CAST((round(baseline_raw + 1e-8, 6) > 10.0::DOUBLE)
-              AND (value < round(baseline_raw + 1e-8, 6) * {factor}) AS INTEGER) AS is_upset_raw
+         baseline_raw, CAST((baseline_raw > 10.0::DOUBLE) AND (value < baseline_raw * {factor}) AS INTEGER) AS is_upset_raw
   FROM bl WHERE baseline_count >= 288),
 mg AS (
   SELECT *, max(is_upset_raw) OVER (ORDER BY slot ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS is_upset
@@ -271,14 +270,14 @@ def _labels_only_ctes() -> str:
 
 def _baseline_dev_ctes() -> str:
     return wide_cte() + _labels_only_ctes() + f""",
-j AS (SELECT wd.ts, wd.{C.LABEL_TAG}, lb.baseline_7d FROM wd JOIN lb ON wd.ts = lb.ts)"""
+j AS (SELECT wd.ts, wd.{C.LABEL_TAG}, lb.baseline_raw AS baseline_7d FROM wd JOIN lb ON wd.ts = lb.ts)"""
 
 
 def feature_matrix_sql() -> str:
     ctes = wide_features_cte() + _labels_only_ctes() + """,
-j AS (SELECT wf.*, lb.is_upset, lb.upset_4h, lb.upset_12h, lb.upset_24h, lb.baseline_7d
+j AS (SELECT wf.*, lb.is_upset, lb.upset_4h, lb.upset_12h, lb.upset_24h, lb.baseline_raw AS baseline_7d
       FROM wf JOIN lb ON wf.ts = lb.ts)"""
-    cols = ["ts", "is_upset", "upset_4h", "upset_12h", "upset_24h", "baseline_7d"]
+    cols = ["ts", "is_upset", "upset_4h", "upset_12h", "upset_24h", f"{r6('baseline_7d')} AS baseline_7d"]
     for t in C.SENSOR_COLS:
         names = stat_names() + (roc_names() if t in C.ROC_COLS else [])
         cols += [f"{r6(_q(t + '_' + n))} AS {_q(t + '_' + n)}" for n in names]

@@ -35,7 +35,7 @@ def run_stages(spark: SparkSession, sf_dir: str, out_root: str, *, fmt: str = "p
     dtype = sensors.schema["ts"].dataType
     series = sensors.select(slot_of("ts", C.STEP_S, dtype).alias("slot"), "ts",
                             F.col(C.LABEL_TAG).alias("value"))
-    labels = upset_labels(series, drop_threshold=C.DROP_THRESHOLD, baseline_round=6)
+    labels = upset_labels(series, drop_threshold=C.DROP_THRESHOLD)
     write_table(labels.select("slot", "ts", F.col("value").alias("flow"), "baseline_7d", "is_upset",
                               *C.LABEL_COLS), p["labels"], fmt=fmt)
     labels = spark.read.format(fmt).load(p["labels"])
@@ -64,12 +64,11 @@ def main(argv: list[str] | None = None) -> None:
     test tables and print the reports."""
     import sys
 
-    from ..session import local_session
     args = list(sys.argv[1:] if argv is None else argv)
     if len(args) < 2:
         raise SystemExit("usage: python -m tagseries.plans.workflow SF_DIR OUT_DIR [TREES]")
-    spark = local_session()
-    out = run_stages(spark, args[0], args[1], trees=int(args[2]) if len(args) > 2 else 40)
+    spark = SparkSession.builder.appName("tagseries").getOrCreate()  # the submitted session, where there is one
+    out = run_stages(spark, args[0], args[1], trees=int(args[2]) if len(args) > 2 else GBTParams.max_iter)
     for name, df in out.items():
         print(f"== {name}")
         df.show(truncate=False)

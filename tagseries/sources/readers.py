@@ -53,8 +53,8 @@ def read_tags(spark: SparkSession, catalogue: Mapping[str, str], *, root: str =
         path = f"{root.rstrip('/')}/{sub}" if root else sub
         try:
             frames.append(read_tag(spark, tag, path, schema))
-        except AnalysisException:
-            if on_missing == "raise":
+        except AnalysisException as e:  # anything but a missing path is an error
+            if on_missing == "raise" or e.getCondition() != "PATH_NOT_FOUND":
                 raise
             failed.append(tag)
     if not frames:
