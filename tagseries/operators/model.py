@@ -1,7 +1,7 @@
 """Boosted trees on Spark ML: class weight, fit, score, per-iteration loss, importances.
 
-Spark's GBT has no missing-value branch, so NULL features are imputed (mean) and the
-tree ensemble is fitted with a positive-class weight of neg / max(pos, 1) from the
+Spark's GBT has no missing-value branch, so NULL and NaN features take the mean of the
+training rows (0 for a feature without any value) and the tree ensemble is fitted with a positive-class weight of neg / max(pos, 1) from the
 training rows.  Trees grow on the executors; the driver only holds the fitted model.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,9 +48,17 @@ def _imputed(features: Sequence[str]) -> list[str]:
     return [f"_imp_{i}" for i in range(len(features))]
 
 
+def _impute_sql(data: DataFrame, feats: list[str]) -> str:
+    """The imputation as a model stage; one row of means reaches the driver."""
+    known = [f"nanvl(`{c}`, NULL)" for c in feats]
+    means = data.agg(*[F.expr(f"coalesce(avg({k}), 0.0D)") for k in known]).first()
+    cols = [f"coalesce({k}, {float(m)!r}D) AS {o}" for k, m, o in zip(known, means, _imputed(feats), strict=True)]
+    return f"SELECT *, {', '.join(cols)} FROM __THIS__"
+
+
 def fit_gbt(train: DataFrame, features: Sequence[str], label: str,
             params: GBTParams = GBTParams()) -> PipelineModel:
-    """Imputer -> VectorAssembler -> weighted GBTClassifier."""
+    """Mean imputation -> VectorAssembler -> weighted GBTClassifier."""
     ensure_checkpoint_dir(train.sparkSession)
     feats = list(features)
     data = with_class_weight(train.select(*feats, F.col(label).cast("int").alias(label)), label)
@@ -64,7 +72,7 @@ def fit_gbt(train: DataFrame, features: Sequence[str], label: str,
                         cacheNodeIds=has_ckpt,
                         checkpointInterval=params.checkpoint_interval if has_ckpt else -1)
     pipe = Pipeline(stages=[
-        Imputer(inputCols=feats, outputCols=_imputed(feats), strategy="mean"),
+        SQLTransformer(statement=_impute_sql(data, feats)),
         VectorAssembler(inputCols=_imputed(feats), outputCol="_features", handleInvalid="keep"),
         gbt,
     ])

@@ -22,7 +22,9 @@ IMBALANCE = {"flow_imbalance": ("view", "click")}
 RATIO = {"speed_ratio": ("purchase", "signup")}
 SPREAD = {"tag_spread": ("click", "error", "purchase")}
 WARMUP_UNTIL = "2024-01-02 00:00:00"
-CIRCULAR_PREFIXES = ("view", "flow_imbalance", "watercut_proxy", "flow_vs_baseline")
+# Every flow tag (both sides of the share and the imbalance) and what is built on it is circular.
+CIRCULAR_PREFIXES = (*sorted({*SHARE["watercut_proxy"], *IMBALANCE["flow_imbalance"]}),
+                     *SHARE, *IMBALANCE, "flow_vs_baseline")
 
 # Time split of the model stage.
 TRAIN_END = "2024-01-20 23:59:59"

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.resample import fill_on_grid, regularise, resample, to_wide
 from ..operators.windows import DEFAULT_BLOCK_SLOTS
 from ..sources.fixtures import events_readings
-from ..sources.sinks import with_year
+from ..session import shared_folder
+from ..sources.readers import read_table, read_tags
+from ..sources.sinks import table_extent, with_year, write_table
 from . import config as C
 
 
@@ -17,6 +21,30 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("good_quality", (F.col("status") == 192).cast("int"))
 
 
+def tag_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The readings written as one folder per tag, read back through the catalogue, which also
+    names a tag that was never exported: (long readings, failed tags)."""
+    root = f"{shared_folder(spark)}/tags-{uuid.uuid4().hex}"
+    raw = events_readings(spark, sf_dir).select(F.col("ts").alias("Time"), F.col("value").alias("Value"),
+                                                F.col("status").alias("Status"), "tag")
+    write_table(raw, root, partition_by=["tag"])
+    return read_tags(spark, {t: f"tag={t}" for t in [*C.TAGS, "never_exported"]}, root=root)
+
+
+def catalogue_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long, failed = tag_store(spark, sf_dir)
+    if failed != ["never_exported"]:
+        raise ValueError(f"tags without files: {failed}")
+    return resample(long, C.STEP_S)
+
+
+def stored_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table written by year, read back as a table: rows, first and last time per year."""
+    path = f"{shared_folder(spark)}/sensors-{uuid.uuid4().hex}"
+    write_table(wide(spark, sf_dir), path, partition_by=["year"])
+    return table_extent(read_table(spark, path, ["ts", "year"]), by=["year"])
+
+
 def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(events_readings(spark, sf_dir), C.STEP_S)
 

@@ -103,6 +103,10 @@ SELECT ts, tag, value, status, CAST(status = 192 AS INTEGER) AS good_quality FRO
     q["resample_5min"] = with_(BUCKETS, f"""
 SELECT tag, slot, make_timestamp(slot * {STEP_US}) AS ts, {r6('value')} AS value,
        {r6('quality_frac')} AS quality_frac, n_raw FROM b""")
+    q["catalogue_resample"] = q["resample_5min"]
+    q["stored_by_year"] = with_(wide_cte(), """
+SELECT CAST(year(ts) AS INTEGER) AS year, count(*) AS rows, min(ts) AS earliest, max(ts) AS latest
+FROM wd GROUP BY 1""")
     q["grid_left_join"] = with_(GRID, f"""
 SELECT tag, slot, ts, {r6('value')} AS value, {r6('quality_frac')} AS quality_frac, n_raw FROM g""")
     q["forward_fill"] = with_(FILLED, f"""

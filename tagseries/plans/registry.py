@@ -25,6 +25,14 @@ def _resample(spark, d):
     return rounded(ingest.buckets(spark, d))
 
 
+def _catalogue(spark, d):
+    return rounded(ingest.catalogue_buckets(spark, d))
+
+
+def _stored(spark, d):
+    return ingest.stored_extent(spark, d)
+
+
 def _grid(spark, d):
     return rounded(ingest.grid(spark, d))
 
@@ -179,6 +187,8 @@ def _gbt_losses(spark, d):
 QUERIES: dict[str, Query] = {
     "readings_union": _readings_union,
     "resample_5min": _resample,
+    "catalogue_resample": _catalogue,
+    "stored_by_year": _stored,
     "grid_left_join": _grid,
     "forward_fill": _fill,
     "forward_fill_capped": _fill_capped,

@@ -13,6 +13,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -37,6 +38,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The configured shared folder; a folder of its own only on a local master."""
+    d = ensure_checkpoint_dir(spark, allow_local=spark.sparkContext.master.startswith("local"))
+    if not d:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return d
+
+
 def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str | None:
     """Point the context at ``spark.checkpoint.dir``.
 

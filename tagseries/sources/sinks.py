@@ -32,7 +32,7 @@ def write_table(df: DataFrame, target: str, *, fmt: str = "parquet", mode: str =
         w.save(target)
 
 
-def table_extent(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """One row: rows, earliest, latest."""
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.min(ts).alias("earliest"),
+def table_extent(df: DataFrame, ts: str = "ts", by: list[str] | None = None) -> DataFrame:
+    """One row (per value of ``by``): rows, earliest, latest."""
+    return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("rows"), F.min(ts).alias("earliest"),
                   F.max(ts).alias("latest"))

@@ -26,3 +26,10 @@ def test_fit_score_importance(spark):
             permutation_importance(model, df, ["a", "b"], "y", n=200, key=["ts"]).collect()}
     assert perm["a"] > 0.1 and abs(perm["b"]) < 0.1
     assert iteration_loss(model, df, ["a", "b"], "y").count() == 5
+
+
+def test_feature_without_values(spark):
+    rows = [(i, i / 50, None, float("nan") if i % 3 else 1.0, int(i > 30)) for i in range(50)]
+    df = spark.createDataFrame(rows, "ts long, a double, none double, b double, y int")
+    model = fit_gbt(df, ["a", "none", "b"], "y", GBTParams(max_iter=2, max_depth=2))
+    assert score(model, df, ["a", "none", "b"], "y").where("score between 0 and 1").count() == 50
