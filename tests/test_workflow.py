@@ -15,7 +15,7 @@ def test_stages_round_trip(spark, tmp_path):
     assert out["thresholds"].count() == 16
     assert out["report"].count() == 5
     sensors = spark.read.parquet(str(tmp_path / "sensors"))
-    sl = time_slice(sensors, "2024-01-10 00:00:00", "2024-01-11 00:00:00", limit=10)
+    sl = time_slice(sensors, "2024-01-10 00:00:00", "2024-01-11 00:00:00", limit=10, year_col="year")
     plan = sl._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and sl.count() == 10
 
