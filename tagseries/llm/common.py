@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,21 @@ def unstage(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, limit: str = "8m") -> Iterator[None]:
+    """Bounds the Arrow batches of the jobs inside by bytes as well as rows, so that the memory of a
+    task does not grow with the length of texts; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, limit)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, every other character unchanged."""
     return F.translate(c, UPPER, LOWER)

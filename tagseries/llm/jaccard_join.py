@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tagseries.llm.common import components, mix64, stage, texts_of
+from tagseries.llm.common import batch_bytes, components, mix64, stage, texts_of
 
 WORDS, LINK = 5, (80, 100)
 SKETCH, BITS, FILTER = 1 << 18, 2048, 1 << 23
@@ -353,6 +353,11 @@ def _with_partners(rows: DataFrame, leaf: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                     leaf: int = LEAF, depth: int = DEPTH, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
+    with batch_bytes(docs.sparkSession):  # all Python work ends in staged tables
+        return _near_duplicates(docs, id_col, text_col, words, leaf, depth, rounds)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, leaf: int, depth: int, rounds: int) -> DataFrame:
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     first = stage(_classes(src, words), "sets")
     rows = first.where("node is not null").select("id", "node", "n", "bits", "fine")
