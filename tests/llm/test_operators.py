@@ -140,6 +140,32 @@ def test_lm_probabilities_sum_to_one():
         assert np.exp(m.logp(sym, np.full(40, p1), np.full(40, p2))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_symbols_beyond_the_first_254(spark):
+    words = [f"w{i}" for i in range(390)]
+    r, rows = random.Random(1), []
+    for i in range(900):  # frequent words at random, the rarer ones (rank 270 on) always in one order
+        at = 270 + r.randrange(120)
+        rows.append((i, " ".join([r.choice(words[:270]) for _ in range(300)] + [words[270 + (at + j) % 120] for j in range(60)])))
+    held = [x for x in range(1000, 1020) if zlib.crc32(str(x).encode()) % 5 == 1]
+    rows += [(x, " ".join(words[270 + j % 120] for j in range(x, x + 60))) for x in held]
+    out = {x.doc_id: x for x in lm_score.lm_score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert held and all(out[x].score > 0.5 * out[x].base_score for x in held), [out[x].score / out[x].base_score for x in held]
+
+
+def test_lm_size_grows_with_training_tokens():
+    assert [lm_score.side_of(n) for n in (0, 10**6, 10**8, 10**12)] == [20, 20, 34, 64]
+    m = lm_score.Model(900, side=34)
+    assert m.rows > lm_score.ROWS and m.rows % lm_score.BLOCK_ROWS == 0
+    sym, p1, p2 = (np.random.default_rng(k).integers(0, 900, 500) for k in range(3))
+    squares, uses = [np.zeros(m.rows) for _ in "ab"], [np.zeros(m.rows) for _ in "ab"]
+    before = m.logp(sym, p1, p2).sum()
+    for _ in range(5):
+        m.learn(sym, p1, p2, squares, uses)
+    assert m.logp(sym, p1, p2).sum() > before and uses[0].sum() == uses[1].sum() == 5 * 4 * 500
+    every = np.arange(900)
+    assert np.exp(m.logp(every, np.full(900, 899), np.full(900, 900))).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_section_tokens(docs, no_docs):
     enc, _ = token_counts.load_encoder(token_counts.RANKS, token_counts.PATTERN)
 
