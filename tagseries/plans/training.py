@@ -3,20 +3,22 @@ importances on the feature matrix; metric plans on the deterministic score table
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from dataclasses import astuple
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import feature_columns
 from ..operators.model import GBTParams, fit_gbt, iteration_loss, permutation_importance, score
 from ..operators.slicing import class_balance, time_split
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, shared_folder
 from ..sources.fixtures import events_scores
 from . import config as C
 from . import matrix
 
-# Trees for the registered query; the library default is the source's 400.
-QUERY_TREES = 40
-
 
 def model_features(fm: DataFrame) -> list[str]:
     return feature_columns(fm, C.KEEP_COLS, C.CIRCULAR_PREFIXES)
@@ -40,33 +42,54 @@ def materialised_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm
 
 
-_FITTED: dict = {}
+_SPLIT: dict = {}
 
 
-def fitted(spark: SparkSession, sf_dir: str, trees: int = QUERY_TREES):
-    """(model, features, test rows); one fit per session, data folder and tree count."""
-    key = (id(spark), sf_dir, trees)
-    if key not in _FITTED:
+def _rows_of(spark: SparkSession, sf_dir: str):
+    """(features, train rows, test rows); one matrix per session and data folder."""
+    key = (id(spark), sf_dir)
+    if key not in _SPLIT:
         fm = materialised_matrix(spark, sf_dir)
-        feats = model_features(fm)
-        train, test = time_split(fm, C.TRAIN_END, C.TEST_START)
-        model = fit_gbt(train, feats, C.TARGET, GBTParams(max_iter=trees))
-        _FITTED[key] = (model, feats, test)
-    return _FITTED[key]
-
-
-def losses(spark: SparkSession, sf_dir: str, trees: int = QUERY_TREES) -> DataFrame:
-    model, feats, test = fitted(spark, sf_dir, trees)
+        _SPLIT[key] = (model_features(fm), *time_split(fm, C.TRAIN_END, C.TEST_START))
+    return _SPLIT[key]
+
+
+def model_path(train: DataFrame, feats: list[str], params: GBTParams) -> str:
+    """Place of the fitted model in the shared folder, named by the rows, features and settings of the fit."""
+    spark = train.sparkSession
+    rows = train.agg(F.count("*"), F.sum(F.xxhash64(*feats, C.TARGET).cast("decimal(38,0)"))).first()
+    name = hashlib.sha256(repr((tuple(rows), feats, C.TARGET, astuple(params))).encode()).hexdigest()
+    base = spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark)
+    return f"{base.rstrip('/')}/gbt-{name[:32]}"
+
+
+def fitted(spark: SparkSession, sf_dir: str, params: GBTParams = GBTParams()):
+    """(model, features, test rows).  The model is fitted and written to the shared folder once; every
+    query, of this session or another one, loads it from there."""
+    feats, train, test = _rows_of(spark, sf_dir)
+    path = model_path(train, feats, params)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jpath(path)):
+        # written beside and renamed, so that no reader meets half a model
+        part = f"{path}-{uuid.uuid4().hex}"
+        fit_gbt(train, feats, C.TARGET, params).write().save(part)
+        fs.rename(jpath(part), jpath(path))
+    return PipelineModel.load(path), feats, test
+
+
+def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, feats, test = fitted(spark, sf_dir)
     return iteration_loss(model, test, feats, C.TARGET)
 
 
-def gbt_scores(spark: SparkSession, sf_dir: str, trees: int = QUERY_TREES) -> DataFrame:
-    model, feats, test = fitted(spark, sf_dir, trees)
+def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, feats, test = fitted(spark, sf_dir)
     return score(model, test, feats, C.TARGET)
 
 
-def importance(spark: SparkSession, sf_dir: str, trees: int = QUERY_TREES) -> DataFrame:
-    model, feats, test = fitted(spark, sf_dir, trees)
+def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, feats, test = fitted(spark, sf_dir)
     return permutation_importance(model, test, feats, C.TARGET, n=2000, top=25)
 
 

@@ -33,3 +33,30 @@ def test_feature_without_values(spark):
     df = spark.createDataFrame(rows, "ts long, a double, none double, b double, y int")
     model = fit_gbt(df, ["a", "none", "b"], "y", GBTParams(max_iter=2, max_depth=2))
     assert score(model, df, ["a", "none", "b"], "y").where("score between 0 and 1").count() == 50
+
+
+def test_registered_queries_fit_all_trees_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tagseries.operators import model as lib
+    from tagseries.plans import config as C
+    from tagseries.plans import registry, training
+
+    fm = spark.range(400).select(
+        F.timestamp_add("HOUR", (F.col("id") * 2).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("ts"),
+        F.rand(3).alias("a"), F.rand(4).alias("b")).withColumn(C.TARGET, (F.col("a") > 0.7).cast("int"))
+    rows = spark.createDataFrame(fm.collect(), fm.schema)
+    asked = []
+
+    def fit(train, feats, label, params):
+        asked.append(params)
+        return lib.fit_gbt(train, feats, label, lib.GBTParams(max_iter=3, max_depth=2))
+
+    monkeypatch.setattr(training, "materialised_matrix", lambda *_: rows)
+    monkeypatch.setattr(training, "fit_gbt", fit)
+    assert registry.QUERIES["gbt_iteration_loss"](spark, "planted").count() == 3
+    n = rows.where(F.col("ts") >= F.lit(C.TEST_START).cast("timestamp_ntz")).count()
+    assert registry.QUERIES["gbt_scores"](spark, "planted").count() == n > 0
+    training._SPLIT.clear()  # as another session of the same shared folder
+    assert registry.QUERIES["gbt_importances"](spark, "planted").count() == 2
+    assert [p.max_iter for p in asked] == [400]
