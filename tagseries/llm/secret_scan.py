@@ -1,13 +1,16 @@
 """Operator 1, secret scans by corpus-wide ownership frequency (DataFrame functions only).
 
 Every text is scanned once for candidate credentials; spans, the value's hash, its repository and
-owner are written to the shared folder.  Each value hash is then counted over distinct repositories
-and distinct owners.  A generic random-looking string (kind ``live``) becomes a span only if it looks
-live and no more than ``max_owners`` owners hold it; a string that many owners share is a widely
-copied example.  Spans of the fixed rules stay whatever their frequency is.
+owner are written to the shared folder.  Each value hash is then counted over distinct owners,
+distinct repositories and distinct texts.  A value is a widely copied example if more than
+``max_owners`` owners hold it in more than ``max_owners`` repositories and as many different texts (so
+exact copies of one document count once; a text that is nothing but the value counts by its repository), or if more than ``max_repos`` repositories with as many
+different texts hold it, whoever owns them.  Every other value is specific.  A generic random-looking string (kind
+``live``) becomes a span only if it looks live and is specific.  Spans of the fixed rules stay whatever
+their frequency is.
 
-Counting is by distinct (hash, owner, repository) rows first, so a value that a third of all rows
-hold is spread over all tasks by its repositories; the following counts are summed map-side.
+Counting is by distinct (hash, owner), (hash, repository) and (hash, text) rows, so a value that a third
+of all rows hold is spread over all tasks; the following counts are summed map-side.
 
 Edge cases: a null text is empty; a null owner is one owner of its own; a null repository likewise;
 equal rows are scanned alike and each gives a row; an empty table gives an empty result.
@@ -83,32 +86,40 @@ def _joined(spans: Column) -> Column:
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                repo_col: str | None = None, max_owners: int = 1) -> DataFrame:
+                repo_col: str | None = None, max_owners: int = 2, max_repos: int = 100) -> DataFrame:
     """One row per input row: id, counts per fixed rule, digest of the fixed spans, all spans,
-    numbers of live owner-specific, of widely copied and of added values.
+    numbers of live specific, of widely copied and of added values, the most owners and the most
+    repositories of one of its values.
 
     ``repo_col`` defaults to the id: each document is its own repository.
     """
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"),
                      F.col(owner_col).cast("string").alias("owner"),
                      F.col(repo_col or id_col).cast("string").alias("repo"))
+    df = df.withColumn("body", F.xxhash64("text_")).withColumn("size", F.length("text_"))
     for i, rule in enumerate((*RULES, GENERIC)):
         df = _spans(df, i, *rule)
     base = F.concat(*[F.col(k) for k, *_ in RULES])
     mixed = lambda x: x["live"]
     free = F.filter("live", lambda x: mixed(x) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    found = stage(df.select(F.monotonically_increasing_id().alias("rid"), "id", "owner", "repo",
+    found = stage(df.select(F.monotonically_increasing_id().alias("rid"), "id", "owner", "repo", "body", "size",
                             base.alias("base"), free.alias("free")), "secrets")
-    rows = found.select("rid", "owner", "repo", F.explode(F.concat("base", "free")).alias("c")).select(
-        "rid", "owner", "repo", F.col("c.h").alias("h"), F.col("c.k").alias("k"), F.col("c.s").alias("s"),
+    rows = found.select("rid", "owner", "repo", "body", "size", F.explode(F.concat("base", "free")).alias("c")).select(
+        "rid", "owner", "repo", F.when((F.col("c.s") == 0) & (F.col("c.e") == F.col("size")), F.concat(F.lit("r"), "repo")).otherwise(
+            F.col("body").cast("string")).alias("body"), F.col("c.h").alias("h"), F.col("c.k").alias("k"), F.col("c.s").alias("s"),
         F.col("c.live").alias("live"))
-    owned = rows.select("h", F.struct("owner").alias("o"), F.struct("repo").alias("r")).distinct()
-    freq = owned.groupBy("h", "o").agg(F.count("*").alias("n")).groupBy("h").agg(
-        F.count("*").alias("owners"), F.sum("n").alias("repos"))
+    held = rows.select("h", F.explode(F.array(
+        F.struct(F.lit(0).alias("what"), F.col("owner").alias("x")), F.struct(F.lit(1).alias("what"), F.col("repo").alias("x")),
+        F.struct(F.lit(2).alias("what"), F.col("body").alias("x")))).alias("t")).distinct()
+    number = lambda i: F.sum((F.col("t.what") == i).cast("long"))
+    freq = held.groupBy("h").agg(number(0).alias("owners"), number(1).alias("repos"), number(2).alias("bodies"))
+    apart = F.least("repos", "bodies")
+    freq = freq.withColumn("copied", ((F.col("owners") > max_owners) & (apart > max_owners)) | (apart > max_repos))
     judged = rows.join(freq, "h").groupBy("rid").agg(
-        F.sum((F.col("live") & (F.col("owners") <= max_owners)).cast("long")).alias("n_specific"),
-        F.sum((F.col("owners") > max_owners).cast("long")).alias("n_copied"),
-        F.collect_list(F.when((F.col("k") == len(RULES)) & (F.col("owners") <= max_owners), F.col("s"))).alias("own"))
+        F.sum((F.col("live") & ~F.col("copied")).cast("long")).alias("n_specific"),
+        F.sum(F.col("copied").cast("long")).alias("n_copied"),
+        F.max("owners").alias("most_owners"), F.max("repos").alias("most_repos"),
+        F.collect_list(F.when((F.col("k") == len(RULES)) & ~F.col("copied"), F.col("s"))).alias("own"))
     out = found.join(judged, "rid", "left")
     own = F.coalesce("own", F.array().cast("array<bigint>"))
     kept = F.filter("free", lambda x: F.array_contains(own, x["s"]))
@@ -118,4 +129,5 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.concat("base", kept)).alias("spans"),
         F.coalesce("n_specific", F.lit(0)).alias("n_specific"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
-        F.size(kept).cast("long").alias("n_live"))
+        F.size(kept).cast("long").alias("n_live"),
+        F.coalesce("most_owners", F.lit(0)).alias("most_owners"), F.coalesce("most_repos", F.lit(0)).alias("most_repos"))

@@ -96,6 +96,19 @@ def test_copied_example_is_not_live(spark):
     assert {r.n_live for r in secret_scan.secret_scan(df).collect()} == {0}
 
 
+def test_secret_counted_by_owners_and_repositories(spark):
+    key, wide, doc = "k3Jq9Zt7Wm2Xv5Rb8Ly4Nc6Pd1Hf0GsQ", "Zp7Lw2Kd9Xc4Vb6Nm1Qa8Ws3Er5TyHuJ", "a b token='Xk29fLq8Zr4mWc7T'"
+    rows = [(i, f"my {key}", f"o{i}") for i in range(5)]              # exact copies of one text by five owners
+    rows += [(10 + i, f"{i} {wide}", "one") for i in range(101)]      # one owner, very many different repositories
+    rows += [(200 + i, f"{i} {doc}", f"o{i}") for i in range(2)]      # two owners, two texts
+    rows += [(300 + i, f"{i} {doc[:-1]}0'", f"o{i}") for i in range(3)]     # three owners, three texts
+    out = {r.doc_id: r for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
+    assert all((out[i].n_live, out[i].n_specific, out[i].n_copied) == (1, 1, 0) for i in range(5))
+    assert all((out[10 + i].n_live, out[10 + i].n_copied) == (0, 1) for i in range(101))
+    assert (out[200].n_copied, out[300].n_specific, out[300].n_copied) == (0, 0, 1)
+    assert [(out[i].most_owners, out[i].most_repos) for i in (0, 10, 200, 300)] == [(5, 5), (1, 101), (2, 2), (3, 3)]
+
+
 def shingles(t):
     w = t.encode().lower().split()
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
