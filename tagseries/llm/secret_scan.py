@@ -32,14 +32,19 @@ RULES = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 GENERIC = ("live", r"[A-Za-z0-9+/_-]{32,}", 0, 32)
-PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|xxxx|0000|1234|(.)\1{4,}"
+PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|xxxx|(.)\1{7,}"
+# Counting runs and repeats: chance puts short ones into random values, so they must be most of the value.
+FILLER = r"0?1234(?:5(?:6(?:7(?:8(?:90?)?)?)?)?)?|(.)\1{3,}"
 SPAN = "array<struct<s:bigint,k:int,e:bigint,kind:string,h:string,live:boolean>>"
 BLOCK = 256
 
 
 def live_looking(v: Column) -> Column:
-    """At least ten different characters and no placeholder word, counting run or long repeat."""
-    return (F.size(F.array_distinct(F.split(F.substring(v, 1, 256), ""))) >= 10) & ~v.rlike(PLACEHOLDER)
+    """Ten different characters, or one in three of a value under 30 characters; no placeholder word or
+    long repeat, and at most half of it counting runs and short repeats."""
+    varied = F.size(F.array_distinct(F.split(v, ""))) * 3 >= F.least(F.lit(30), F.length(v))
+    filled = F.length(v) - F.length(F.regexp_replace(v, FILLER, ""))
+    return varied & ~v.rlike(PLACEHOLDER) & (filled * 2 <= F.length(v))
 
 
 def _located(gaps: str, lens: str) -> Column:

@@ -109,6 +109,16 @@ def test_secret_counted_by_owners_and_repositories(spark):
     assert [(out[i].most_owners, out[i].most_repos) for i in (0, 10, 200, 300)] == [(5, 5), (1, 101), (2, 2), (3, 3)]
 
 
+def test_short_and_chance_values_are_live(spark):
+    hexes = "0b96a8c8d79c4a5085c919698889f5{}2ab7bb"
+    far = "abab" * 100 + "k3Jq9Zt7Wm2Xv5Rb8Ly4Nc6Pd1Hf0GsQ"  # varied only after 256 characters
+    live = ["password=hunter2x", "api_key: s3cr3tPw", hexes.format("1234"), hexes.format("0000"), "token=" + far]
+    dead = ["password=12345678", "password=aaaaaaa", "token=example1234", "secret=00000000", "0123456789" * 3]
+    df = spark.createDataFrame([(i, t, f"o{i}") for i, t in enumerate(live + dead)], "doc_id int, text string, source string")
+    out = {r.doc_id: r.n_specific for r in secret_scan.secret_scan(df).collect()}
+    assert [out[i] for i in range(len(live + dead))] == [1] * len(live) + [0] * len(dead)
+
+
 def shingles(t):
     w = t.encode().lower().split()
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
