@@ -5,7 +5,11 @@ of equal length.  Slot k of the schedule is the golden-ratio point k * 0x9E3779B
 falls into the interval of one source on the line of cumulative targets.  Slots are ranked within
 their source, and the r-th slot takes block r modulo the source's number of blocks.  The schedule has
 a fixed number of slots and the blocks grow with the corpus, so a source misses its target by a few
-blocks, a few 262,144ths of the corpus, at every size.
+blocks, a few 262,144ths of the corpus, at every size; a source that is not much larger than a block gets
+far less than its target.  The SQL of the registered query states this schedule.
+
+With ``slots=None`` (the pipeline) a source has a schedule of its own, of blocks of one word: its words are
+taken in order, again from the first after the last, until its target is met, to half a word at every size.
 
 Offsets in a stream are prefix sums in two steps (per source and hash bucket, then inside a bucket),
 so no task holds a whole source; the bucket totals and the inner window share one key.
@@ -78,7 +82,7 @@ def shuffle_key(c: Column) -> Column:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                weights=WEIGHTS, most: int = MOST, slots: int = SLOTS, buckets: int = BUCKETS) -> DataFrame:
+                weights=WEIGHTS, most: int = MOST, slots: int | None = SLOTS, buckets: int = BUCKETS) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken (words of it that the mix takes)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
@@ -94,7 +98,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     offs = offs.join(targets, ["src", "nul"])
     inner = Window.partitionBy("src", "nul", "g").orderBy("h", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("c", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(offs, ["src", "nul", "g"])
-    d = d.withColumn("c", F.col("c") + F.col("start")).withColumn("b", F.expr(f"(total + {slots} - 1) div {slots}"))
+    d = d.withColumn("c", F.col("c") + F.col("start"))
+    if slots is None:
+        d = d.withColumn("words", F.round("target").cast("long")).withColumn("around", F.greatest("s", F.lit(1)))
+        taken = F.expr("words div around * size + greatest(0, least(size, words % around - c))")
+        return d.select(F.col("id").alias(id_col), "size", F.col("s").alias("source_size"), "target",
+                        taken.cast("long").alias("taken"))
+    d = d.withColumn("b", F.expr(f"(total + {slots} - 1) div {slots}"))
     some = F.col("size") > 0
     span = F.when(some, F.sequence(F.expr("c div greatest(b, 1)"), F.expr("(c + size - 1) div greatest(b, 1)")))
     d = d.withColumn("rid", F.struct("src", "nul", "c", "size", "tie", "id"))

@@ -42,6 +42,14 @@ def test_planted_cases(spark, tmp_path):
     assert weight["s0"] > weight["s1"] > weight["s2"]
 
 
+def test_small_sources_meet_their_targets(spark):
+    large = spark.range(1000).selectExpr("id doc_id", "repeat('a ', 3000) text", "'a' source")
+    small = spark.range(1000, 1012).selectExpr("id doc_id", "'b c' text", "concat('z', id div 2) source")
+    out = corpus_pipeline.mix(spark, large.unionByName(small), "").groupBy("source").agg(
+        {"taken": "sum", "target": "max"}).collect()  # 2^18 blocks would be of 12 words, these sources have 4
+    assert len(out) == 7 and all(abs(x["sum(taken)"] - x["max(target)"]) <= 0.5 for x in out)
+
+
 def test_one_query_per_operator():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
