@@ -13,6 +13,7 @@ from tagseries.llm import (
     mixing,
     repeats,
     secret_scan,
+    spelling,
     token_counts,
     toxicity,
     url_filter,
@@ -60,11 +61,15 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op11_spelling_groups(spark, sf_dir):
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).withColumn(
         "kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_lm_score, op4_section_tokens, op5_mix_sources, op6_url_filter,
-                                   op7_toxicity, op8_remove_repeats, op9_nearest, op10_decontaminate, op13_line_dedup)}
+                                   op7_toxicity, op8_remove_repeats, op9_nearest, op10_decontaminate, op11_spelling_groups, op13_line_dedup)}
 SQL = {"op5_mix_sources": mixing.mixing_sql(), "op6_url_filter": url_filter.url_sql(), "op13_line_dedup": line_dedup.line_sql()}

@@ -4,11 +4,13 @@ and columns whose names clash with internal ones."""
 import hashlib
 import random
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from tagseries.llm import line_dedup
+from tagseries.llm import line_dedup, spelling
 
 SCHEMA = "doc_id bigint, text string, doc bigint, body string, word string, n int, pos int, rid int"
 rng = random.Random(8)
@@ -70,3 +72,74 @@ def test_lines_other_thresholds_and_empty_table(spark):
     pairs = line_pairs()
     assert lines_of(spark, pairs, min_chars=1, min_docs=2) == brute_lines(pairs, 1, 2)
     assert lines_of(spark, []) == []
+
+
+# --- 11, spelling
+
+def near(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def brute_spelling(pairs, every=199):
+    count = Counter()
+    for i, t in pairs:
+        for w in re.findall("[A-Za-z\u00C0-\u00FF]+", t or ""):
+            w = re.sub("[A-Z]+", lambda m: m.group().lower(), w)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            if every and h % every == 0:
+                w = w[:h % len(w)] + w[h % len(w) + 1:]
+            count[w] += 1
+    count = {w: n for w, n in count.items() if n >= 5 and len(w) >= 6}
+    form, n_near = {}, {}
+    for w, n in count.items():
+        by = sorted((-count[x], x) for x in count if near(w, x))
+        n_near[w] = len(by)
+        form[w] = by[0][1] if by and -by[0][0] >= 5 * n else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return sorted((w, form[w], root(w), n, n_near[w], count.get(form[w])) for w, n in count.items())
+
+
+def edit(w, letters="abc\u00e9z"):
+    i = rng.randrange(len(w))
+    return rng.choice([w[:i] + w[i + 1:], w[:i] + rng.choice(letters) + w[i:], w[:i] + rng.choice(letters) + w[i + 1:]])
+
+
+def spelling_pairs():
+    base = ["".join(rng.choice("abc\u00e9z") for _ in range(rng.randint(6, 9))) for _ in range(60)]
+    words = [(w, 300) for w in base] + [(edit(w), 40) for w in base * 3] + [(edit(edit(w)), 6) for w in base * 4]
+    words += [("".join(rng.sample("abcdefg", 7)), 5) for _ in range(150)] + [("\u00c9CLAIR\u00d7\u00f7", 7), ("\u00c9clair\u00d7", 6)]
+    bag = [w.upper() if rng.random() < 0.2 and w.isascii() else w for w, n in words for _ in range(n)]
+    rng.shuffle(bag)
+    pairs = [(i, " ".join(bag[j:j + 97])) for i, j in enumerate(range(0, len(bag), 97))]
+    return pairs + [(None, "a" * 300 + ", " + " ".join(["b" * 300, "b" * 299] * 6)), (7, None), (8, ""), (9, "12 \u0100\u017f")] + pairs[:2]
+
+
+@pytest.mark.parametrize("sample, cell", [(1 << 16, 2048), (200, 16)])
+def test_spelling_equals_brute_force(spark, sample, cell):
+    pairs = spelling_pairs()
+    out = spelling.spelling_groups(frame(spark, pairs), sample=sample, cell=cell)
+    want = brute_spelling(pairs)
+    assert sum(r[1] is not None for r in want) > 50 and any(r[2] != r[1] for r in want if r[1])
+    assert sorted(tuple(r) for r in out.collect()) == want
+
+
+def test_spelling_of_an_empty_table(spark):
+    assert spelling.spelling_groups(frame(spark, [])).count() == 0
+    assert spelling.spelling_groups(frame(spark, [(1, None), (2, "few short words")])).count() == 0
+
+
+def test_box_bounds_keep_every_near_word():
+    words = sorted({"".join(rng.choice("abcd") for _ in range(7)) for _ in range(400)})
+    longer = sorted({edit(w, "abcd") for w in words * 2})
+    longer = [w for w in longer if len(w) == 8]
+    for a, b in ((words, words), (words, longer)):
+        q, h = spelling.near_pairs(spelling.codes_of(b), spelling.codes_of(a))
+        assert {(a[i], b[j]) for i, j in zip(q, h, strict=True)} == {(x, y) for x in a for y in b if near(x, y)}
+    tree = spelling.grow(spelling.vectors_of(spelling.codes_of(words), 3), np.arange(len(words)), 8)
+    assert isinstance(tree, tuple)
