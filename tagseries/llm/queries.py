@@ -14,6 +14,7 @@ from tagseries.llm import (
     repeats,
     secret_scan,
     spelling,
+    token_align,
     token_counts,
     toxicity,
     url_filter,
@@ -65,11 +66,16 @@ def op11_spelling_groups(spark, sf_dir):
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_token_links(spark, sf_dir):
+    return token_align.token_links(table(spark, sf_dir, "documents")).withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).withColumn(
         "kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_lm_score, op4_section_tokens, op5_mix_sources, op6_url_filter,
-                                   op7_toxicity, op8_remove_repeats, op9_nearest, op10_decontaminate, op11_spelling_groups, op13_line_dedup)}
+                                   op7_toxicity, op8_remove_repeats, op9_nearest, op10_decontaminate, op11_spelling_groups, op12_token_links,
+                                   op13_line_dedup)}
 SQL = {"op5_mix_sources": mixing.mixing_sql(), "op6_url_filter": url_filter.url_sql(), "op13_line_dedup": line_dedup.line_sql()}

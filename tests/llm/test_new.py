@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tagseries.llm import line_dedup, spelling
+from tagseries.llm import line_dedup, spelling, token_align
 
 SCHEMA = "doc_id bigint, text string, doc bigint, body string, word string, n int, pos int, rid int"
 rng = random.Random(8)
@@ -143,3 +143,90 @@ def test_box_bounds_keep_every_near_word():
         assert {(a[i], b[j]) for i, j in zip(q, h, strict=True)} == {(x, y) for x in a for y in b if near(x, y)}
     tree = spelling.grow(spelling.vectors_of(spelling.codes_of(words), 3), np.arange(len(words)), 8)
     assert isinstance(tree, tuple)
+
+
+# --- 12, token alignment
+
+def brute_alignment(pairs):
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(token_align.A_FILE)
+    a.encode_special_tokens = True
+    b = SentencePieceProcessor(model_file=token_align.B_FILE)
+    back = {chr(c): x for x, c in token_align.printable_bytes().items()}
+    a_bytes = lambda i: bytes(back[c] for c in a.id_to_token(i))
+
+    def b_bytes(i):
+        p = b.id_to_piece(i)
+        return bytes([int(p[1:-1], 16)]) if b.is_byte(i) else p.replace("\u2581", " ").encode()
+
+    rows, count = [], Counter()
+    for i, t in pairs:
+        ids = (a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)) if t else ([], [])
+        parts = [[f(x) for x in ids[k]] for k, f in enumerate((a_bytes, b_bytes))]
+        if not t or any(b"".join(p) != b" " + t.encode() for p in parts):
+            rows.append((i, [], [], [], []))
+            continue
+        spans = [[(sum(map(len, p[:j])), sum(map(len, p[:j + 1]))) for j in range(len(p))] for p in parts]
+        links = [(x, y) for x, (s, e) in zip(ids[0], spans[0], strict=True) for y, (u, v) in zip(ids[1], spans[1], strict=True)
+                 if s < v and u < e]
+        common = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        groups = [tuple([x for x, (_, e) in zip(ids[k], spans[k], strict=True) if lo < e <= hi] for k in (0, 1))
+                  for lo, hi in zip([0, *common], common)]
+        rows.append((i, *ids, groups, links))
+        count.update(links)
+    top = Counter()
+    for (x, y), n in count.items():
+        top[y] = max(top[y], n)
+    text = lambda g: ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in g)
+    return sorted([(i, len(x), len(y), len(g), len(l), sum(count[k] == top[k[1]] for k in l), sum(count[k] for k in l), text(g))
+                   for i, x, y, g, l in rows], key=repr)
+
+
+def token_pairs():
+    words = ["alignment", "tokenizers", "na\u00efve", "\u6771\u4eac", "don't", "3.14159", "\U0001f600\U0001f44d", "\n\n", "  ", "\t", "WAL", "e\u0301",
+             "<s>", "<0x41>", "<|endoftext|>", "\x00\x1f", "\u00a0", "\u3000", "\u0085", "antidisestablishmentarianism", "\r\n", "\x1c "]
+    texts = [rng.choice(["", " "]).join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    texts += [None, "", " ", "  ", "a ", "\n", "a \u2581b", "\u2581", "\ufffd", "x" * 3000, "same text here", "same text here"]
+    return [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[4])]
+
+
+@pytest.mark.parametrize("step, share", [(1, 1 << 20), (7, 30), (1 << 16, 1)])
+def test_alignment_equals_brute_force(spark, monkeypatch, step, share):
+    monkeypatch.setattr(token_align, "HOT_SHARE", share)  # 1: no pair is frequent; 2 ** 20: all are
+    pairs = token_pairs()
+    out = token_align.token_links(frame(spark, pairs), step=step, digest=False)
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == brute_alignment(pairs)
+
+
+def test_alignment_of_empty_rows(spark):
+    assert token_align.token_links(frame(spark, [])).count() == 0
+    assert [tuple(r) for r in token_align.token_links(frame(spark, [(1, None)])).collect()] == [(1, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_ranks_give_the_same_merges():
+    assert token_align.merges_by_rank(token_align.A_FILE)
+    by_rank, table = token_align.load_a(token_align.A_FILE, True)
+    by_file, _ = token_align.load_a(token_align.A_FILE, False)
+    for _, t in token_pairs():
+        if t:
+            assert by_rank(t) == by_file(t)
+            assert b"".join(table[i] for i in by_rank(t)) == b" " + t.encode()
+
+
+@pytest.mark.parametrize("step", [1, 2, 5, 100])
+def test_pieces_are_equal_work_and_stitch(step):
+    for _ in range(30):
+        a, b = (np.cumsum([rng.randint(1, 4) for _ in range(rng.randint(1, 40))]) for _ in range(2))
+        end = max(a[-1], b[-1]) + 1
+        a, b = np.append(a, end), np.append(b, end)
+        at = token_align.diagonals(a, b, step)
+        d = np.append(np.arange(0, len(a) + len(b), step), len(a) + len(b))
+        merged = sorted([(int(x), 0) for x in a] + [(int(x), 1) for x in b])
+        assert list(at) == [sum(side == 0 for _, side in merged[:n]) for n in d]
+        ends, ta, tb, both = token_align.overlaps(a, b, step)
+        want = sorted({*a.tolist(), *b.tolist()})
+        assert ends.tolist() == want
+        assert ta.tolist() == [int(np.searchsorted(a, e)) for e in want] and tb.tolist() == [int(np.searchsorted(b, e)) for e in want]
+        assert both.tolist() == [e in a and e in b for e in want]
