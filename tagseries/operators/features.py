@@ -10,14 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import (EPS, guarded_ratio, imbalance, ratio, row_mean, row_spread,
                                  share_ratio)
 from ..functions.time import calendar_columns
-from ..functions.time import floor_div
-from .windows import DEFAULT_BLOCK_SLOTS, halo_apply, ordered, range_mean, scale_of, with_scale
+from .windows import DEFAULT_BLOCK_SLOTS, frame_stats, halo_apply, ordered
 
 # Trailing windows (5-minute steps) and rate-of-change lags of the source.
 WINDOWS = {"30m": 6, "2h": 24, "6h": 72, "24h": 288}
@@ -25,84 +24,13 @@ ROC_LAGS = {"30m": 6, "2h": 24, "6h": 72}
 STATS = ("mean", "std", "min", "max", "range")
 
 
-#: Frames at least this wide use the chunked running form on a complete grid.
-CHUNKED_MIN_WIDTH = 48
-
-
-def _chunked_parts(x: DataFrame, c: str, part: list[str], k: int, tag: str) -> DataFrame:
-    """Running (count, mean, M2, min, max) of ``c`` from the start of each aligned chunk of
-    ``k`` slots up to the row (prefix ``_p``) and from the row to the chunk end (suffix
-    ``_s``): running frames, O(1) per row."""
-    ch = f"_ch{tag}"
-    x = x.withColumn(ch, floor_div(F.col("slot"), k))
-    wp = Window.partitionBy(*part, ch).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    ws = Window.partitionBy(*part, ch).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, 0)
-    cols = {}
-    for side, w in (("p", wp), ("s", ws)):
-        cols[f"_{side}n{tag}"] = F.count(c).over(w)
-        cols[f"_{side}mean{tag}"] = F.avg(c).over(w)
-        cols[f"_{side}m2{tag}"] = F.var_pop(c).over(w) * F.count(c).over(w)
-        cols[f"_{side}min{tag}"] = F.min(c).over(w)
-        cols[f"_{side}max{tag}"] = F.max(c).over(w)
-    return x.withColumns(cols)
-
-
-def _lag_checked(c: Column | str, k: int, w) -> Column:
-    """The value ``k`` slots back on a complete grid: the row ``k`` back; a grid with a missing
-    slot ends the job."""
+def _lag_checked(c: Column | str, k: int, w, value: Column | None = None) -> Column:
+    """The value ``k`` slots back on a complete grid (or ``value``): the row ``k`` back; a grid with a
+    missing slot ends the job."""
     ok = F.lag("slot", k).over(w) == F.col("slot") - F.lit(k)
     gap = F.raise_error(F.lit("complete_grid=True needs one row per slot; use regularise first"))
-    return F.when(F.lag("slot", k).over(w).isNull() | ok, F.lag(c, k).over(w)).otherwise(gap)
-
-
-def _chunked_stats(x: DataFrame, c: str, part: list[str], k: int, tag: str) -> DataFrame:
-    """Window [t - k + 1, t] on a complete grid = suffix of the previous chunk (taken k - 1
-    rows back, or at the partition's first row near its start) + prefix of the current
-    chunk.  The two parts are disjoint, so count / mean / M2 merge exactly (Chan et al.)."""
-    x = _chunked_parts(x, c, part, k, tag)
-    w = Window.partitionBy(*part).orderBy("slot")
-    first_slot = F.first("slot").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    s0 = F.greatest(F.col("slot") - F.lit(k - 1), first_slot)
-    use_prev = floor_div(s0, k) < floor_div(F.col("slot"), k)
-    inside = F.col("slot") - F.lit(k - 1) >= first_slot  # the row k - 1 back exists
-    prev = {}
-    for f in ("n", "mean", "m2", "min", "max"):
-        src = F.col(f"_s{f}{tag}")
-        lagged = _lag_checked(src, k - 1, w)
-        at_first = F.first(src).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        prev[f"_q{f}{tag}"] = F.when(use_prev, F.when(inside, lagged).otherwise(at_first))
-    x = x.withColumns(prev)
-    n1, n2 = F.col(f"_pn{tag}"), F.coalesce(F.col(f"_qn{tag}"), F.lit(0))
-    m1, m2 = F.col(f"_pmean{tag}"), F.col(f"_qmean{tag}")
-    a1, a2 = F.coalesce(F.col(f"_pm2{tag}"), F.lit(0.0)), F.coalesce(F.col(f"_qm2{tag}"), F.lit(0.0))
-    n = n1 + n2
-    delta = F.coalesce(m2, F.lit(0.0)) - F.coalesce(m1, F.lit(0.0))
-    both = (n1 > 0) & (n2 > 0)
-    m2_all = a1 + a2 + F.when(both, delta * delta * n1 * n2 / n).otherwise(F.lit(0.0))
-    x = x.withColumns({
-        f"_std{tag}": F.when(n >= 2, F.sqrt(F.greatest(m2_all, F.lit(0.0)) / (n - 1))),
-        f"_min{tag}": F.least(F.col(f"_pmin{tag}"), F.col(f"_qmin{tag}")),
-        f"_max{tag}": F.greatest(F.col(f"_pmax{tag}"), F.col(f"_qmax{tag}")),
-    })
-    return x.drop(f"_ch{tag}", *[f"_{side}{f}{tag}" for side in "psq" for f in ("n", "mean", "m2", "min", "max")])
-
-
-def _stat_columns(c: str, part: list[str], windows: Mapping[str, int], stats: Sequence[str],
-                  name: str) -> dict[str, Column]:
-    out: dict[str, Column] = {}
-    for win, k in windows.items():
-        w = ordered(part).rangeBetween(-(int(k) - 1), 0)
-        exprs = {
-            # Exact running-sum difference: O(1) per row whatever the width.
-            "mean": lambda: range_mean(c, part, -(int(k) - 1), 0)[0],
-            "std": lambda: F.stddev_samp(c).over(w),
-            "min": lambda: F.min(c).over(w),
-            "max": lambda: F.max(c).over(w),
-            "range": lambda: F.max(c).over(w) - F.min(c).over(w),
-        }
-        for s in stats:
-            out[name.format(col=c, win=win, stat=s)] = exprs[s]()
-    return out
+    value = F.lag(c, k).over(w) if value is None else value
+    return F.when(F.lag("slot", k).over(w).isNull() | ok, value).otherwise(gap)
 
 
 def rolling_stats(df: DataFrame, cols: Sequence[str] = ("value",), *,
@@ -113,10 +41,9 @@ def rolling_stats(df: DataFrame, cols: Sequence[str] = ("value",), *,
     """Trailing mean / sample std / min / max / range over the last k slots including the
     current one (at least one value; std NULL for a single value, range 0.0).
 
-    ``complete_grid=True`` (one row per slot, as ``regularise`` produces) computes frames of
-    at least ``CHUNKED_MIN_WIDTH`` slots from running prefix / suffix aggregates: O(1) per
-    row instead of re-aggregating the whole frame for every row.  The result is the same; a
-    frame with a missing slot ends the job."""
+    Frames of every width come from running aggregates (``frame_stats``): O(1) per row.
+    Missing slots are allowed; ``complete_grid=True`` states that there are none (one row per
+    slot, as ``regularise`` produces), and a gap then ends the job."""
     lb = max(windows.values()) - 1
 
     def fn(x: DataFrame, part: list[str]) -> DataFrame:
@@ -127,24 +54,12 @@ def rolling_stats(df: DataFrame, cols: Sequence[str] = ("value",), *,
 
 def _with_stats(x: DataFrame, cols: Sequence[str], part: list[str], windows: Mapping[str, int],
                 stats: Sequence[str], name: str, complete_grid: bool) -> DataFrame:
-    small = {w: k for w, k in windows.items() if not complete_grid or k < CHUNKED_MIN_WIDTH}
-    wide = {w: k for w, k in windows.items() if w not in small}
-    new: dict[str, Column] = {}
-    x = with_scale(x, cols, part)
-    for c in cols:
-        new.update(_stat_columns(c, part, small, stats, name))
-    x = x.withColumns(new) if new else x
+    if complete_grid:
+        x = x.withColumn("slot", _lag_checked("slot", 1, ordered(part), F.col("slot")))
     for c in cols:
-        for i, (win, k) in enumerate(wide.items()):
-            tag = f"_{i}"
-            x = _chunked_stats(x, c, part, int(k), tag)
-            exprs = {"mean": lambda: range_mean(c, part, -(int(k) - 1), 0)[0],
-                     "std": lambda: F.col(f"_std{tag}"), "min": lambda: F.col(f"_min{tag}"),
-                     "max": lambda: F.col(f"_max{tag}"),
-                     "range": lambda: F.col(f"_max{tag}") - F.col(f"_min{tag}")}
-            x = x.withColumns({name.format(col=c, win=win, stat=st): exprs[st]() for st in stats})
-            x = x.drop(f"_std{tag}", f"_min{tag}", f"_max{tag}")
-    return x.drop(*[scale_of(c) for c in cols])
+        for win, k in windows.items():
+            x = frame_stats(x, c, part, -(int(k) - 1), 0, {st: name.format(col=c, win=win, stat=st) for st in stats})
+    return x
 
 
 def rate_of_change(df: DataFrame, cols: Sequence[str] = ("value",), *,

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import stable_round
 from ..session import ensure_checkpoint_dir
-from .windows import DEFAULT_BLOCK_SLOTS, block_size, carry_prev, halo_apply, range_any, range_mean, scale_of, with_scale
+from .windows import DEFAULT_BLOCK_SLOTS, block_size, carry_prev, frame_stats, halo_apply, range_any
 
 # Label configuration of the source notebooks (5-minute steps).
 BASELINE_STEPS = 2016          # 7 days
@@ -39,8 +39,7 @@ def rolling_baseline(series: DataFrame, value: str = "value", *, entity: Sequenc
     """Trailing mean and count of ``value`` over slots [t - baseline_steps, t - 1] (never
     the current slot), then keep rows with at least ``min_history`` values."""
     def fn(x: DataFrame, part: list[str]) -> DataFrame:
-        mean, n = range_mean(value, part, -baseline_steps, -1)
-        return with_scale(x, [value], part).withColumns({out: mean, count_out: n}).drop(scale_of(value))
+        return frame_stats(x, value, part, -baseline_steps, -1, {"mean": out, "n": count_out})
 
     out_df = halo_apply(series, list(entity), fn, block_slots=block_slots, lookback=baseline_steps)
     if round_digits is not None:

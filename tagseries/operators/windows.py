@@ -11,16 +11,17 @@ whole series into one task.  Every frame used by this library is either
   (time extent / block length) per key - independent of the number of rows
   (``carry_last``, ``carry_prev``).
 
-Frames are ``rangeBetween`` on the integer ``slot``, so a missing row never stretches a
-window.  Sums over a bounded range are differences of two running sums (O(n) instead of
-O(n * width) for a sliding frame); doubles are scaled by a power of two near the largest
-magnitude of their window partition and summed as decimals, so values of any magnitude fit
-and the difference is exact to 27 digits below that magnitude.
+Frames are ranges on the integer ``slot``, so a missing row never stretches a window.
+Counts over a bounded range are differences of two running counts (O(n) instead of
+O(n * width) for a sliding frame).  Means, deviations, minima and maxima never subtract: a
+frame is the end of one aligned chunk plus the start of the next, both running aggregates
+over values of the frame alone (``frame_stats``), so a huge value elsewhere changes nothing
+and the result does not depend on the block length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,9 +31,9 @@ from ..functions.time import floor_div
 BLOCK = "_blk"
 HOME = "_home"
 
-# Fixed value: exact type for running sums of values scaled to below 4 (11 integer, 27 fraction digits).
-SUM_DECIMAL = "decimal(38,27)"
 INF = float("inf")
+#: Sums are also kept at this (exact) scale, for frames whose plain sum is beyond a double.
+SMALL = 2.0 ** -64
 
 #: Default block length: sized from the frame reach of each operator (see ``block_size``).
 DEFAULT_BLOCK_SLOTS = "auto"
@@ -89,50 +90,67 @@ def ordered(part: Sequence[str], slot: str = "slot"):
     return Window.partitionBy(*part).orderBy(slot)
 
 
-def range_sum(c: Column, part: Sequence[str], lo: int, hi: int, slot: str = "slot") -> Column:
-    """Sum of ``c`` over slots [s+lo, s+hi] as a difference of running sums (NULL-free)."""
-    w = ordered(part, slot)
-    upto_hi = F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, hi))
-    upto_lo = F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, lo - 1))
-    return F.coalesce(upto_hi, F.lit(0)) - F.coalesce(upto_lo, F.lit(0))
-
-
-def range_count(c: Column, part: Sequence[str], lo: int, hi: int, slot: str = "slot") -> Column:
-    """Number of non-null ``c`` over slots [s+lo, s+hi]."""
-    w = ordered(part, slot)
-    return (F.count(c).over(w.rangeBetween(Window.unboundedPreceding, hi))
-            - F.count(c).over(w.rangeBetween(Window.unboundedPreceding, lo - 1)))
-
-
-def scale_of(c: str) -> str:
-    return f"_scale_{c}"
-
-
-def with_scale(x: DataFrame, cols: Sequence[str], part: Sequence[str], slot: str = "slot") -> DataFrame:
-    """Adds, per column, the power of two near its largest finite magnitude in the window
-    partition (1 where it has none), in the sort order that the frames use anyway."""
-    w = ordered(part, slot).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    top = {c: F.max(F.when(F.abs(F.col(c)) < INF, F.abs(F.col(c)))).over(w) for c in cols}
-    x = x.withColumns({scale_of(c): m for c, m in top.items()})
-    return x.withColumns({scale_of(c): F.when(F.col(scale_of(c)) > 0, F.pow(F.lit(2.0), F.floor(F.log2(scale_of(c)))))
-                          .otherwise(F.lit(1.0)) for c in cols})
-
-
-def range_mean(c: str, part: Sequence[str], lo: int, hi: int, slot: str = "slot") -> tuple[Column, Column]:
-    """(mean, count) of a double column over [s+lo, s+hi]; mean NULL when count = 0.
-
-    Needs the column of ``with_scale``.  NaN is skipped in sum and count; an infinity in the
-    frame gives that infinity, and both of them NaN, as ``avg`` does."""
-    v, scale = F.col(c), F.col(scale_of(c))
-    n = range_count(F.when(~F.isnan(v), v), part, lo, hi, slot)
-    up = range_count(F.when(v == INF, 1), part, lo, hi, slot)
-    down = range_count(F.when(v == -INF, 1), part, lo, hi, slot)
-    s = range_sum(F.when(F.abs(v) < INF, (v / scale).cast(SUM_DECIMAL)), part, lo, hi, slot)
-    mean = (F.when(n == 0, F.lit(None).cast("double"))
-             .when((up > 0) & (down > 0), F.lit(float("nan")))
-             .when(up > 0, F.lit(INF)).when(down > 0, F.lit(-INF))
-             .otherwise(s.cast("double") / n * scale))
-    return mean, n
+def _running(c: str, part: Sequence[str], chunk: str, moments: bool, slot: str) -> dict[str, Column]:
+    """Running aggregates of ``c`` inside a chunk, up to the row and from the row on."""
+    v = F.col(c)
+    out = {}
+    for side, order in (("up", F.asc(slot)), ("down", F.desc(slot))):
+        w = Window.partitionBy(*part, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        fields = {"slot": F.col(slot), "n": F.count(v).over(w), "sum": F.sum(v).over(w), "small": F.sum(v * SMALL).over(w)}
+        if moments:
+            fields |= {"m2": F.var_pop(v).over(w) * F.count(v).over(w), "min": F.min(v).over(w), "max": F.max(v).over(w)}
+        out[side] = F.struct(*[f.alias(k) for k, f in fields.items()])
+    return out
+
+
+def _mean_of(p: Column) -> Column:
+    """Mean of a partial aggregate: NULL without values; where the plain sum is beyond a double, from
+    the scaled one (which is infinite too if a value is)."""
+    n = p["n"]
+    return F.when(n > 0, F.when(F.abs(p["sum"]) < INF, p["sum"] / n).otherwise(p["small"] / n / SMALL))
+
+
+def frame_stats(x: DataFrame, c: str, part: Sequence[str], lo: int, hi: int, out: Mapping[str, str], *,
+                slot: str = "slot") -> DataFrame:
+    """``x`` with statistics of ``c`` over slots [s+lo, s+hi]: ``out`` names the columns to add, from
+    n, mean, std (sample, NULL below two values), min, max, range.  NaN is no value.
+
+    Chunks are as long as the frame, so it covers the end of one chunk and the start of the
+    next (or one chunk whole).  The end's aggregate is at the first row from s+lo on, the
+    start's at the last row up to s+hi; both are found by slot, so missing rows do no harm.
+    The two parts are disjoint: counts and sums add up, the second moments merge by Chan's rule.
+    Every step is a running aggregate: O(1) per row, whatever the width."""
+    k = hi - lo + 1
+    moments = bool({"std", "min", "max", "range"} & set(out))
+    names = {f: f"_{f}_{c}_{lo}_{hi}" for f in ("v", "chunk", "up", "down", "a", "b")}
+    s, chunk_of = F.col(slot), lambda e: floor_div(e, k)
+    first, last = chunk_of(s + F.lit(lo)), chunk_of(s + F.lit(hi))
+    before = Window.partitionBy(*part).orderBy(F.asc(slot)).rangeBetween(Window.unboundedPreceding, hi)
+    after = Window.partitionBy(*part).orderBy(F.desc(slot)).rangeBetween(Window.unboundedPreceding, -lo)
+    x = x.withColumns({names["v"]: F.nanvl(F.col(c), F.lit(None).cast("double")), names["chunk"]: chunk_of(s)})
+    x = x.withColumns({names[f]: e for f, e in _running(names["v"], part, names["chunk"], moments, slot).items()})
+    end = F.last(names["down"]).over(after)
+    start = F.col(names["up"]) if hi == 0 else F.last(names["up"]).over(before)
+    x = x.withColumns({names["a"]: end, names["b"]: start}).drop(names["up"], names["down"], names["v"], names["chunk"])
+    x = x.withColumns({
+        names["a"]: F.when((first != last) & (chunk_of(F.col(names["a"])["slot"]) == first), F.col(names["a"])),
+        names["b"]: F.when(chunk_of(F.col(names["b"])["slot"]) == last, F.col(names["b"]))})
+    a, b = F.col(names["a"]), F.col(names["b"])
+
+    def both(f: str, zero) -> tuple[Column, Column]:
+        return F.coalesce(a[f], F.lit(zero)), F.coalesce(b[f], F.lit(zero))
+
+    na, nb = both("n", 0)
+    n = na + nb
+    total = F.struct(n.alias("n"), *[sum(both(f, 0.0), F.lit(0.0)).alias(f) for f in ("sum", "small")])
+    made = {"n": n, "mean": _mean_of(total)}
+    if moments:
+        gap = _mean_of(b) - _mean_of(a)
+        m2 = sum(both("m2", 0.0), F.lit(0.0)) + F.when((na > 0) & (nb > 0), gap * gap * na * nb / n).otherwise(F.lit(0.0))
+        made |= {"std": F.when(n >= 2, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - 1))),
+                 "min": F.least(a["min"], b["min"]), "max": F.greatest(a["max"], b["max"])}
+        made["range"] = made["max"] - made["min"]
+    return x.withColumns({name: made[f] for f, name in out.items()}).drop(names["a"], names["b"])
 
 
 def range_any(flag: Column, part: Sequence[str], lo: int, hi: int, slot: str = "slot") -> Column:
