@@ -1,9 +1,11 @@
 """Classifier metrics on a score table ``(by..., label, score)``, all as Spark aggregates.
 
 Curves need running sums over the score order.  A window ordered by score with no
-partition key would put every distinct score into one task, so the scores are cut into
-quantile buckets (``percentile_approx``, deterministic on recomputation): running sums
-inside each bucket, plus the totals of all higher buckets (a ``n_buckets``-row summary).
+partition key would put every distinct score into one task.  Here the order is cut by two digits
+of the score (``order_digits``): counts are summed per digit pair and per first digit, running
+sums are taken at each of the three levels, and a score's sum is that of its level plus
+the totals above it.  Groups are bounded by the digits, not by the data; nothing is sampled,
+fetched or run while the plan is built.
 """
 
 from __future__ import annotations
@@ -14,8 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import stable_round
-
 # The operational threshold grid of the source, 0.1 .. 0.85 in steps of 0.05,
 # generated the way numpy's arange does it (start + k * ((start + step) - start)).
 SWEEP_START, SWEEP_STEP, SWEEP_STOP = 0.1, 0.05, 0.9
@@ -51,40 +51,52 @@ def _rank_among(x: Column, bound, lo: int, hi: int, inclusive: bool = False) ->
         _rank_among(x, bound, mid + 1, hi, inclusive))
 
 
-def cumulative(counts: DataFrame, *, by: Sequence[str] = (), score: str = "score",
-               n_buckets: int = 256) -> DataFrame:
-    """Adds ``tp``/``fp``: positives / negatives with a score >= this one."""
+def order_digits(score: Column) -> tuple[Column, Column]:
+    """Two integers that order as ``score`` does, ties aside: sign, exponent and ten bits of the
+    fraction, then 21 bits more.  At most 2^21 doubles share both; at most 2^21 second digits share
+    a first one.  An infinity has a first digit of its own."""
+    s = score.cast("double")
+    size, sign = F.abs(s), F.signum(s).cast("long")
+    finite = (size > 0) & (size < float("inf"))
+    power = F.when(finite, F.floor(F.log2(size)))
+    part = F.when(finite, size / F.pow(F.lit(2.0), power)) * 1024
+    first = F.when(finite, (power + 1100) * 4096 + F.floor(part) + 1).when(size > 0, F.lit(1 << 40)).otherwise(F.lit(0))
+    second = F.coalesce(F.floor((part - F.floor(part)) * (1 << 21)), F.lit(0))
+    return first.cast("long") * sign, second.cast("long") * sign
+
+
+def cumulative(counts: DataFrame, *, by: Sequence[str] = (), score: str = "score") -> DataFrame:
+    """Adds ``tp``/``fp``: positives / negatives with a score >= this one, and ``n_pos``, those of the group.
+
+    Rows cross the network once, by digit pair; the sums per pair and per first digit are built
+    from the same rows (one shuffle of them is reused)."""
     by = list(by)
-    pct = [i / n_buckets for i in range(1, n_buckets)]
-    if by:
-        bounds = counts.groupBy(*by).agg(F.percentile_approx(score, pct, 10_000).alias("_bounds"))
-        x = counts.join(bounds, on=by, how="left")
-        bucket = _rank_among(F.col(score), lambda i: F.element_at("_bounds", i + 1), 0, len(pct))
-    else:
-        # n_buckets - 1 quantiles: a fixed-size list of scalars, inlined as literals.
-        qs = sorted(set(counts.select(F.percentile_approx(score, pct, 10_000)).first()[0] or []))
-        x = counts
-        bucket = _rank_among(F.col(score), lambda i: F.lit(float(qs[i])), 0, len(qs))
-    x = x.withColumn("_bucket", bucket.cast("int"))
-    if "_bounds" in x.columns:
-        x = x.drop("_bounds")
-    tot = x.groupBy(*by, "_bucket").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    wo = Window.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*by, "_bucket", F.coalesce(F.sum("_bp").over(wo), F.lit(0)).alias("_op"),
-                     F.coalesce(F.sum("_bn").over(wo), F.lit(0)).alias("_on"))
-    wi = Window.partitionBy(*by, "_bucket").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumns({"_cp": F.sum("pos").over(wi), "_cn": F.sum("neg").over(wi)})
-    x = x.join(tot, on=by + ["_bucket"], how="left")
-    return x.select(*by, score, "pos", "neg", (F.col("_cp") + F.col("_op")).alias("tp"),
-                    (F.col("_cn") + F.col("_on")).alias("fp"))
+    d1, d2 = order_digits(F.col(score))
+    x = counts.withColumns({"_d1": d1, "_d2": d2})
+    pairs = x.groupBy(*by, "_d1", "_d2").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    firsts = pairs.groupBy(*by, "_d1").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+
+    def above(part: list[str], order: str, c: str) -> Column:
+        w = Window.partitionBy(*part).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(c).over(w), F.lit(0))
+
+    # One row per first digit: a few thousand per exponent in use, whatever the data.
+    firsts = firsts.select(*by, "_d1", above(by, "_d1", "_p").alias("_p1"), above(by, "_d1", "_n").alias("_n1"),
+                           F.sum("_p").over(Window.partitionBy(*by)).alias("n_pos"))
+    part = by + ["_d1"]
+    pairs = pairs.select(*part, "_d2", above(part, "_d2", "_p").alias("_p2"), above(part, "_d2", "_n").alias("_n2"))
+    pairs = pairs.join(firsts, part)
+    part = part + ["_d2"]
+    w = Window.partitionBy(*part).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({"_p3": F.sum("pos").over(w), "_n3": F.sum("neg").over(w)}).join(pairs, part)
+    return x.select(*by, score, "pos", "neg", F.expr("_p1 + _p2 + _p3").alias("tp"), F.expr("_n1 + _n2 + _n3").alias("fp"), "n_pos")
 
 
 def roc_auc_ap(scores: DataFrame, *, by: Sequence[str] = (), label: str = "label",
-               score: str = "score", n_buckets: int = 256) -> DataFrame:
+               score: str = "score") -> DataFrame:
     """ROC-AUC (ties count half; Mann-Whitney) and average precision (step-wise sum of
     precision x recall increase, not the interpolated area).  NULL without both classes."""
-    c = cumulative(score_counts(scores, by=by, label=label, score=score), by=by, score=score,
-                   n_buckets=n_buckets)
+    c = cumulative(score_counts(scores, by=by, label=label, score=score), by=by, score=score)
     p, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     auc_num = p * n + F.sum(F.col("pos") * (0.5 * F.col("neg") - F.col("fp")))
     ap_num = F.sum(F.col("pos") * F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double")))
@@ -95,19 +107,12 @@ def roc_auc_ap(scores: DataFrame, *, by: Sequence[str] = (), label: str = "label
 
 
 def pr_curve(scores: DataFrame, *, by: Sequence[str] = (), label: str = "label",
-             score: str = "score", n_buckets: int = 256) -> DataFrame:
+             score: str = "score") -> DataFrame:
     """Precision and recall at every distinct score used as threshold (score >= t)."""
-    c = cumulative(score_counts(scores, by=by, label=label, score=score), by=by, score=score,
-                   n_buckets=n_buckets)
-    if by:
-        # Group totals as an aggregate joined back (one row per group), not a window that
-        # would put all of a group's distinct scores into one task.
-        c = c.join(c.groupBy(*by).agg(F.sum("pos").alias("_P")), on=list(by), how="left")
-    else:
-        c = c.withColumn("_P", c.select(F.sum("pos")).scalar())
+    c = cumulative(score_counts(scores, by=by, label=label, score=score), by=by, score=score)
     return c.select(*by, F.col(score).alias("threshold"), "tp", "fp",
                     F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double")).alias("precision"),
-                    (F.col("tp").cast("double") / F.greatest(F.col("_P"), F.lit(1))).alias("recall"))
+                    (F.col("tp").cast("double") / F.greatest(F.col("n_pos"), F.lit(1))).alias("recall"))
 
 
 def confusion(scores: DataFrame, threshold: float = 0.5, *, by: Sequence[str] = (),
@@ -159,9 +164,10 @@ def classification_report(scores: DataFrame, threshold: float = 0.5, *,
 
 
 def threshold_sweep(scores: DataFrame, thresholds: Sequence[float] | None = None, *,
-                    label: str = "label", score: str = "score") -> DataFrame:
+                    label: str = "label", score: str = "score", digits: int | None = 3) -> DataFrame:
     """Recall, precision, false alarms, caught and missed at each different threshold
-    (score >= t), in ascending order; rows without a score do not count.
+    (score >= t), in ascending order; rows without a score do not count.  Recall and precision
+    are rounded to ``digits`` places (None: not at all).
 
     One pass: each score row learns how many thresholds it reaches, rows are counted per
     that number (a handful of groups), and each threshold sums the groups that reach it.
@@ -183,10 +189,11 @@ def threshold_sweep(scores: DataFrame, thresholds: Sequence[float] | None = None
     per_k = per_k.withColumn("_P", total).filter(F.col("k") >= 0)
     tp, fp = F.col("tp"), F.col("fp")
     fn = F.col("_P") - tp
+    shown = lambda c: c if digits is None else F.round(c, digits)
     return per_k.select(
         F.round(F.element_at(arr, F.col("k") + 1), 2).alias("threshold"),
-        stable_round(tp / F.greatest(tp + fn, F.lit(1)), 3).alias("recall"),
-        stable_round(tp / F.greatest(tp + fp, F.lit(1)), 3).alias("precision"),
+        shown(tp / F.greatest(tp + fn, F.lit(1))).alias("recall"),
+        shown(tp / F.greatest(tp + fp, F.lit(1))).alias("precision"),
         fp.alias("false_alarms"), tp.alias("upsets_caught"), fn.alias("upsets_missed"))
 
 
@@ -196,5 +203,5 @@ def score_timeline(scores: DataFrame, threshold: float = 0.5, *, ts: str = "ts",
     return scores.select(ts, score, label, (F.col(score) >= F.lit(threshold)).cast("int").alias("alarm"))
 
 
-__all__ = ["sweep_thresholds", "scored", "score_counts", "cumulative", "roc_auc_ap", "pr_curve", "confusion",
+__all__ = ["sweep_thresholds", "scored", "score_counts", "order_digits", "cumulative", "roc_auc_ap", "pr_curve", "confusion",
            "classification_report", "threshold_sweep", "score_timeline"]

@@ -17,9 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import stable_round
-from ..session import ensure_checkpoint_dir
-from .windows import DEFAULT_BLOCK_SLOTS, block_size, carry_prev, frame_stats, halo_apply, range_any
+from .windows import DEFAULT_BLOCK_SLOTS, frame_stats, halo_apply, range_any, rising_rows
 
 # Label configuration of the source notebooks (5-minute steps).
 BASELINE_STEPS = 2016          # 7 days
@@ -43,7 +41,7 @@ def rolling_baseline(series: DataFrame, value: str = "value", *, entity: Sequenc
 
     out_df = halo_apply(series, list(entity), fn, block_slots=block_slots, lookback=baseline_steps)
     if round_digits is not None:
-        out_df = out_df.withColumn(out, stable_round(out, round_digits))
+        out_df = out_df.withColumn(out, F.round(out, round_digits))
     if min_history is not None:
         out_df = out_df.filter(F.col(count_out) >= min_history)
     return out_df
@@ -84,18 +82,19 @@ def forward_labels(df: DataFrame, source: str = "is_upset", *, entity: Sequence[
                               for name, n in horizons.items()})
 
     out = halo_apply(df, list(entity), fn, block_slots=block_slots, lookahead=reach)
-    return _finish_labels(out, entity, horizons, lead_steps, require_full_horizon, dropna)
+    return _finish_labels(out, df, entity, horizons, lead_steps, require_full_horizon, dropna)
 
 
-def _finish_labels(out: DataFrame, entity: Sequence[str], horizons: Mapping[str, int],
+def _finish_labels(out: DataFrame, rows: DataFrame, entity: Sequence[str], horizons: Mapping[str, int],
                    lead_steps: int, require_full_horizon: bool, dropna: bool) -> DataFrame:
+    """``rows``: the rows that the labels were made for; their last slot ends the horizon."""
     if require_full_horizon:
         ent = list(entity)
         if ent:
-            last = out.groupBy(*ent).agg(F.max("slot").alias("_last"))
+            last = rows.groupBy(*ent).agg(F.max("slot").alias("_last"))
             out = out.join(last, on=ent, how="left")
         else:
-            out = out.withColumn("_last", out.select(F.max("slot")).scalar())
+            out = out.withColumn("_last", rows.select(F.max("slot")).scalar())
         out = out.withColumns({
             name: F.when(F.col("slot") + F.lit(lead_steps + n) <= F.col("_last"), F.col(name))
             for name, n in horizons.items()}).drop("_last")
@@ -134,22 +133,13 @@ def upset_labels(series: DataFrame, value: str = "value", *, entity: Sequence[st
                               for name, n in horizons.items()})
 
     out = halo_apply(b, ent, fn, block_slots=block_slots, lookback=merge_steps, lookahead=reach)
-    return _finish_labels(out, ent, horizons, lead_steps, require_full_horizon, dropna)
+    return _finish_labels(out, b, ent, horizons, lead_steps, require_full_horizon, dropna)
 
 
 def event_starts(labelled: DataFrame, flag: str = "is_upset", *, entity: Sequence[str] = (),
-                 block_slots: int | str | None = DEFAULT_BLOCK_SLOTS,
-                 checkpoint_input: bool = True) -> DataFrame:
-    """Rows where ``flag`` rises: 1 now, and 0 or no row before (lag over rows).
-
-    The blocked form reads its input twice (rows and block summary); with
-    ``checkpoint_input`` and a ``spark.checkpoint.dir`` configured, the needed columns are
-    checkpointed there first so the label chain runs once."""
-    if checkpoint_input and block_size(block_slots) and ensure_checkpoint_dir(labelled.sparkSession):
-        labelled = labelled.checkpoint(eager=True)
-    x = carry_prev(labelled, list(entity), flag, "_prev", block_slots=block_slots)
-    return (x.filter((F.col(flag) == 1) & ((F.col("_prev") == 0) | F.col("_prev").isNull()))
-             .drop("_prev"))
+                 block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+    """Rows where ``flag`` rises: 1 now, and 0, NULL or no row before (lag over rows, however far back)."""
+    return rising_rows(labelled, list(entity), F.col(flag) == 1, block_slots=block_slots)
 
 
 def event_count(labelled: DataFrame, flag: str = "is_upset", *, entity: Sequence[str] = (),
@@ -167,6 +157,5 @@ def label_summary(labelled: DataFrame, labels: Sequence[str] = tuple(HORIZONS),
     aggs = [F.count(F.lit(1)).alias("n_rows"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"),
             F.sum(F.when(F.col(flag) == 1, 1).otherwise(0)).cast("long").alias("n_upset_rows"),
             F.sum(F.when(F.col(flag) == 0, 1).otherwise(0)).cast("long").alias("n_normal_rows")]
-    aggs += [stable_round(F.try_divide(F.sum(l).cast("double"), F.count(F.lit(1)).cast("double")), 6)
-             .alias(f"{l}_rate") for l in labels]
+    aggs += [F.try_divide(F.sum(l).cast("double"), F.count(F.lit(1)).cast("double")).alias(f"{l}_rate") for l in labels]
     return labelled.groupBy(*entity).agg(*aggs)

@@ -122,13 +122,14 @@ def fill_on_grid(resampled: DataFrame, step_s: int = 300, *, tags: Sequence[str]
                  entity: Sequence[str] = (), tag: str = "tag", ts: str = "ts",
                  cols: Sequence[str] = ("value", "quality_frac"), max_gap_steps: int | None = None,
                  block_slots: int | str | None = DEFAULT_BLOCK_SLOTS, gap_flag: str | None = "is_gap_filled",
-                 age: str | None = None, checkpoint_buckets: bool = True) -> DataFrame:
+                 age: str | None = None, checkpoint_buckets: bool = False) -> DataFrame:
     """``regularise`` followed by ``fill_forward`` in one shuffle of the grid.
 
     Grid rows and bucket rows are unioned and partitioned once by (entity, tag, block); the
     window sorts a bucket row right after the grid row of its slot, fills along that
     order, and keeps one row per slot (the bucket row where there is one).  This avoids the
-    separate shuffle of the grid-sized join."""
+    separate shuffle of the grid-sized join.  The buckets are also read for the block summary (their
+    shuffle is reused); ``checkpoint_buckets`` writes them to ``spark.checkpoint.dir`` first, at once."""
     dtype = resampled.schema[ts].dataType
     ent = list(entity)
     keys = ent + [tag]

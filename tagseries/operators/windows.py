@@ -9,7 +9,7 @@ whole series into one task.  Every frame used by this library is either
 * **unbounded** (forward fill, lag over rows): computed inside each block, and the value
   from earlier blocks comes from a per-block summary whose size is
   (time extent / block length) per key - independent of the number of rows
-  (``carry_last``, ``carry_prev``).
+  (``carry_last``), or for edges from one row per block (``rising_rows``).
 
 Frames are ranges on the integer ``slot``, so a missing row never stretches a window.
 Counts over a bounded range are differences of two running counts (O(n) instead of
@@ -206,21 +206,25 @@ def carry_last(df: DataFrame, keys: Sequence[str], cols: Sequence[str], *, slot:
              .drop(BLOCK, *[f"_in_{c}" for c in track], *[f"_carry_{c}" for c in track]))
 
 
-def carry_prev(df: DataFrame, keys: Sequence[str], col: str, out: str, *, slot: str = "slot",
-               block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
-    """``out`` = value of ``col`` on the previous *row* (lag 1 over rows, however far back)."""
+def rising_rows(df: DataFrame, keys: Sequence[str], on: Column, *, slot: str = "slot",
+                block_slots: int | str | None = DEFAULT_BLOCK_SLOTS) -> DataFrame:
+    """Rows where the condition ``on`` holds and did not hold on the row before (NULL counts as false).
+
+    One pass: each block is folded into one row of its rising rows, its first slot and its last state; a
+    look-back of one such row tells whether a block's first row only continues the block before.  So
+    the input is read once, and the window over whole keys sees one row per block."""
     b = block_size(block_slots)
+    names = df.columns
+    x = df.withColumn("_on", F.coalesce(on, F.lit(False)))
     if b is None:
-        return df.withColumn(out, F.lag(col, 1).over(ordered(keys, slot)))
+        before = F.coalesce(F.lag("_on", 1).over(ordered(keys, slot)), F.lit(False))
+        return x.withColumn("_before", before).where(F.col("_on") & ~F.col("_before")).select(*names)
     part = list(keys) + [BLOCK]
-    blocked = df.withColumn(BLOCK, floor_div(F.col(slot), b))
-    x = _spread(blocked, part)
-    summary = blocked.groupBy(*part).agg(F.max_by(col, slot).alias("_sum_last"))  # map-side
-    summary = summary.select(*part, F.lag("_sum_last", 1).over(
-        Window.partitionBy(*keys).orderBy(BLOCK)).alias("_carry_prev"))
-    w = ordered(part, slot)
-    x = x.withColumns({"_lag_slot": F.lag(slot, 1).over(w), "_lag_val": F.lag(col, 1).over(w)})
-    x = x.join(summary, on=part, how="left")
-    return (x.withColumn(out, F.when(F.col("_lag_slot").isNull(), F.col("_carry_prev"))
-                         .otherwise(F.col("_lag_val")))
-             .drop(BLOCK, "_lag_slot", "_lag_val", "_carry_prev"))
+    x = _spread(x.withColumn(BLOCK, floor_div(F.col(slot), b)), part)
+    rises = F.col("_on") & ~F.coalesce(F.lag("_on", 1).over(ordered(part, slot)), F.lit(False))
+    x = x.withColumn("_rises", rises).groupBy(*part).agg(
+        F.collect_list(F.when(F.col("_rises"), F.struct(*names))).alias("_rows"),
+        F.min(slot).alias("_first"), F.max_by("_on", slot).alias("_last"))
+    before = F.coalesce(F.lag("_last", 1).over(Window.partitionBy(*keys).orderBy(BLOCK)), F.lit(False))
+    x = x.withColumn("_before", before).select("_before", "_first", F.explode("_rows").alias("_row"))
+    return x.where(~F.col("_before") | (F.col("_row")[slot] != F.col("_first"))).select("_row.*")

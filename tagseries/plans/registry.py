@@ -82,7 +82,7 @@ def _count(spark, d):
 
 
 def _summary(spark, d):
-    return labelling.summary(spark, d)
+    return rounded(labelling.summary(spark, d))
 
 
 def _rolling_stats(spark, d):
@@ -155,7 +155,7 @@ def _pr(spark, d):
 
 
 def _sweep(spark, d):
-    out = evaluate.threshold_sweep(training.scores(spark, d))
+    out = rounded(evaluate.threshold_sweep(training.scores(spark, d), digits=None), 3)
     return out.withColumns({c: out[c].cast("int") for c in ("false_alarms", "upsets_caught", "upsets_missed")})
 
 

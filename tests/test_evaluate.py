@@ -2,7 +2,9 @@
 
 import random
 
-from tagseries.operators.evaluate import (classification_report, confusion, pr_curve, roc_auc_ap,
+from pyspark.sql import functions as F
+
+from tagseries.operators.evaluate import (classification_report, confusion, order_digits, pr_curve, roc_auc_ap,
                                           sweep_thresholds, threshold_sweep)
 
 
@@ -30,11 +32,37 @@ def table(spark, rows):
 
 def test_auc_ap_with_ties(spark):  # E11
     rnd = random.Random(3)
-    rows = [(rnd.randint(0, 1), round(rnd.random(), 2)) for _ in range(600)]
-    for nb in (4, 256):
-        r = roc_auc_ap(table(spark, rows), n_buckets=nb).collect()[0]
+    inf = float("inf")
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1e-308, 1.7976931348623157e308, -1e308, inf, -inf, 0.5, 0.5 + 2**-53, 1.0 - 2**-53, -2.0]
+    for scale in (lambda: round(rnd.random(), 2), rnd.random, lambda: rnd.gauss(0, 1) * 10.0 ** rnd.randint(-12, 12),
+                  lambda: rnd.choice(odd), lambda: 0.75 + rnd.randint(0, 50) * 2**-53):
+        rows = [(rnd.randint(0, 1), scale()) for _ in range(600)]
+        r = roc_auc_ap(table(spark, rows)).collect()[0]
         assert abs(r["roc_auc"] - brute_auc(rows)) < 1e-12
         assert abs(r["average_precision"] - brute_ap(rows)) < 1e-12
+        curve = pr_curve(table(spark, rows)).collect()
+        assert len(curve) == len({s for _, s in rows})
+        for c in curve:
+            tp = sum(1 for y, s in rows if y == 1 and s >= c["threshold"])
+            assert c["tp"] == tp and c["fp"] == sum(1 for y, s in rows if y == 0 and s >= c["threshold"])
+
+
+def test_digits_order_as_the_score(spark):
+    rnd = random.Random(9)
+    xs = [rnd.uniform(-1, 1) * 2.0 ** rnd.randint(-1070, 1020) for _ in range(3000)] + [0.0, 1e308, -1e308]
+    xs += [2.0 ** k * f for k in range(-40, 40) for f in (1, 1 - 2**-53, 1 + 2**-52, -1)]
+    df = spark.createDataFrame([(x,) for x in xs], "s double")
+    rows = sorted(df.select("s", *[d.alias(n) for d, n in zip(order_digits(F.col("s")), "ab", strict=True)]).collect())
+    assert all((p["a"], p["b"]) <= (q["a"], q["b"]) for p, q in zip(rows, rows[1:], strict=False))
+
+
+def test_no_job_while_the_curve_is_planned(spark):
+    rnd = random.Random(4)
+    df = table(spark, [(rnd.randint(0, 1), rnd.random()) for _ in range(500)])
+    spark.sparkContext.setJobGroup("curve-plan", "curve-plan")
+    curve = pr_curve(df)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("curve-plan")
+    assert curve.count() == 500
 
 
 def test_grouped_auc(spark):
