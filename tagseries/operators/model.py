@@ -1,8 +1,13 @@
-"""Boosted trees on Spark ML: class weight, fit, score, per-iteration loss, importances.
+"""Boosted trees on Spark ML: class weight, fit, score, metrics per round, attributions, importances.
 
-Spark's GBT has no missing-value branch, so NULL and NaN features take the mean of the
-training rows (0 for a feature without any value) and the tree ensemble is fitted with a positive-class weight of neg / max(pos, 1) from the
-training rows.  Trees grow on the executors; the driver only holds the fitted model.
+Missing values take a side that each split learns.  A feature goes in twice where its training rows have
+missing values: once with the missing ones below all others, once above.  A split on the first copy
+sends them left, on the second right, and a split between them and all others tells them apart;
+the fit takes the best of these, like a booster with a default side per split.  A feature without
+missing training values goes in once (missing ones seen later go below).
+
+The positive-class weight is neg / max(pos, 1) of the training rows.  Trees grow on the executors; the
+driver only holds the fitted model.
 """
 
 from __future__ import annotations
@@ -10,16 +15,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .evaluate import roc_auc_ap
+from .order import total_order
 from .slicing import sample_rows
+from .trees import ROWS, Paths, ensemble_of, probability
+
+_X = "_features"
 
 
 @dataclass(frozen=True)
@@ -44,56 +55,82 @@ def with_class_weight(df: DataFrame, label: str, out: str = "_w") -> DataFrame:
     return df.withColumn(out, F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0)))
 
 
-def _imputed(features: Sequence[str]) -> list[str]:
-    return [f"_imp_{i}" for i in range(len(features))]
-
-
-def _impute_sql(data: DataFrame, feats: list[str]) -> str:
-    """The imputation as a model stage; one row of means reaches the driver."""
+def _sides(data: DataFrame, feats: list[str]) -> tuple[str, list[str]]:
+    """The copies of each feature as a model stage, and their names.  One row of ranges reaches the driver."""
     known = [f"nanvl(`{c}`, NULL)" for c in feats]
-    means = data.agg(*[F.expr(f"coalesce(avg({k}), 0.0D)") for k in known]).first()
-    cols = [f"coalesce({k}, {float(m)!r}D) AS {o}" for k, m, o in zip(known, means, _imputed(feats), strict=True)]
-    return f"SELECT *, {', '.join(cols)} FROM __THIS__"
+    aggs = [e for k in known for e in (f"min(CASE WHEN abs({k}) < double('inf') THEN {k} END)",
+                                       f"max(CASE WHEN abs({k}) < double('inf') THEN {k} END)", f"count_if({k} IS NULL)")]
+    found, cols = data.agg(*[F.expr(a) for a in aggs]).first(), []
+    for i, k in enumerate(known):
+        lo, hi, missing = found[3 * i:3 * i + 3]
+        if lo is None:  # no value at all: a constant
+            cols.append((f"_lo_{i}", k, 0.0))
+            continue
+        step = max(hi - lo, abs(lo), abs(hi), 1.0)
+        cols.append((f"_lo_{i}", k, lo - step))
+        if missing:
+            cols.append((f"_hi_{i}", k, hi + step))
+    made = [f"coalesce({k}, double('{v!r}')) AS {name}" for name, k, v in cols]
+    return f"SELECT *, {', '.join(made)} FROM __THIS__", [name for name, *_ in cols]
 
 
 def fit_gbt(train: DataFrame, features: Sequence[str], label: str,
             params: GBTParams = GBTParams()) -> PipelineModel:
-    """Mean imputation -> VectorAssembler -> weighted GBTClassifier."""
+    """Both sides of missing values -> VectorAssembler -> weighted GBTClassifier."""
     ensure_checkpoint_dir(train.sparkSession)
     feats = list(features)
     data = with_class_weight(train.select(*feats, F.col(label).cast("int").alias(label)), label)
     data = data.select(*[F.col(c).cast("double").alias(c) for c in feats], label, "_w")
     has_ckpt = bool(train.sparkSession.sparkContext.getCheckpointDir())
-    gbt = GBTClassifier(featuresCol="_features", labelCol=label, weightCol="_w",
+    gbt = GBTClassifier(featuresCol=_X, labelCol=label, weightCol="_w",
                         maxIter=params.max_iter, maxDepth=params.max_depth, stepSize=params.step_size,
                         subsamplingRate=params.subsampling_rate,
                         featureSubsetStrategy=params.feature_subset, seed=params.seed,
                         minInstancesPerNode=params.min_instances_per_node,
                         cacheNodeIds=has_ckpt,
                         checkpointInterval=params.checkpoint_interval if has_ckpt else -1)
-    pipe = Pipeline(stages=[
-        SQLTransformer(statement=_impute_sql(data, feats)),
-        VectorAssembler(inputCols=_imputed(feats), outputCol="_features", handleInvalid="keep"),
-        gbt,
-    ])
+    sql, names = _sides(data, feats)
+    pipe = Pipeline(stages=[SQLTransformer(statement=sql),
+                            VectorAssembler(inputCols=names, outputCol=_X, handleInvalid="keep"), gbt])
     return pipe.fit(data)
 
 
+def owners(model: PipelineModel) -> np.ndarray:
+    """The number of the feature that each assembled column is a copy of."""
+    return np.array([int(c.rsplit("_", 1)[1]) for c in model.stages[1].getInputCols()])
+
+
+def _inputs(df: DataFrame, features: Sequence[str], label: str | None, keep: Sequence[str] = ()) -> DataFrame:
+    labels = [F.col(label).cast("int").alias("label")] if label else []
+    return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in features], *labels)
+
+
+def _assembled(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str | None,
+               keep: Sequence[str] = ()) -> DataFrame:
+    """``keep..., label, _features`` with the assembled features as an array."""
+    x = _inputs(df, features, label, keep)
+    for stage in model.stages[:-1]:
+        x = stage.transform(x)
+    return x.select(*keep, *(["label"] if label else []), vector_to_array(_X).alias(_X))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """An Arrow column of equally long lists as (rows, columns)."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str,
           keep: Sequence[str] = ("ts",)) -> DataFrame:
     """``keep..., label, score`` with score = P(class 1)."""
-    x = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in features],
-                  F.col(label).cast("int").alias("label"))
-    out = model.transform(x)
+    out = model.transform(_inputs(df, features, label, keep))
     return out.select(*keep, "label", vector_to_array("probability")[1].alias("score"))
 
 
 def feature_importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:
-    """Split-gain importances of the fitted ensemble as ``(feature, importance)``."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
+    """Split-gain importances of the fitted ensemble as ``(feature, importance)``; a feature's copies add up."""
+    gain = np.bincount(owners(model), model.stages[-1].featureImportances.toArray(), len(features))
     spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(list(zip(list(features), [float(v) for v in imp])),
-                                 "feature string, importance double")
+    return spark.createDataFrame(list(zip(list(features), gain.tolist(), strict=True)), "feature string, importance double")
 
 
 def iteration_loss(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -102,51 +139,117 @@ def iteration_loss(model: PipelineModel, df: DataFrame, features: Sequence[str],
     for st in model.stages[:-1]:
         x = st.transform(x)
     # Unweighted loss on the evaluation rows (the fit's weight column must exist).
-    losses = model.stages[-1].evaluateEachIteration(x.select("_features", label, F.lit(1.0).alias("_w")))
+    losses = model.stages[-1].evaluateEachIteration(x.select(_X, label, F.lit(1.0).alias("_w")))
     spark = df.sparkSession
     return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(losses)], "iteration int, loss double")
 
 
+def iteration_metrics(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """ROC-AUC and average precision on ``df`` after each boosting round: (iteration, roc_auc,
+    average_precision).  One pass scores a row by every prefix of the trees; the metrics are grouped by round."""
+    trees = df.sparkSession.sparkContext.broadcast(ensemble_of(model.stages[-1], df.sparkSession))
+    x = _assembled(model, df, features, label).where("label IS NOT NULL")
+
+    def run(batches):
+        e = trees.value
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                margin = e.leaves(_matrix(part.column(1))).cumsum(1)
+                rounds = np.tile(np.arange(1, e.size + 1, dtype=np.int32), len(margin))
+                labels = np.repeat(part.column(0).to_numpy(), e.size)
+                yield pa.RecordBatch.from_arrays([pa.array(rounds), pa.array(labels), pa.array(probability(margin).ravel())],
+                                                 ["iteration", "label", "score"])
+
+    rows = x.mapInArrow(run, "iteration int, label int, score double")
+    return roc_auc_ap(rows, by=["iteration"]).select("iteration", "roc_auc", "average_precision")
+
+
+def attributions(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str] = ("ts",)) -> DataFrame:
+    """``keep..., base, attributions``: what each feature adds to a row's log-odds, in the order of ``features``,
+    over the ensemble's mean ``base``; they add up to the row's log-odds exactly."""
+    spark = df.sparkSession
+    trees = spark.sparkContext.broadcast((ensemble_of(model.stages[-1], spark), owners(model), len(features)))
+    x = _assembled(model, df, features, None, keep)
+
+    def run(batches):
+        e, owner, n = trees.value
+        paths = Paths(e, owner, n)
+        for b in batches:
+            got = 2.0 * paths.attributions(_matrix(b.column(b.num_columns - 1)))
+            ends = pa.array(np.arange(0, got.size + 1, n, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(np.full(len(got), 2.0 * paths.base)), pa.ListArray.from_arrays(ends, pa.array(got.ravel()))],
+                [*keep, "base", "attributions"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[:-1])
+    return x.mapInArrow(run, f"{kept + ', ' if kept else ''}base double, attributions array<double>")
+
+
+def mean_attribution(model: PipelineModel, df: DataFrame, features: Sequence[str], *, top: int | None = 25) -> DataFrame:
+    """Mean absolute attribution per feature over all rows of ``df``, largest first: (feature, mean_attribution)."""
+    names = F.array(*[F.lit(f) for f in features])
+    x = attributions(model, df, features, ()).select(F.posexplode("attributions").alias("i", "a"))
+    out = x.groupBy("i").agg(F.avg(F.abs("a")).alias("mean_attribution"))
+    out = out.select(F.element_at(names, F.col("i") + 1).alias("feature"), "mean_attribution")
+    out = out.orderBy(F.desc("mean_attribution"), "feature")
+    return out.limit(top) if top else out
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, *,
-                           n: int = 2000, seed: int = 42, key: Sequence[str] = ("ts",),
+                           n: int | None = None, seed: int = 42, key: Sequence[str] = ("ts",),
                            top: int | None = 25) -> DataFrame:
-    """Drop in ROC-AUC when one feature's values are permuted, for every feature, on a
-    deterministic sample of ``n`` rows, as one Spark job.
-
-    The sample gets a row index; for feature j, row r takes feature j from the row whose
-    index has rank r in the order of xxhash64(j, index, seed): a different random
-    permutation per feature.  All ``features x n`` permuted rows are scored by the same
-    fitted trees, and the AUC per feature is one grouped metric."""
-    feats = list(features)
-    samp = sample_rows(df.select(*key, *feats, label), n, key=key, seed=seed)
-    imp_model = model.stages[0]
-    asm = model.stages[1]
-    trees = model.stages[-1]
-    x = imp_model.transform(samp.select(*key, *[F.col(c).cast("double").alias(c) for c in feats],
-                                        F.col(label).cast("int").alias("label")))
-    imp_cols = _imputed(feats)
-    # Bounded (n rows): a row index in key order.
-    x = x.withColumn("_r", F.row_number().over(Window.orderBy(*key)) - 1)
-    x = x.select("_r", "label", F.array(*[F.col(c) for c in imp_cols]).alias("_v"))
-    fidx = F.explode(F.sequence(F.lit(-1), F.lit(len(feats) - 1))).alias("_j")
-    copies = x.select("_r", "label", "_v", fidx)           # _j = -1: unpermuted baseline
-    perm = copies.withColumn("_pr", F.row_number().over(
-        Window.partitionBy("_j").orderBy(F.xxhash64("_j", "_r", F.lit(seed)))) - 1)
-    donor = copies.select("_j", F.col("_r").alias("_pr"),
-                          F.element_at("_v", F.greatest(F.col("_j"), F.lit(0)) + 1).alias("_dv"))
-    y = perm.join(donor, on=["_j", "_pr"], how="inner")
-    newv = F.transform("_v", lambda v, i: F.when((i == F.col("_j")), F.col("_dv")).otherwise(v))
-    y = y.select("_j", "label", array_to_vector(newv).alias(asm.getOutputCol()))
-    scored = trees.transform(y).select("_j", "label", vector_to_array("probability")[1].alias("score"))
-    auc = roc_auc_ap(scored, by=["_j"]).select("_j", "roc_auc")
-    base = auc.filter(F.col("_j") == -1).select("roc_auc").scalar()
+    """Drop in ROC-AUC when one feature's values are permuted, for every feature, over all rows (or a
+    deterministic sample of ``n``): (feature, permuted_auc, importance).
+
+    Rows are put in a random order (a hash of ``key`` and ``seed``) by their global position; each takes the
+    values of the next one, the last those of the first, one feature at a time.  A task re-scores only the
+    trees that use the feature.  The AUCs are one grouped metric over rows x features scores."""
+    spark, feats = df.sparkSession, list(features)
+    rows = df.select(*key, *feats, label).where(F.col(label).isNotNull())
+    rows = sample_rows(rows, n, key=key, seed=seed) if n else rows
+    x = _assembled(model, rows, feats, label, list(key))
+    x = x.select("label", _X, F.xxhash64(*key, F.lit(seed)).alias("_place"))
+    placed = total_order(x, ["_place"]).drop("_place")
+    size = x.select(F.count(F.lit(1))).scalar()
+    donors = placed.select((F.pmod(F.col("position"), size) + 1).alias("position"), F.col(_X).alias("_donor"))
+    pairs = placed.join(donors, "position").select("label", _X, "_donor")
+    trees = spark.sparkContext.broadcast((ensemble_of(model.stages[-1], spark), owners(model), len(feats)))
+
+    def run(batches):
+        e, owner, n_feats = trees.value
+        columns = [np.flatnonzero(owner == j) for j in range(n_feats)]
+        users = [e.users(c) for c in columns]
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                own, donor = _matrix(part.column(1)), _matrix(part.column(2))
+                leaf = e.leaves(own)
+                margin = leaf.sum(1)
+                made = [margin]
+                for c, t in zip(columns, users, strict=True):
+                    if not len(t):
+                        made.append(margin)
+                        continue
+                    other = own.copy()
+                    other[:, c] = donor[:, c]
+                    changed = leaf.copy()  # summed anew: rows with equal leaves keep equal scores
+                    changed[:, t] = e.leaves(other, t)
+                    made.append(changed.sum(1))
+                scores = probability(np.concatenate(made))
+                which = np.repeat(np.arange(-1, n_feats, dtype=np.int32), len(own))
+                labels = np.tile(part.column(0).to_numpy(), n_feats + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(labels), pa.array(scores)], ["_j", "label", "score"])
+
+    auc = roc_auc_ap(pairs.mapInArrow(run, "_j int, label int, score double"), by=["_j"])
+    # One row per feature: the unpermuted AUC (feature -1) is put beside each.
+    auc = auc.agg(F.max(F.when(F.col("_j") < 0, F.col("roc_auc"))).alias("_base"), F.collect_list(F.struct("_j", "roc_auc")).alias("_all"))
     names = F.element_at(F.array(*[F.lit(f) for f in feats]), F.col("_j") + 1)
-    out = (auc.filter(F.col("_j") >= 0)
-              .select(names.alias("feature"), F.col("roc_auc").alias("permuted_auc"),
-                      (base - F.col("roc_auc")).alias("importance")))
+    out = auc.select("_base", F.inline("_all")).where("_j >= 0").select(names.alias("feature"), F.col("roc_auc").alias("permuted_auc"),
+                     (F.col("_base") - F.col("roc_auc")).alias("importance"))
     out = out.orderBy(F.desc("importance"), "feature")
     return out.limit(top) if top else out
 
 
 __all__ = ["GBTParams", "with_class_weight", "fit_gbt", "score", "feature_importances", "iteration_loss",
-           "permutation_importance"]
+           "iteration_metrics", "attributions", "mean_attribution", "permutation_importance"]

@@ -412,6 +412,9 @@ SELECT round(t, 2) AS threshold,
 FROM sw""")
     q["score_timeline"] = with_(SCORES, """
 SELECT ts, score, label, CAST(score >= 0.5 AS INTEGER) AS alarm FROM sc""")
+    q["total_order"] = with_(READINGS, """
+  SELECT ts, tag, value, status,
+         row_number() OVER (ORDER BY ts NULLS FIRST, tag NULLS FIRST, value NULLS FIRST, status NULLS FIRST) AS position FROM r""")
     q["sample_rows"] = with_(SCORES, """
 SELECT * FROM sc ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id LIMIT 2000""")
     return q

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, evaluate, slicing
 from ..operators.features import baseline_deviation, calendar_features
 from ..operators.model import feature_importances
+from ..operators.order import total_order
 from . import config as C
 from . import ingest, labelling, matrix, training
 from .present import rounded
@@ -184,6 +185,19 @@ def _gbt_losses(spark, d):
     return training.losses(spark, d)
 
 
+def _gbt_rounds(spark, d):
+    return training.round_metrics(spark, d)
+
+
+def _gbt_attribution(spark, d):
+    return training.attribution(spark, d)
+
+
+def _total_order(spark, d):
+    r = ingest.readings(spark, d).drop("good_quality")
+    return total_order(r, ["ts", "tag", "value", "status"])
+
+
 QUERIES: dict[str, Query] = {
     "readings_union": _readings_union,
     "resample_5min": _resample,
@@ -225,4 +239,7 @@ QUERIES: dict[str, Query] = {
     "gbt_importances": _gbt_importances,
     "permutation_importance": _perm_importance,
     "gbt_iteration_loss": _gbt_losses,
+    "gbt_iteration_metrics": _gbt_rounds,
+    "gbt_attribution": _gbt_attribution,
+    "total_order": _total_order,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 from dataclasses import astuple
 
 from pyspark.ml import PipelineModel
@@ -12,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import feature_columns
-from ..operators.model import GBTParams, fit_gbt, iteration_loss, permutation_importance, score
+from ..operators.model import (GBTParams, fit_gbt, iteration_loss, iteration_metrics, mean_attribution,
+                               permutation_importance, score)
 from ..operators.slicing import class_balance, time_split
-from ..session import ensure_checkpoint_dir, shared_folder
+from ..session import shared_folder
 from ..sources.fixtures import events_scores
+from ..sources.sinks import write_table
 from . import config as C
 from . import matrix
 
@@ -32,49 +35,52 @@ def split_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.unionByName(te)
 
 
-def materialised_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature matrix with its lineage cut (a reliable checkpoint in the shared
-    ``spark.checkpoint.dir``): the fit makes several passes and must not re-run the
-    window chain each time, nor after a lost executor."""
-    fm = matrix.feature_matrix(spark, sf_dir)
-    if ensure_checkpoint_dir(spark):
-        return fm.checkpoint(eager=True)
-    return fm
+def _shared_path(spark: SparkSession, kind: str, *parts) -> str:
+    """A place in the shared folder named by what its contents are made from."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark)
+    return f"{base.rstrip('/')}/{kind}-{hashlib.sha256(repr(parts).encode()).hexdigest()[:32]}"
+
+
+def _once(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
+    """``path``, written unless it exists: beside it first and then renamed, so that no reader meets half of it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place(path)):
+        part = f"{path}-{uuid.uuid4().hex}"
+        write(part)
+        fs.rename(place(part), place(path))
+    return path
 
 
-_SPLIT: dict = {}
+def materialised_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature matrix, written to the shared folder: the fit makes several passes and must not
+    re-run the window chain each time, nor after a lost executor.  Its name follows the files that it is
+    made from (place, size, time), so changed data make a new one."""
+    fm = matrix.feature_matrix(spark, sf_dir)
+    files = spark.read.parquet(f"{sf_dir}/events.parquet").select("_metadata.*").select(
+        "file_path", "file_size", "file_modification_time").distinct().orderBy("file_path").collect()
+    path = _shared_path(spark, "matrix", [tuple(map(str, f)) for f in files], fm.columns)
+    return spark.read.schema(fm.schema).parquet(_once(spark, path, lambda p: write_table(fm, p)))
 
 
 def _rows_of(spark: SparkSession, sf_dir: str):
-    """(features, train rows, test rows); one matrix per session and data folder."""
-    key = (id(spark), sf_dir)
-    if key not in _SPLIT:
-        fm = materialised_matrix(spark, sf_dir)
-        _SPLIT[key] = (model_features(fm), *time_split(fm, C.TRAIN_END, C.TEST_START))
-    return _SPLIT[key]
+    """(features, train rows, test rows)."""
+    fm = materialised_matrix(spark, sf_dir)
+    return model_features(fm), *time_split(fm, C.TRAIN_END, C.TEST_START)
 
 
 def model_path(train: DataFrame, feats: list[str], params: GBTParams) -> str:
     """Place of the fitted model in the shared folder, named by the rows, features and settings of the fit."""
     spark = train.sparkSession
     rows = train.agg(F.count("*"), F.sum(F.xxhash64(*feats, C.TARGET).cast("decimal(38,0)"))).first()
-    name = hashlib.sha256(repr((tuple(rows), feats, C.TARGET, astuple(params))).encode()).hexdigest()
-    base = spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark)
-    return f"{base.rstrip('/')}/gbt-{name[:32]}"
+    return _shared_path(spark, "gbt", tuple(rows), feats, C.TARGET, astuple(params))
 
 
 def fitted(spark: SparkSession, sf_dir: str, params: GBTParams = GBTParams()):
     """(model, features, test rows).  The model is fitted and written to the shared folder once; every
     query, of this session or another one, loads it from there."""
     feats, train, test = _rows_of(spark, sf_dir)
-    path = model_path(train, feats, params)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path
-    fs = jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jpath(path)):
-        # written beside and renamed, so that no reader meets half a model
-        part = f"{path}-{uuid.uuid4().hex}"
-        fit_gbt(train, feats, C.TARGET, params).write().save(part)
-        fs.rename(jpath(part), jpath(path))
+    path = _once(spark, model_path(train, feats, params), lambda p: fit_gbt(train, feats, C.TARGET, params).write().save(p))
     return PipelineModel.load(path), feats, test
 
 
@@ -90,7 +96,17 @@ def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, feats, test = fitted(spark, sf_dir)
-    return permutation_importance(model, test, feats, C.TARGET, n=2000, top=25)
+    return permutation_importance(model, test, feats, C.TARGET, top=25)
+
+
+def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, feats, test = fitted(spark, sf_dir)
+    return mean_attribution(model, test, feats, top=25)
+
+
+def round_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, feats, test = fitted(spark, sf_dir)
+    return iteration_metrics(model, test, feats, C.TARGET)
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
