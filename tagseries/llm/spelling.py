@@ -40,9 +40,9 @@ MIN_CHARS, MIN_COUNT, RATIO = 6, 5, 5
 DELETE_EVERY = 199
 #: The cuts are fitted on about this many words; cells hold about ``CELL`` words while the sample gives that
 #: many cells, and grow beyond (12,000 words at 100 million).
-SAMPLE, CELL, LEAF = 1 << 16, 2048, 24
-#: Distinct words that a counting task holds before it sends them on; letters compared at once.
-HELD, AT_ONCE = 1 << 18, 1 << 21
+SAMPLE, CELL, LEAF = 1 << 16, 2048, 64
+#: Distinct words that a counting task holds before it sends them on; pairs compared at once.
+HELD, AT_ONCE = 1 << 18, 1 << 20
 DIMS = 26 + 64
 
 
@@ -164,16 +164,30 @@ def is_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return front + back >= a.shape[1]
 
 
+def hash_rows(codes: np.ndarray) -> np.ndarray:
+    """A number per row; equal rows have equal numbers."""
+    out = np.zeros(len(codes), np.uint64)
+    for j in range(codes.shape[1]):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[:, j] + np.uint64(1)
+    return out
+
+
 def near_pairs(home: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (query, home) of all near pairs of two code tables, by a local tree over ``home``."""
-    half = home.shape[1] // 2
+    """Indices (query, home) of all near pairs of two code tables, by a local tree over ``home``.
+
+    One edit leaves the letters before the middle of the query, or those after it, as they are: pairs in
+    a leaf that agree on neither are left out before the letters are compared one by one."""
+    half, mid = home.shape[1] // 2, query.shape[1] // 2
     hv, qv = vectors_of(home, half), vectors_of(query, half)
+    heads = [hash_rows(x[:, :mid]) for x in (query, home)]
+    tails = [hash_rows(x[:, x.shape[1] - query.shape[1] + mid:]) for x in (query, home)]
     tree, found = grow(hv, np.arange(len(home)), LEAF), []
     for leaf, rows in visit(tree, qv, np.arange(len(query)), *allowance(len(query), home.shape[1] > query.shape[1])):
-        step, pairs = max(1, AT_ONCE // home.shape[1]), len(rows) * len(leaf)
-        for i in range(0, pairs, step):
-            at = np.arange(i, min(i + step, pairs))
-            q, h = rows[at // len(leaf)], leaf[at % len(leaf)]
+        step = max(1, AT_ONCE // len(leaf))
+        for i in range(0, len(rows), step):
+            r = rows[i:i + step]
+            q, h = np.nonzero((heads[0][r][:, None] == heads[1][leaf]) | (tails[0][r][:, None] == tails[1][leaf]))
+            q, h = r[q], leaf[h]
             ok = is_near(query[q], home[h])
             found.append((q[ok], h[ok]))
     if not found:
