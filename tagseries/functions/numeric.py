@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: epsilon added to feature denominators.
@@ -59,9 +59,3 @@ def stable_round(c: Column | str, digits: int = 6) -> Column:
     """round(x + 1e-8, d): moves exact binary ties off the rounding boundary so two engines
     that sum in different orders agree (see SURVEY §5.2)."""
     return F.round(_c(c) + F.lit(1e-8), digits)
-
-
-def present(df: DataFrame, cols: list[str]) -> list[str]:
-    """Keep only the columns that exist in ``df`` (input order kept)."""
-    have = set(df.columns)
-    return [c for c in cols if c in have]

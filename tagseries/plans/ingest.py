@@ -12,7 +12,7 @@ from ..operators.windows import DEFAULT_BLOCK_SLOTS
 from ..sources.fixtures import events_readings
 from ..session import shared_folder
 from ..sources.readers import read_table, read_tags
-from ..sources.sinks import table_extent, with_year, write_table
+from ..sources.sinks import create_namespace, overwrite_partitions, table_extent, with_year, write_table
 from . import config as C
 
 
@@ -45,6 +45,25 @@ def stored_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_extent(read_table(spark, path, ["ts", "year"]), by=["year"])
 
 
+def sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets stored in a namespace of its own and read back: a table of two years, of which one is then
+    replaced, and a plain table, which is replaced whole.  Rows, extent and sums by table and year."""
+    name = f"plant_{uuid.uuid4().hex}"
+    create_namespace(spark, name)
+    b = buckets(spark, sf_dir).select("tag", "ts", "value")
+    earlier = b.withColumn("ts", F.timestamp_add("DAY", F.lit(-366), F.col("ts")))
+    write_table(with_year(earlier.unionByName(b)), f"{name}.by_year", partition_by=["year"])
+    overwrite_partitions(with_year(b.where(F.col("tag").isin(C.TAGS[:2])).withColumn("value", F.col("value") * 2)),
+                         f"{name}.by_year", ["year"])
+    write_table(b, f"{name}.plain")
+    write_table(b.where(F.col("tag") == C.LABEL_TAG), f"{name}.plain")
+    by_year = read_table(spark, f"{name}.by_year", ["ts", "value", "year"])
+    plain = with_year(read_table(spark, f"{name}.plain", ["ts", "value"]))
+    both = by_year.withColumn("kind", F.lit("by_year")).unionByName(plain.withColumn("kind", F.lit("plain")))
+    return both.groupBy("kind", "year").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("earliest"),
+                                            F.max("ts").alias("latest"), F.sum("value").alias("total"))
+
+
 def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(events_readings(spark, sf_dir), C.STEP_S)
 

@@ -107,6 +107,14 @@ SELECT tag, slot, make_timestamp(slot * {STEP_US}) AS ts, {r6('value')} AS value
     q["stored_by_year"] = with_(wide_cte(), """
 SELECT CAST(year(ts) AS INTEGER) AS year, count(*) AS rows, min(ts) AS earliest, max(ts) AS latest
 FROM wd GROUP BY 1""")
+    q["sink_round_trip"] = with_(BUCKETS + f""",
+t AS (SELECT tag, make_timestamp(slot * {STEP_US}) AS ts, value FROM b),
+s AS (
+  SELECT 'by_year' AS kind, ts - INTERVAL 366 DAY AS ts, value FROM t
+  UNION ALL SELECT 'by_year', ts, value * 2 FROM t WHERE tag IN ('{C.TAGS[0]}', '{C.TAGS[1]}')
+  UNION ALL SELECT 'plain', ts, value FROM t WHERE tag = '{C.LABEL_TAG}')""", f"""
+  SELECT kind, CAST(year(ts) AS INTEGER) AS year, count(*) AS rows, min(ts) AS earliest, max(ts) AS latest,
+         {r6("sum(value)", 4)} AS total FROM s GROUP BY 1, 2""")
     q["grid_left_join"] = with_(GRID, f"""
 SELECT tag, slot, ts, {r6('value')} AS value, {r6('quality_frac')} AS quality_frac, n_raw FROM g""")
     q["forward_fill"] = with_(FILLED, f"""

@@ -34,6 +34,10 @@ def _stored(spark, d):
     return ingest.stored_extent(spark, d)
 
 
+def _sinks(spark, d):
+    return rounded(ingest.sink_round_trip(spark, d), 4)
+
+
 def _grid(spark, d):
     return rounded(ingest.grid(spark, d))
 
@@ -203,6 +207,7 @@ QUERIES: dict[str, Query] = {
     "resample_5min": _resample,
     "catalogue_resample": _catalogue,
     "stored_by_year": _stored,
+    "sink_round_trip": _sinks,
     "grid_left_join": _grid,
     "forward_fill": _fill,
     "forward_fill_capped": _fill_capped,

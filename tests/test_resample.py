@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tagseries.operators.resample import fill_forward, regularise, resample, to_wide
@@ -149,3 +151,21 @@ def test_fused_grid_fill_entities(spark):
     two = fill_forward(regularise(b, tags=tags, entity=["plant"], block_slots=40), entity=["plant"], block_slots=40)
     one = fill_on_grid(b, tags=tags, entity=["plant"], block_slots=40)
     assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+
+
+def test_catalogue_is_one_scan(spark, tmp_path):
+    d = tmp_path / "plant data"
+    at0 = at(1).replace(tzinfo=dt.timezone.utc)
+    paths = {"a": "x/a b", "a2": "x/a b2", "deep": "x/y/z/deep", "part": "tag=p%25 1", "outer": "o", "inner": "o2/i"}
+    for i, (tag, p) in enumerate(paths.items()):
+        spark.createDataFrame([(at0, float(i), 192)] * (i + 1), READING_SCHEMA).repartition(2).write.parquet(str(d / p))
+    long, failed = read_tags(spark, {**paths, "gone": "x/none"}, root=str(d))
+    assert failed == ["gone"]
+    got = {r["tag"]: (r["n"], r["v"]) for r in long.groupBy("tag").agg(F.count("*").alias("n"), F.max("value").alias("v")).collect()}
+    assert got == {t: (i + 1, float(i)) for i, t in enumerate(paths)}
+    assert long._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    with pytest.raises(FileNotFoundError):
+        read_tags(spark, {"gone": "x/none"}, root=str(d), on_missing="raise")
+    with pytest.raises(ValueError, match="same path"):
+        read_tags(spark, {"a": "x/a b", "b": "x/a b"}, root=str(d))
+    assert read_tags(spark, {"gone": "x/none"}, root=str(d)) == (None, ["gone"])
