@@ -12,8 +12,10 @@ counts come back to the documents in two exact parts.  Pairs with more than one
 links (fewer than ``HOT_SHARE`` pairs, 24 MB at most, whatever the corpus) go to every task; the rest, none of them
 frequent, by a shuffle join.  The highest count of each B id is a table of one row per id of the vocabulary.
 
-Whole texts are encoded.  Where the file of A allows it (``merges_by_rank``, checked on the driver), A's merges
-run by rank, which is faster and gives the same ids; otherwise the file's own tokenizer runs.
+Whole texts are encoded, in stretches: a space after a character that is not white space starts a new one
+for both tokenizers (checked for the pieces of B), so the ids of a text are those of its stretches, which
+are encoded once and looked up (``Stretches``).  Where the file of A allows it (``merges_by_rank``, checked on the
+driver), A's merges run by rank, which is faster and gives the same ids; otherwise the file's own tokenizer runs.
 
 Edge cases: null and empty texts, and texts whose joined token bytes are not a space and the text (such as
 those with U+2581), have no tokens, zeros and an empty groups column; rows that repeat count again; an
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,6 +39,10 @@ from tagseries.llm.common import add_columns, batch_bytes, stage
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 STEP = 1 << 16
+#: Stretches that a task remembers; bytes of text that it aligns at once (a longer text is taken alone).
+HELD, AT_ONCE = 1 << 18, 1 << 20
+#: Where a stretch ends: a space after a character that is not white space.
+STRETCH = r"(?<=\S) "
 HOT_SHARE = 1 << 20
 #: An id pair as one number: A's id times ``PAIR`` plus B's.
 PAIR = 1 << 20
@@ -105,10 +112,72 @@ def load_b(path: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
 
     sp = SentencePieceProcessor(model_file=path)
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+    if any(re.search("[^\u2581]\u2581", p) for p in pieces):
+        raise ValueError("a piece holds a space after other characters, so stretches are not independent")
     table = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
     return sp.encode, table
 
 
+class Stretches:
+    """Ids of stretches of text in both vocabularies, remembered by number.
+
+    New ones are joined by spaces and encoded as one text, which is cut at their ends.  Those that end in
+    white space, which would run into the next, or hold U+2581 are encoded one by one; a stretch whose
+    token bytes are not its own is marked."""
+
+    def __init__(self, sides: list[tuple]):
+        self.sides = [(encode, table, np.array([len(t) for t in table], np.int64)) for encode, table in sides]
+        self.clear()
+
+    def clear(self) -> None:
+        self.held, self.bad = {}, np.zeros(0, bool)
+        self.ids = [np.zeros(0, np.int64) for _ in self.sides]
+        self.start = [np.zeros(1, np.int64) for _ in self.sides]
+
+    def numbers(self, stretches: list[str]) -> np.ndarray:
+        if len(self.held) > HELD:
+            self.clear()
+        new = list(set(stretches).difference(self.held))
+        if new:
+            joined = [s for s in new if s and not s[-1].isspace() and "\u2581" not in s]
+            if not self._add(joined):
+                for s in joined:
+                    self._add([s], force=True)
+            for s in set(new).difference(self.held):
+                self._add([s], force=True)
+        return np.fromiter(map(self.held.__getitem__, stretches), np.int64, len(stretches))
+
+    def _add(self, new: list[str], force: bool = False) -> bool:
+        if not new:
+            return True
+        text = " ".join(new)
+        raw = b" " + text.encode()
+        ends = np.cumsum([1 + len(s.encode()) for s in new])
+        got = []
+        for encode, table, size in self.sides:
+            # a lone space is the end of a longer text: the model of B has no token for an empty one
+            ids = np.array(encode(text) if text else encode("x ")[-1:], np.int64)
+            at = np.cumsum(size[ids])
+            cut = np.searchsorted(at, ends)
+            same = b"".join(map(table.__getitem__, ids.tolist())) == raw and (at[cut] == ends).all()
+            if not same and not force:
+                return False
+            got.append((ids, cut + 1 if same else np.array([len(ids)]), same))
+        for i, s in enumerate(new):
+            self.held[s] = len(self.bad) + i
+        for k, (ids, cut, _) in enumerate(got):
+            self.start[k] = np.append(self.start[k], len(self.ids[k]) + cut)
+            self.ids[k] = np.append(self.ids[k], ids)
+        self.bad = np.append(self.bad, np.full(len(new), not all(same for *_, same in got)))
+        return True
+
+    def ids_of(self, side: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a list of stretches, and how many each has."""
+        first, size = self.start[side][numbers], self.start[side][numbers + 1] - self.start[side][numbers]
+        shift = np.repeat(first - (np.cumsum(size) - size), size)
+        return self.ids[side][np.arange(len(shift)) + shift], size
+
+
 # --- the merge
 
 def diagonals(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
@@ -164,8 +233,9 @@ def group_order(ta: np.ndarray, tb: np.ndarray, both: np.ndarray) -> tuple:
 
 def aligner(a_file: str, b_file: str, by_rank: bool, step: int, digest: bool) -> Callable[[list[bytes]], list]:
     """From texts to columns n_a, n_b, n_groups, n_links, groups, pairs, times."""
-    (enc_a, bytes_a), (enc_b, bytes_b) = load_a(a_file, by_rank), load_b(b_file)
-    len_a, len_b = (np.array([len(x) for x in t], np.int64) for t in (bytes_a, bytes_b))
+    known = Stretches([load_a(a_file, by_rank), load_b(b_file)])
+    (_, bytes_a, len_a), (_, bytes_b, len_b) = known.sides
+    cut = re.compile(STRETCH).split
 
     def texts_with(size, sep):
         return np.array([f"{i}{sep}".encode() for i in range(size)], object)
@@ -173,21 +243,27 @@ def aligner(a_file: str, b_file: str, by_rank: bool, step: int, digest: bool) ->
     a_comma, a_bar, b_comma, b_semi = (texts_with(len(t), s) for t, s in (
         (bytes_a, ","), (bytes_a, "|"), (bytes_b, ","), (bytes_b, ";")))
 
-    def encode(text: bytes):
-        if not text:
-            return None
-        whole, want = text.decode(), b" " + text
-        ids = enc_a(whole), enc_b(whole)
-        for x, table in zip(ids, (bytes_a, bytes_b), strict=True):
-            if b"".join(map(table.__getitem__, x)) != want:
-                return None
-        return tuple(np.array(x, np.int64) for x in ids)
+    def encode(texts):
+        """Ids of both sides, all texts in a row, and how many each text has."""
+        parts = [cut(t.decode()) if t else [] for t in texts]
+        numbers = known.numbers([s for p in parts for s in p])
+        doc = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+        odd = np.bincount(doc, known.bad[numbers], len(texts)) > 0
+        numbers, doc = numbers[~odd[doc]], doc[~odd[doc]]
+        out = []
+        for side in (0, 1):
+            ids, size = known.ids_of(side, numbers)
+            out += [ids, np.bincount(doc, size, len(texts)).astype(np.int64)]
+        return out
 
     def f(texts):
-        none = (np.zeros(0, np.int64),) * 2
-        coded = [encode(t) or none for t in texts]
-        na, nb = (np.array([len(c[s]) for c in coded], np.int64) for s in (0, 1))
-        ids_a, ids_b = (np.concatenate([c[s] for c in coded]) for s in (0, 1))
+        size = np.cumsum([len(t) for t in texts]) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), len(texts)]
+        done = [run(texts[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return [pa.concat_arrays(c) if isinstance(c[0], pa.Array) else [x for part in c for x in part] for c in zip(*done, strict=True)]
+
+    def run(texts):
+        ids_a, na, ids_b, nb = encode(texts)
         a, b = np.cumsum(len_a[ids_a]), np.cumsum(len_b[ids_b])
         ends, ta, tb, both = overlaps(a, b, step)
         common = ends[both]
