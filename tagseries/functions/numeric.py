@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: epsilon added to feature denominators.
@@ -41,6 +42,12 @@ def ratio(a: str, b: str, eps: float = EPS) -> Column:
     return guarded_ratio(F.col(a), F.col(b), eps)
 
 
+def existing(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """The columns of ``cols`` that ``df`` has, in their order."""
+    have = set(df.columns)
+    return [c for c in cols if c in have]
+
+
 def row_spread(cols: list[str]) -> Column:
     """max - min across columns; nulls skipped (greatest/least ignore them)."""
     return F.greatest(*[F.col(c) for c in cols]) - F.least(*[F.col(c) for c in cols])

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import (EPS, guarded_ratio, imbalance, ratio, row_mean, row_spread,
+from ..functions.numeric import (EPS, existing, guarded_ratio, imbalance, ratio, row_mean, row_spread,
                                  share_ratio)
 from ..functions.time import calendar_columns
 from .windows import DEFAULT_BLOCK_SLOTS, frame_stats, halo_apply, ordered
@@ -109,28 +109,25 @@ def cross_tag_features(wide: DataFrame, *, share: Mapping[str, tuple[str, str]]
                        spreads: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Projections across tag columns; a feature whose inputs are missing is skipped
     (a spread needs two columns)."""
-    have = set(wide.columns)
     new: dict[str, Column] = {}
     for out, (a, b) in (share or {}).items():
-        if a in have and b in have:
+        if len(existing(wide, (a, b))) == 2:
             new[out] = share_ratio(a, b)
     for out, (a, b) in (imbalances or {}).items():
-        if a in have and b in have:
+        if len(existing(wide, (a, b))) == 2:
             new[out] = imbalance(a, b)
     for out, (a, b) in (ratios or {}).items():
-        if a in have and b in have:
+        if len(existing(wide, (a, b))) == 2:
             new[out] = ratio(a, b)
     for out, cols in (spreads or {}).items():
-        cols = [c for c in cols if c in have]
-        if len(cols) >= 2:
+        if len(cols := existing(wide, cols)) >= 2:
             new[out] = row_spread(cols)
     return wide.withColumns(new) if new else wide
 
 
 def row_quality(wide: DataFrame, quality_cols: Sequence[str], out: str = "overall_quality") -> DataFrame:
     """Mean of the quality columns that exist, nulls skipped; 1.0 when none is configured."""
-    cols = [c for c in quality_cols if c in wide.columns]
-    return wide.withColumn(out, row_mean(cols, 1.0))
+    return wide.withColumn(out, row_mean(existing(wide, quality_cols), 1.0))
 
 
 def calendar_features(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -152,7 +149,7 @@ def finish_matrix(df: DataFrame, *, target: str, drop_cols: Sequence[str], ts: s
     if warmup_until is not None:
         df = df.filter(F.col(ts) >= F.lit(warmup_until).cast(df.schema[ts].dataType))
     df = df.dropna(subset=[target])
-    return df.drop(*[c for c in drop_cols if c in df.columns])
+    return df.drop(*existing(df, drop_cols))
 
 
 def feature_columns(df: DataFrame, exclude: Sequence[str], exclude_prefixes: Sequence[str] = ()) -> list[str]:

@@ -26,9 +26,9 @@ def time_slice(df: DataFrame, start, end, *, cols: Sequence[str] | None = None,
     return out.limit(limit) if limit else out
 
 
-def top_k(df: DataFrame, col: str, k: int, *, descending: bool = True) -> DataFrame:
-    """The ``k`` rows with the largest (or smallest) ``col``."""
-    return df.orderBy(F.desc(col) if descending else F.asc(col)).limit(k)
+def top_k(df: DataFrame, col: str, k: int, *, descending: bool = True, ties: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` rows with the largest (or smallest) ``col``; equal ones in ascending order of ``ties``."""
+    return df.orderBy(F.desc(col) if descending else F.asc(col), *ties).limit(k)
 
 
 def sample_rows(df: DataFrame, n: int, *, key: Sequence[str] = ("ts",), seed: int = 42) -> DataFrame:

@@ -5,14 +5,16 @@ source's drop threshold of 0.20 gives constant labels on this data, so the plans
 0.98 (FIXTURES.md §3).
 """
 
+from ..operators.labels import HORIZONS
+
 # Tag catalogue and roles on the test tables.
 TAGS = ["click", "error", "purchase", "signup", "view"]
 LABEL_TAG = "view"
 STEP_S = 300
 DROP_THRESHOLD = 0.98
 TARGET = "upset_12h"
-LABEL_COLS = ["upset_4h", "upset_12h", "upset_24h"]
-KEEP_COLS = ["ts", "is_upset", "upset_4h", "upset_12h", "upset_24h", "baseline_7d"]
+LABEL_COLS = list(HORIZONS)
+KEEP_COLS = ["ts", "is_upset", *LABEL_COLS, "baseline_7d"]
 
 # Feature roles (the source's flow / water / speed pairs mapped onto the five tags).
 SENSOR_COLS = ["click", "error", "purchase", "signup", "view"]

@@ -7,6 +7,7 @@ grid, ROWS frames here equal the RANGE-on-slot frames of the Spark side.
 
 from __future__ import annotations
 
+from ..operators.features import ROC_LAGS, STATS, WINDOWS
 from . import config as C
 
 STEP_US = C.STEP_S * 1_000_000
@@ -178,33 +179,28 @@ FROM lb""")
 
 
 # ---------------------------------------------------------------- stage 3: features
-FEAT_WINDOWS = {"30m": 6, "2h": 24, "6h": 72, "24h": 288}
-FEAT_LAGS = {"30m": 6, "2h": 24, "6h": 72}
-FEAT_STATS = ("mean", "std", "min", "max", "range")
-
-
 def _q(name: str) -> str:
     return f'"{name}"'
 
 
 def stat_names() -> list[str]:
-    return [f"{w}_{s}" for w in FEAT_WINDOWS for s in FEAT_STATS]
+    return [f"{w}_{s}" for w in WINDOWS for s in STATS]
 
 
 def roc_names() -> list[str]:
-    return [f"roc_{w}" for w in FEAT_LAGS]
+    return [f"roc_{w}" for w in ROC_LAGS]
 
 
 def long_features_cte() -> str:
     exprs = []
-    for w, k in FEAT_WINDOWS.items():
+    for w, k in WINDOWS.items():
         win = f"(PARTITION BY tag ORDER BY slot ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
         exprs += [f"avg(value) OVER {win} AS {_q(w + '_mean')}",
                   f"stddev_samp(value) OVER {win} AS {_q(w + '_std')}",
                   f"min(value) OVER {win} AS {_q(w + '_min')}",
                   f"max(value) OVER {win} AS {_q(w + '_max')}",
                   f"max(value) OVER {win} - min(value) OVER {win} AS {_q(w + '_range')}"]
-    for w, k in FEAT_LAGS.items():
+    for w, k in ROC_LAGS.items():
         lag = f"lag(value, {k}) OVER (PARTITION BY tag ORDER BY slot)"
         exprs.append(f"(value - {lag}) / (abs({lag}) + 1e-6) AS {_q('roc_' + w)}")
     tags = ", ".join(f"'{t}'" for t in C.SENSOR_COLS)
@@ -420,6 +416,18 @@ SELECT round(t, 2) AS threshold,
 FROM sw""")
     q["score_timeline"] = with_(SCORES, """
 SELECT ts, score, label, CAST(score >= 0.5 AS INTEGER) AS alarm FROM sc""")
+    q["top_scores"] = with_(SCORES, """
+SELECT event_id, score, label FROM sc ORDER BY score DESC, event_id LIMIT 25""")
+    circular = " OR ".join(f"starts_with(c, '{p}')" for p in C.CIRCULAR_PREFIXES)
+    kept = ", ".join(f"'{c}'" for c in C.KEEP_COLS)
+    q["feature_selection"] = f"""
+WITH m AS ({feature_matrix_sql()}),
+n AS (SELECT count(COLUMNS(lambda c: c NOT IN ({kept}) AND NOT ({circular}))) FROM m)
+SELECT feature, n_values FROM (UNPIVOT n ON COLUMNS(*) INTO NAME feature VALUE n_values)"""
+    q["gbt_scored_rows"] = f"""
+WITH m AS ({feature_matrix_sql()})
+SELECT count(*) AS n_rows, CAST(sum({C.TARGET}) AS BIGINT) AS n_pos, count(*) AS n_scored, min(ts) AS first_ts, max(ts) AS last_ts
+FROM m WHERE ts >= TIMESTAMP '{C.TEST_START}'"""
     q["total_order"] = with_(READINGS, """
   SELECT ts, tag, value, status,
          row_number() OVER (ORDER BY ts NULLS FIRST, tag NULLS FIRST, value NULLS FIRST, status NULLS FIRST) AS position FROM r""")

@@ -182,7 +182,7 @@ def _perm_importance(spark, d):
 
 def _gbt_importances(spark, d):
     model, feats, _ = training.fitted(spark, d)
-    return slicing.top_k(feature_importances(model, feats), "importance", 25)
+    return slicing.top_k(feature_importances(model, feats), "importance", 25, ties=["feature"])
 
 
 def _gbt_losses(spark, d):
@@ -197,6 +197,18 @@ def _gbt_attribution(spark, d):
     return training.attribution(spark, d)
 
 
+def _gbt_rows(spark, d):
+    return training.scored_rows(spark, d)
+
+
+def _selection(spark, d):
+    return training.selected_features(spark, d)
+
+
+def _top_scores(spark, d):
+    return slicing.top_k(training.scores(spark, d), "score", 25, ties=["event_id"]).select("event_id", "score", "label")
+
+
 def _total_order(spark, d):
     r = ingest.readings(spark, d).drop("good_quality")
     return total_order(r, ["ts", "tag", "value", "status"])
@@ -246,5 +258,8 @@ QUERIES: dict[str, Query] = {
     "gbt_iteration_loss": _gbt_losses,
     "gbt_iteration_metrics": _gbt_rounds,
     "gbt_attribution": _gbt_attribution,
+    "gbt_scored_rows": _gbt_rows,
+    "feature_selection": _selection,
+    "top_scores": _top_scores,
     "total_order": _total_order,
 }

@@ -94,6 +94,21 @@ def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(model, test, feats, C.TARGET)
 
 
+def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scored test rows must come to: rows, positives, rows with a score from 0 to 1, extent."""
+    s = gbt_scores(spark, sf_dir)
+    return s.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("label").cast("long")).alias("n_pos"),
+                 F.count_if(F.col("score").between(0.0, 1.0)).alias("n_scored"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's features, by name rules, with how many values each has as a model input."""
+    fm = matrix.feature_matrix(spark, sf_dir)
+    feats = model_features(fm)
+    counts = fm.agg(*[F.count(F.col(c).cast("double")).alias(c) for c in feats])
+    return counts.unpivot([], feats, "feature", "n_values")
+
+
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, feats, test = fitted(spark, sf_dir)
     return permutation_importance(model, test, feats, C.TARGET, top=25)
