@@ -183,14 +183,15 @@ def _matched(df: DataFrame, terms: dict[str, float]) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic",
-             folds=5, held_out=0, sample=SAMPLE) -> DataFrame:
-    """One row per document: id, held_out, score, predicted, matched (weight of its clauses)."""
+             folds=5, held_out=0, sample=SAMPLE, keep=()) -> DataFrame:
+    """One row per document: id, held_out, score, predicted, matched (weight of its clauses), and the
+    columns of ``keep``."""
     train = training_rows(docs, labels, id_col, text_col, label_col, folds, held_out, sample)
     terms = learn_terms(train)
     rows = _matched(train, terms).select("f", "y").toPandas() if terms else None  # at most `sample` rows
     coef = fit_logistic(np.array(rows.f.tolist()).reshape(-1, FEATURES), rows.y.to_numpy()) if terms else None
     src = docs.select(F.col(id_col).alias("id"), crc_fold(F.col(id_col), folds).alias("fold"),
-                      F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+                      F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
     scored = _matched(src, terms)
     if coef is None:
         score = F.lit(0.0)
@@ -198,5 +199,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
         z = F.lit(float(coef[0])) + sum((F.col("f")[i] * float(c) for i, c in enumerate(coef[1:])), F.lit(0.0))
         score = 1 / (1 + F.exp(-z))
     out = scored.select(F.col("id").alias(id_col), (F.col("fold") == held_out).alias("held_out"), score.alias("score"),
-                        (F.exp(F.col("f")[0]) - 1).alias("matched"))
-    return out.select(id_col, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "matched")
+                        (F.exp(F.col("f")[0]) - 1).alias("matched"), *keep)
+    return out.select(id_col, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "matched", *keep)
