@@ -97,7 +97,8 @@ def _tag_extent(resampled: DataFrame, tags, ent: list[str], tag: str) -> tuple[D
     elif isinstance(tags, DataFrame):
         data = resampled.join(tags.select(*ent, tag).distinct(), on=ent + [tag], how="left_semi")
     else:
-        data = resampled.filter(F.col(tag).isin(list(tags)))
+        # the null test is implied; stated, it makes all readers of the buckets share one shuffle of them
+        data = resampled.filter(F.col(tag).isNotNull() & F.col(tag).isin(list(tags)))
     return base, data
 
 
