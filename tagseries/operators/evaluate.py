@@ -62,7 +62,8 @@ def order_digits(score: Column) -> tuple[Column, Column]:
     part = F.when(finite, size / F.pow(F.lit(2.0), power)) * 1024
     first = F.when(finite, (power + 1100) * 4096 + F.floor(part) + 1).when(size > 0, F.lit(1 << 40)).otherwise(F.lit(0))
     second = F.coalesce(F.floor((part - F.floor(part)) * (1 << 21)), F.lit(0))
-    return first.cast("long") * sign, second.cast("long") * sign
+    # never NULL, so that joins on them put no filter of their own before the one shuffle of scores
+    return tuple(F.coalesce(d.cast("long") * sign, F.lit(0)) for d in (first, second))
 
 
 def cumulative(counts: DataFrame, *, by: Sequence[str] = (), score: str = "score") -> DataFrame:

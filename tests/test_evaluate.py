@@ -130,3 +130,14 @@ def test_rows_without_a_score(spark):
 def test_sweep_of_no_scores(spark):
     out = threshold_sweep(spark.createDataFrame([], "score double, label int"), [0.5]).first()
     assert (out["false_alarms"], out["upsets_caught"], out["upsets_missed"]) == (0, 0, 0)
+
+
+def test_the_curve_reads_its_scores_once(spark, tmp_path):
+    spark.range(500).select((F.col("id") % 2).cast("int").alias("label"), F.rand(1).alias("score")).write.parquet(str(tmp_path / "s"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan shows what is reused
+    try:
+        for f in (pr_curve, roc_auc_ap):
+            plan = f(spark.read.parquet(str(tmp_path / "s")))._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
