@@ -80,11 +80,13 @@ def crc_fold(c: Column, n: int) -> Column:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit integers (xor-shift and multiply)."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    shift = np.uint64(33)
+    x = x ^ (x >> shift)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> shift
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> shift
+    return x
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

@@ -21,7 +21,8 @@ share never meets in one task.
 
 Edge cases: a null text is empty; a text shorter than the window is kept whole; a text with an exact
 copy loses every byte (if it is long enough); repeated rows each give a row; an empty table gives an
-empty result.
+empty result.  Very long texts are hashed in pieces of CHUNK bytes that overlap by a window.
+Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ _cache: dict = {}
 
 
 def _powers(n: int):
-    """Byte codes, powers of the multiplier and of its inverse modulo 2^64."""
+    """Byte codes, powers of the multiplier and of its inverse modulo 2^64, and places from 0 on."""
     if len(_cache.get("p", ())) < n:
         grow = max(n, 1 << 16)
         for name, m in (("p", ODD), ("i", pow(ODD, -1, 1 << 64))):
@@ -49,7 +50,8 @@ def _powers(n: int):
             base[0] = 1
             _cache[name] = np.multiply.accumulate(base)
         _cache["t"] = mix64(np.arange(1, 257, dtype=np.uint64))
-    return _cache["t"], _cache["p"], _cache["i"]
+        _cache["n"] = np.arange(grow, dtype=np.uint64)
+    return _cache["t"], _cache["p"], _cache["i"], _cache["n"]
 
 
 class Piece:
@@ -57,22 +59,28 @@ class Piece:
 
     def __init__(self, piece: bytes, window: int, anchor: int):
         self.n, self.window = len(piece), window
-        code, power, self.inv = _powers(self.n + 1)
+        code, power, self.inv, self.places = _powers(self.n + 1)
         x = code[np.frombuffer(piece, np.uint8)]
-        self.h = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(x * power[:self.n], out=self.h[1:])
-        g = self.spans(np.arange(self.n - anchor + 1), anchor)
-        at = np.arange(len(g), dtype=np.uint64)
-        key = (g & np.uint64(0xFFFFFFFF00000000)) | at
+        x *= power[:self.n]
+        self.h = np.empty(self.n + 1, np.uint64)
+        self.h[0] = 0
+        np.cumsum(x, out=self.h[1:])
+        every = self.n - anchor + 1
+        g = self.h[anchor:] - self.h[:every]
+        g *= self.inv[:every]
+        g = mix64(g)
+        # smallest of the upper halves of the hashes over each window, the leftmost one where equal: by
+        # the value with its place below it
+        low = g & np.uint64(0xFFFFFFFF00000000)
+        low |= self.places[:every]
         width, size = window - anchor + 1, 1
-        low = key
         while size * 2 <= width:
             low, size = np.minimum(low[:-size], low[size:]), size * 2
         last = self.n - window + 1
-        best = np.minimum(low[:last], low[width - size:width - size + last]) & np.uint64(0xFFFFFFFF)
-        cut = np.flatnonzero(np.diff(best)) + 1
+        best = np.minimum(low[:last], low[width - size:width - size + last])
+        cut = np.flatnonzero(best[1:] != best[:-1]) + 1
         self.lo, self.hi = np.concatenate(([0], cut)), np.concatenate((cut, [last])) - 1
-        self.pos = best[self.lo].astype(np.int64)
+        self.pos = (best[self.lo] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.g = g[self.pos]
 
     def spans(self, start: np.ndarray, length) -> np.ndarray:
