@@ -12,9 +12,10 @@ one block and one chunk, whatever the size of the table.  Vectors without struct
 candidates: README has the recall measured.  A block with no more rows than ``candidates`` is
 searched whole, so small tables are exact.
 
-Edge cases: vectors that are null, empty, zero, of another length than most, or that hold null or
-non-finite components take no part, nor do null ids; of rows with one id the smallest vector counts;
-an empty table gives an empty result.
+Edge cases: vectors that are null, empty, zero, or that hold null or non-finite components take no part, nor do
+null ids.  Vectors of one length are searched among their own kind (each length has its blocks and its largest
+norm).  Rows that repeat an id with other vectors are rows of their own, as queries and as candidates; rows equal in
+both count once.  An empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,8 +44,9 @@ def hash_strings(x: np.ndarray, largest: float, trees: int, seed: int, query: bo
     return (bits * (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).sum(2)
 
 
-def search_block(ids, x, qids, q, largest: float, k: int, trees: int, candidates: int, seed: int):
-    """(query id, id, score) of the best ``k`` of one block for each query of one chunk."""
+def search_block(ids, own, x, qids, asks, q, largest: float, k: int, trees: int, candidates: int, seed: int):
+    """(query, query id, id, score) of the best ``k`` of one block for each query of one chunk; ``own`` and ``asks``
+    number the rows."""
     codes, want = hash_strings(x, largest, trees, seed, False), hash_strings(q, largest, trees, seed, True)
     order = np.argsort(codes, axis=0, kind="stable")
     arrays = [np.ascontiguousarray(codes[order[:, t], t]) for t in range(trees)]
@@ -65,7 +67,7 @@ def search_block(ids, x, qids, q, largest: float, k: int, trees: int, candidates
         open_ = open_[~enough]
         if not len(open_):
             break
-    found = [[], [], []]
+    found = [[], [], [], []]
     for depth in sorted(set(level.tolist()), reverse=True):
         wait = np.flatnonzero(level == depth)
         while len(wait):
@@ -78,53 +80,56 @@ def search_block(ids, x, qids, q, largest: float, k: int, trees: int, candidates
                 if depth and mark.sum() < goal:  # ascend one bit in all trees
                     again.append(i)
                     continue
-                near = np.flatnonzero(mark & (ids != qids[i]))
+                near = np.flatnonzero(mark & (own != asks[i]))
                 score = (x[near] * q[i]).sum(1)
                 if len(near) > k:
                     best = np.flatnonzero(score >= np.partition(score, -k)[-k])
                     near, score = near[best], score[best]
                 best = np.lexsort((ids[near], -score))[:k]
-                found[0].append(np.full(len(best), qids[i]))
-                found[1].append(ids[near[best]])
-                found[2].append(score[best])
+                for c, v in zip(found, (np.full(len(best), asks[i]), np.full(len(best), qids[i]), ids[near[best]], score[best]), strict=True):
+                    c.append(v)
             wait, depth = np.array(again, np.int64), depth - 1
     return [np.concatenate(c) if c else np.zeros(0) for c in found]
 
 
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v) of rows that take part, one per id, v as doubles."""
+    """(id, v) of rows that take part, v as doubles."""
     v = F.col(vec_col)
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = good & F.exists(v, lambda x: x != 0)
-    rows = df.where(F.coalesce(good, F.lit(False)) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), v.cast("array<double>").alias("v"))
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"))
-    common = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1)
-    return rows.join(F.broadcast(common.select("d")), F.size("v") == F.col("d")).select("id", "v")
+    return df.where(F.coalesce(good, F.lit(False)) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), v.cast("array<double>").alias("v")).distinct()
 
 
 def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, every: int = 20,
             trees: int = TREES, candidates: int = CANDIDATES, block_rows: int = BLOCK_ROWS,
             chunk_rows: int = CHUNK_ROWS, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of every row whose id is divisible by ``every``."""
-    rows = stage(usable_vectors(df, id_col, vec_col), "vectors")
+    rows = usable_vectors(df, id_col, vec_col).withColumn("row", F.monotonically_increasing_id())
+    rows = stage(rows.withColumn("d", F.size("v")), "vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    n, nq, largest = rows.agg(F.count("*"), F.count(F.when(F.col("id") % every == 0, 1)), F.max(norm)).first()
-    blocks, chunks = max(1, -(-n // block_rows)), max(1, -(-nq // chunk_rows))
-    part = lambda c, m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias(c)
-    side = rows.select(part("block", blocks), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "id", "v")
+    up = lambda n, per: F.greatest(F.lit(1), F.ceil(n / per)).cast("int")
+    kinds = rows.groupBy("d").agg(
+        up(F.count("*"), block_rows).alias("blocks"),
+        up(F.count(F.when(F.col("id") % every == 0, 1)), chunk_rows).alias("chunks"), F.max(norm).alias("largest"))
+    rows = rows.join(stage(kinds, "kinds"), "d")  # one row per length of vectors
+    part = lambda c, m: F.pmod(F.xxhash64("id"), F.col(m)).cast("int").alias(c)
+    side = rows.select("d", part("block", "blocks"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+                       "row", "id", "v", "largest")
     asks = rows.where(F.col("id") % every == 0).select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("to"), part("ask", chunks), F.col("id").alias("qid"), F.col("v").alias("qv"))
+        F.col("d").alias("kind"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"), part("ask", "chunks"), F.col("row").alias("qrow"),
+        F.col("id").alias("qid"), F.col("v").alias("qv"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "vec_id", "score"]
+        names = ["query", "query_id", "vec_id", "score"]
         if not len(left) or not len(right):
             return pd.DataFrame({c: [] for c in names})
-        out = search_block(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), right["qid"].to_numpy(),
-                           np.stack(right["qv"].to_numpy()), largest, k, trees, candidates, seed)
+        out = search_block(left["id"].to_numpy(), left["row"].to_numpy(), np.stack(left["v"].to_numpy()), right["qid"].to_numpy(),
+                           right["qrow"].to_numpy(), np.stack(right["qv"].to_numpy()), left["largest"].iloc[0], k, trees, candidates, seed)
         return pd.DataFrame(dict(zip(names, out, strict=True)))
 
-    found = side.groupBy("block", "chunk").cogroup(asks.groupBy("to", "ask")).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = side.groupBy("d", "block", "chunk").cogroup(asks.groupBy("kind", "to", "ask")).applyInPandas(
+        search, "query bigint, query_id bigint, vec_id bigint, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -335,6 +335,21 @@ def test_nearest(spark):
     assert hash_forest.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_of_other_lengths_and_repeated_ids(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.normal(size=4 if i % 3 else 6)]) for i in range(90)]
+    rows += [(i, [float(x) for x in r.normal(size=4)]) for i in (20, 20, 40, 41)] + rows[:2]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    every = [(i, tuple(v)) for i, v in dict.fromkeys((i, tuple(v)) for i, v in rows)]
+    want = []
+    for a, (q, v) in enumerate(every):
+        if q % 20 == 0:
+            near = sorted((-float((np.array(v) * np.array(w)).sum()), i) for b, (i, w) in enumerate(every) if b != a and len(w) == len(v))
+            want += [(q, n + 1, i) for n, (_, i) in enumerate(near[:20])]
+    out = hash_forest.nearest(df, block_rows=16, chunk_rows=2).collect()
+    assert sorted((o.query_id, o["rank"], o.vec_id) for o in out) == sorted(want)
+
+
 @pytest.mark.parametrize("chunk", [1 << 20, 300])
 def test_decontaminate(docs, no_docs, spark, chunk):
     word = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
