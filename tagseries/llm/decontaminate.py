@@ -12,6 +12,7 @@ longer item is a chunk of its own.
 Edge cases: null texts and items have no words; items of fewer words than a window are one window;
 equal items are reported each under its own id; repeated documents are judged alike; null item ids
 are left out of the list; without benchmark rows nothing is hit.
+Very long texts are searched whole, one at a time.  Only ids and texts are read, so other columns may have any name.
 """
 
 from __future__ import annotations

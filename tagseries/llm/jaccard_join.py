@@ -28,7 +28,8 @@ any order is exact, a good one keeps regions small.
 
 Edge cases: null texts and texts without words have an empty set, size 0, and are linked with nothing;
 fewer words than a shingle are one shingle; repeated rows are one class; rows with a null id are
-joined like others and named by the smallest non-null id; an empty table gives an empty result.
+joined like others and named by the smallest non-null id; an empty table gives an empty result.  A very long
+text is one set, built in one task.  Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Counting is by distinct (hash, owner), (hash, repository) and (hash, text) rows,
 of all rows hold is spread over all tasks; the following counts are summed map-side.
 
 Edge cases: a null text is empty; a null owner is one owner of its own; a null repository likewise;
-equal rows are scanned alike and each gives a row; an empty table gives an empty result.
+equal rows are scanned alike and each gives a row; an empty table gives an empty result.  A very long text is one
+row, scanned whole.  Only the id, text, owner and repository columns are read, so others may have any name.
 """
 
 from __future__ import annotations

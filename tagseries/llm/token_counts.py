@@ -8,7 +8,8 @@ Sections are the stretches up to and including a run of line feeds; the pattern
 vocabulary is a file of ranks whose path is a parameter; it must be readable where tasks run.
 
 Edge cases: null and empty texts have no tokens and no sections; a text of line feeds only is one
-section; repeated rows count alike; an empty table gives an empty result.
+section; repeated rows count alike; an empty table gives an empty result.  A very long text is
+encoded whole, in one task.  Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

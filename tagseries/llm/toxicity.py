@@ -14,7 +14,9 @@ terms are learned, so a text with thousands of copies does not turn its words in
 
 Edge cases: null and empty texts match nothing and get the model's base score; several labels of one
 id count as toxic if any is; without labelled rows of both kinds all scores are 0; repeated rows are
-scored alike; an empty table gives an empty result.
+scored alike; an empty table gives an empty result.  A very long text is scanned
+whole, clause by clause.  Only the id and the text are read, and of the labels the id and the label; the columns of
+``keep`` must not be called id, fold, text or f.
 """
 
 from __future__ import annotations

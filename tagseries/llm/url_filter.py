@@ -11,7 +11,8 @@ Links are merged to one row per host pair before any iteration.  Both walks shar
 join per iteration; every second iteration is written to the shared folder.
 
 Edge cases: a null url has no host and no path, fits no rule and is allowed unless distrusted; null
-html has no links; links of a host to itself do not count; an empty table gives an empty result.
+html has no links; links of a host to itself do not count; an empty table gives an empty result.  Very
+long pages are read whole.  Only the page's id, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
