@@ -175,6 +175,62 @@ def test_lm_symbols_beyond_the_first_254(spark):
     assert held and all(out[x].score > 0.5 * out[x].base_score for x in held), [out[x].score / out[x].base_score for x in held]
 
 
+def test_lm_words_without_a_symbol_as_context_and_target(spark):
+    r, words, rows = random.Random(2), [f"w{i}" for i in range(400)], []
+    for i in range(500):  # 400 frequent words at random; of 60 pairs of rarer ones, the second after the first only
+        rows.append((i, " ".join([r.choice(words) for _ in range(300)] + [f"a{j} b{j}" for j in r.choices(range(60), k=10)])))
+    held = [x for x in range(1000, 1400) if zlib.crc32(str(x).encode()) % 5 == 1][:40]
+    rows += [(x, " ".join(f"a{j} b{(j + x % 2) % 60}" for j in range(60))) for x in held]
+    out = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    out = {x.doc_id: x.score for x in lm_score.lm_score(out).collect()}
+    together, apart = (np.mean([out[x] for x in held if x % 2 == k]) / 60 for k in (0, 1))
+    assert together > apart + 0.2, (together, apart)
+
+
+def test_lm_tree_probabilities_sum_to_one():
+    r = np.random.default_rng(4)
+    mass = r.integers(0, 9, 1 << 9) + 1e-9
+    m = lm_score.Model(40, odds=lm_score.log_odds(mass))
+    leaf, one = np.arange(1 << 9), np.ones(1 << 9, np.int64)
+    assert m.log_lift(leaf, one, one) == pytest.approx(0)
+    m.t[:] = r.normal(size=m.t.shape)
+    for p, q in ((3, 5), (lm_score.CODE + (1 << 32) - 1, 40)):
+        lift = m.log_lift(leaf, p * one, q * one)
+        assert abs(lift).max() > 1 and (np.exp(lift) * mass).sum() / mass.sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_tree_learns_and_grows_with_the_words():
+    assert [lm_score.depth_of(v) for v in (1, 16, 17, 10**6, 10**12)] == [1, 1, 1, 16, 20]
+    m = lm_score.Model(40, odds=lm_score.log_odds(np.ones(1 << 10)))
+    code, p, q = np.random.default_rng(3).integers(0, 1 << 32, (3, 400))
+    uses = np.zeros(m.rows)
+    for _ in range(5):
+        m.learn_tree(code, p, q, uses)
+    assert m.log_lift(code, p, q).min() > 0.5 and uses.sum() == 5 * 400 * 3 * 2
+    assert np.isfinite(m.log_lift(code, q, p)).all()
+
+
+@pytest.mark.parametrize("rows", [300, 1 << 17])
+def test_lm_row_sums(rows):
+    r = np.random.default_rng(6)
+    flat, of, g = np.minimum(r.zipf(1.3, 5000), rows - 1), r.integers(0, 700, 5000), r.normal(size=(700, 20)).astype(np.float32)
+    want = np.zeros((rows, 20))
+    np.add.at(want, flat, g[of])
+    row, total = lm_score.row_sums(flat, of, g, rows)
+    assert sorted(row) == sorted(set(flat)) and total == pytest.approx(want[row], abs=1e-2)
+
+
+def test_lm_scores_are_probabilities_of_all_words(spark):
+    words = [f"w{i}" for i in range(900)]
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(words) for _ in range(200))) for i in range(300)]
+    seen = sorted({w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in t.split()})
+    one = [x for x in range(1000, 9000) if zlib.crc32(str(x).encode()) % 5 == 1][:len(seen) + 1]
+    rows += [(x, w + " w0") for x, w in zip(one, [*seen, "unseen"], strict=True)]
+    out = {x.doc_id: x.score for x in lm_score.lm_score(spark.createDataFrame(rows, "doc_id bigint, text string"), rounds=1).collect()}
+    assert sum(10 ** out[x] for x in one) < 1 and len({out[x] for x in one}) > 400
+
+
 def test_lm_size_grows_with_training_tokens():
     assert [lm_score.side_of(n) for n in (0, 10**6, 10**8, 10**12)] == [20, 20, 34, 64]
     m = lm_score.Model(900, side=34)
