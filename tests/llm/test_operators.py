@@ -3,12 +3,14 @@ repeated rows, empty tables and columns whose names clash with internal ones."""
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagseries.llm import (
@@ -231,6 +233,39 @@ def test_lm_scores_are_probabilities_of_all_words(spark):
     assert sum(10 ** out[x] for x in one) < 1 and len({out[x] for x in one}) > 400
 
 
+def test_lm_weights_from_a_broadcast_are_of_numpys_own_type():
+    m = lm_score.Model(40, odds=lm_score.log_odds(np.ones(1 << 4)))
+    sent = pickle.loads(pickle.dumps((m.a, m.b, m.t, m.odds), 5))
+    got = lm_score.Model(40, *(x.copy() for x in sent[:2]), t=sent[2].copy(), odds=sent[3])
+    # another type object, though an equal one, makes numpy's add.at and subtract.at convert number by number
+    assert all(x.dtype is np.dtype(np.float32) for x in (got.a, got.b, got.t, got.odds))
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_lm_words_of_odd_texts(size):
+    texts = [None, "", "  ", "a\x0b\x0cB\x1cÉ \r\n", " X", None, "y\x00 z\u00a0\u2003 A", "k " * 9, "K"]
+    frequent, got = ["a", "k"], []
+    codes = lm_score.Codes(frequent, np.array([5, 3]))
+    for piece in lm_score.pieces(pa.array(["cut", *texts]).slice(1), size):
+        words, sizes = lm_score.words_of(piece)
+        at, number = codes.of(words)
+        assert at.tolist() == [frequent.index(w) if w in frequent else -1 for w in words.to_pylist()]
+        number, first = lm_score.with_ends(number, sizes, 9)
+        got += [x.tolist() for x in np.split(number, first[1:])]
+    code = lambda w: {b"a": 5, b"k": 3}.get(w, lm_score.CODE + zlib.crc32(w))
+    assert got == [[*map(code, (t or "").encode().lower().split()), 9] for t in texts]
+
+
+def test_lm_large_weights():
+    m, r = lm_score.Model(40), np.random.default_rng(5)
+    m.a[:], m.b[:] = r.normal(size=m.a.shape) * 300, r.normal(size=m.b.shape) * 300
+    sym = np.arange(40)
+    log = m.logp(sym, np.full(40, 3), np.full(40, 7))
+    assert np.isfinite(log).all() and np.exp(log).sum() == pytest.approx(1, abs=1e-4)
+    m.learn(sym, np.full(40, 3), np.full(40, 7), [np.zeros(m.rows) for _ in "ab"], [np.zeros(m.rows) for _ in "ab"])
+    assert np.isfinite(m.a).all() and np.isfinite(m.b).all()
+
+
 def test_lm_size_grows_with_training_tokens():
     assert [lm_score.side_of(n) for n in (0, 10**6, 10**8, 10**12)] == [20, 20, 34, 64]
     m = lm_score.Model(900, side=34)
