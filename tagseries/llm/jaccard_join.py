@@ -18,13 +18,16 @@ link at 0.8.
 3. A region with more than ``leaf`` members that is not finished is cut into Voronoi cells of sampled
    pivots.  A member goes to its nearest pivot, and also to each pivot that is farther by at most its
    window, twice the largest difference a link allows: where its links' homes may be.  Finished cells
-   leave, large ones are cut again.
-4. In the leaves, pairs of different components that pass size and bitmap are compared exactly; a leaf
-   that cutting no longer shrinks is joined in blocks of rows, one task per pair of blocks.
+   leave, large ones are cut again.  Sets far apart from all pivots would go to every cell: a region whose
+   cells would hold more than ``SPREAD`` times its rows is not cut.
+4. In the leaves, pairs of different components that pass size and bitmap are compared exactly; a region
+   that cutting does not shrink is joined in blocks of rows, one task per pair of blocks.  While there are
+   many pairs to a member (a large cluster with members that are not linked yet), the nearest pair of each member
+   is compared first, and pairs that are then of one component leave.
 
 No pair is dropped but by a bound, so the components are exact (up to 64-bit shingle hashes).  The
 shingle order needs frequencies: a sketch of 2^18 counters over all texts, of fixed size, is broadcast;
-any order is exact, a good one keeps regions small.
+any order is exact, a good one keeps regions small.  Staged tables and shuffles go as soon as nothing reads them.
 
 Edge cases: null texts and texts without words have an empty set, size 0, and are linked with nothing;
 fewer words than a shingle are one shingle; repeated rows are one class; rows with a null id are
@@ -40,14 +43,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tagseries.llm.common import batch_bytes, components, mix64, stage, texts_of
+from tagseries.llm.common import batch_bytes, components, drop_shuffles, mix64, stage, texts_of, unstage
 
 WORDS, LINK = 5, (80, 100)
 SKETCH, BITS, FILTER = 1 << 18, 2048, 1 << 23
 FINE, LARGE = 16384, 1024  # sets above LARGE shingles have a second bitmap of FINE bits
-LEAF, SMALL, PIVOTS, DEPTH = 2048, 64, 16, 4
+LEAF, SMALL, PIVOTS, DEPTH, SPREAD, MANY = 2048, 64, 16, 4, 2, 8
 ROUNDS, NEAR_PIVOTS, NEAR_SIZE = 3, 4, 8
 SALTS = 64
 _mult = mix64(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
@@ -164,7 +168,7 @@ def _prefixes(docs: DataFrame, words: int, order: np.ndarray) -> DataFrame:
 
 
 def _members(prefixes: DataFrame) -> DataFrame:
-    """(lead, node): the members of each leader's region, short keys, leaders included.
+    """(lead, node), staged: the members of each leader's region, short keys, leaders included.
 
     Prefixes are shuffled once, by shingle and salt, and read in order; the leaders of a frequent
     shingle's salts then agree on the smallest, map-side."""
@@ -174,7 +178,9 @@ def _members(prefixes: DataFrame) -> DataFrame:
     top = led.where("salt > 0").groupBy("s").agg(F.min("lead").alias("lead"))
     pairs = led.where("salt = 0").select("lead", "node").unionByName(hot.join(top, "s").select("lead", "node"))
     pairs = pairs.where("lead <> node").distinct()
-    return pairs.unionByName(pairs.select("lead", F.col("lead").alias("node")).distinct())
+    out = stage(pairs.unionByName(pairs.select("lead", F.col("lead").alias("node")).distinct()), "members")
+    unstage(led)
+    return out
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -202,10 +208,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose sets link; only the sets of these pairs' nodes are made again."""
+    """The pairs (a, b) whose sets link, staged; only the sets of these pairs' nodes are made again."""
     pairs = stage(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(docs, stage(classes.select("node", "id").join(nodes, "node", "left_semi"), "wanted"), words)
+    wanted = stage(classes.select("node", "id").join(nodes, "node", "left_semi"), "wanted")
+    sets = _sets(docs, wanted, words)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -218,7 +225,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int)
                 keep.append(LINK[1] * inter >= LINK[0] * (len(x) + len(y) - inter))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    out = stage(both.mapInArrow(run, "a binary, b binary"), "links")
+    unstage(pairs)
+    unstage(wanted)
+    return out
 
 
 def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -263,27 +273,33 @@ def _home_pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
     return near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
 
 
-def _cells(rows: DataFrame, level: int) -> DataFrame:
-    """Voronoi cells of sampled pivots: (region, node, n, bits, fine), one row per cell of a node."""
-    joined = rows.join(_pivots(rows, level, PIVOTS), "region").select("region", "node", "n", "bits", "fine", "pivots")
+def _cells(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """Voronoi cells of sampled pivots: (region, node, n, bits, fine), one row per cell of a node; and the rows of the
+    regions that they would not shrink, as they are."""
+    names = rows.columns
+    joined = rows.join(_pivots(rows, level, PIVOTS), "region").select(*names, "pivots")
+    at_region, at_n, at_bits = (names.index(c) for c in ("region", "n", "bits"))
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            region, n, bits, ps = (b.column(i).to_pylist() for i in (0, 2, 3, 5))
+            region, n, bits, ps = (b.column(i).to_pylist() for i in (at_region, at_n, at_bits, -1))
             out = []
             for i, many in enumerate(ps):
                 d = _hamming(_bits([bits[i]]), _bits([p["bits"] for p in many]))
                 # a link differs in at most (n + 5/4 n) / 9 = n / 4 shingles, so a link's home lies
                 # at most twice that farther than this home
-                for j in np.flatnonzero(2 * (d - d.min()) <= n[i]):
-                    out.append((xxhash.xxh3_64_intdigest(f"{region[i]}:{level}:{j}") - (1 << 63), i))
-            at = pa.array([x[1] for x in out])
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(b.column(c).take(at) for c in (1, 2, 3, 4))],
-                                             ["region", "node", "n", "bits", "fine"])
+                out.append([xxhash.xxh3_64_intdigest(f"{region[i]}:{level}:{j}") - (1 << 63)
+                            for j in np.flatnonzero(2 * (d - d.min()) <= n[i])])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.int64()))], [*names, "cells"])
 
-    return joined.mapInArrow(run, "region bigint, node binary, n bigint, bits binary, fine binary")
+    schema = T.StructType([*rows.schema.fields, T.StructField("cells", T.ArrayType(T.LongType()))])
+    found = stage(joined.mapInArrow(run, schema), "windows")
+    copies = found.groupBy("region").agg(F.sum(F.size("cells")).alias("copies"), F.count("*").alias("rows"))
+    found = found.join(copies.select("region", (F.col("copies") <= SPREAD * F.col("rows")).alias("cut")), "region")
+    return (found.where("cut").select(F.explode("cells").alias("region"), "node", "n", "bits", "fine"),
+            found.where("not cut").select(*names))
 
 
 def _grouped(rows: DataFrame, leaf: int) -> DataFrame:
@@ -299,8 +315,8 @@ def _grouped(rows: DataFrame, leaf: int) -> DataFrame:
 
 
 def _partners(pdf: pd.DataFrame, root: np.ndarray):
-    """(row, later rows of the same region and of another root that size and bitmaps allow) of rows
-    sorted by region and n."""
+    """(row, later rows of the same region and of another root that size and bitmaps allow, the share of shingles
+    that the bitmaps tell apart) of rows sorted by region and n."""
     n, blk, bits = pdf["n"].to_numpy(), pdf["blk"].to_numpy(), _bits(pdf["bits"])
     region, fine = pdf["region"].to_numpy(), pdf["fine"].to_numpy()
     apart = pdf["i"].iloc[0] != pdf["j"].iloc[0]
@@ -311,28 +327,47 @@ def _partners(pdf: pd.DataFrame, root: np.ndarray):
             js = np.arange(i + 1, end[i - lo])
             js = js[(root[js] != root[i]) & ((blk[js] != blk[i]) if apart else True)]
             if len(js):
-                js = js[close(n[i], n[js], _hamming(bits[i], bits[js]))]
+                d = _hamming(bits[i], bits[js])
+                ok = close(n[i], n[js], d)
+                js, d = js[ok], d[ok]
                 if fine[i] and len(js):
-                    js = js[[fine_close(n[i], n[j], fine[i], fine[j]) for j in js]]
+                    ok = np.array([fine_close(n[i], n[j], fine[i], fine[j]) for j in js])
+                    js, d = js[ok], d[ok]
                 if len(js):
-                    yield i, js
+                    yield i, js, d / (n[i] + n[js])
 
 
 def _leaf_pairs(rows: DataFrame, leaf: int) -> DataFrame:
-    """(a, b) of different components that size and bitmaps allow; rows (region, size, node, n, bits,
-    fine, root)."""
+    """(a, b, d) of different components that size and bitmaps allow, and the share of shingles that the bitmaps tell
+    apart; rows (region, size, node, n, bits, fine, root)."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["region", "n", "node"]).reset_index(drop=True)
-        node, out = pdf["node"].to_numpy(), [[], []]
-        for i, js in _partners(pdf, pdf["root"].to_numpy()):
+        node, out = pdf["node"].to_numpy(), [[], [], []]
+        for i, js, d in _partners(pdf, pdf["root"].to_numpy()):
             out[0] += [node[i]] * len(js)
             out[1] += node[js].tolist()
-        return pd.DataFrame({"a": out[0], "b": out[1]})
+            out[2] += d.tolist()
+        return pd.DataFrame({"a": out[0], "b": out[1], "d": out[2]})
 
     rows = _grouped(rows, leaf).select("grp", "i", "j", "region", "blk", "node", "n", "bits", "fine", F.xxhash64("root").alias("root"))
-    pairs = rows.groupBy("grp", "i", "j").applyInPandas(join, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = rows.groupBy("grp", "i", "j").applyInPandas(join, "a binary, b binary, d double")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").distinct()
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """(a, b): of ``pairs(a, b, d)`` the nearest one of each node."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    best = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b, d) of different components."""
+    for end in ("a", "b"):
+        named = comp.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        pairs = pairs.join(named, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    return pairs.where("a_root <> b_root").select("a", "b", "d")
 
 
 def _with_partners(rows: DataFrame, leaf: int) -> DataFrame:
@@ -342,7 +377,7 @@ def _with_partners(rows: DataFrame, leaf: int) -> DataFrame:
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["region", "n", "node"]).reset_index(drop=True)
         on = np.zeros(len(pdf), bool)
-        for i, js in _partners(pdf, np.arange(len(pdf))):
+        for i, js, _ in _partners(pdf, np.arange(len(pdf))):
             on[i] = on[js] = True
         return pdf.loc[on, ["region", "node", "n", "bits", "fine"]]
 
@@ -354,7 +389,7 @@ def _with_partners(rows: DataFrame, leaf: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                     leaf: int = LEAF, depth: int = DEPTH, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links)."""
-    with batch_bytes(docs.sparkSession):  # all Python work ends in staged tables
+    with batch_bytes(docs.sparkSession), drop_shuffles(docs.sparkSession):  # all Python work ends in staged tables
         return _near_duplicates(docs, id_col, text_col, words, leaf, depth, rounds)
 
 
@@ -371,32 +406,48 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, le
     classes = stage(classes, "classes")
     # the first 8 bytes of the digest as a number; should two classes share them, both are members
     keyed = classes.drop("id").mapInArrow(_short_keys, "node binary, n bigint, bits binary, fine binary, k bigint")
-    member = stage(_members(_prefixes(src, words, order)), "members")
-    member = member.join(member.groupBy("lead").agg(F.count("*").alias("size")), "lead")
+    members = _members(_prefixes(src, words, order))
+    member = members.join(members.groupBy("lead").agg(F.count("*").alias("size")), "lead")
     region = member.join(keyed, member["node"] == keyed["k"]).select(
         F.col("lead").alias("region"), "size", keyed["node"].alias("node"), "n", "bits", "fine")
-    rest = stage(_with_partners(region, leaf), "regions")
-    rest = rest.withColumn("root", F.col("node")).withColumn("size", F.lit(2))
+    held = stage(_with_partners(region, leaf), "regions")
+    unstage(members)
+    rest = held.withColumn("root", F.col("node")).withColumn("size", F.lit(2))
     links = comp = None
     for level in range(rounds):
         near = rest.where((F.col("size") > NEAR_SIZE) | F.lit(level == 0))
-        more = stage(_verified(_home_pairs(near, _pivots(near, level, NEAR_PIVOTS)), src, classes, words), "links")
+        more = _verified(_home_pairs(near, _pivots(near, level, NEAR_PIVOTS)), src, classes, words)
         links = more if links is None else links.unionByName(more)
         comp = components(links)
-        rest = stage(_with_component(rest.drop("root", "size"), comp), "rest")
+        rest, done = stage(_with_component(rest.drop("root", "size"), comp), "rest"), held
+        unstage(done)
+        held = rest
     leaves, big = [rest.where(F.col("size") <= leaf)], rest.where(F.col("size") > leaf)
     for level in range(rounds, rounds + depth):
         if big.isEmpty():
             break
-        cells = stage(_with_component(_cells(big, level), comp), "cells")
-        leaves.append(cells.where(F.col("size") <= leaf))
+        cells, whole = _cells(big, level)
+        cells = stage(_with_component(cells, comp), "cells")
+        leaves += [cells.where(F.col("size") <= leaf), whole]
         big = cells.where(F.col("size") > leaf)
     leaves.append(big)
     todo = leaves[0]
     for x in leaves[1:]:
         todo = todo.unionByName(x)
-    pairs = _leaf_pairs(todo, leaf)
-    more = stage(_verified(pairs, src, classes, words), "links")
+    pairs, before = stage(_leaf_pairs(todo, leaf), "near"), None
+    while True:
+        count = pairs.count()
+        if count <= MANY * pairs.select(F.explode(F.array("a", "b"))).distinct().count() or before and 2 * count > before:
+            break
+        best = stage(_nearest(pairs), "best")
+        links = links.unionByName(_verified(best, src, classes, words))
+        comp = components(links)
+        left = stage(_apart(pairs, comp).join(best, ["a", "b"], "left_anti"), "near")
+        unstage(pairs)
+        unstage(best)
+        pairs, before = left, count
+    more = _verified(pairs.select("a", "b"), src, classes, words)
+    unstage(pairs)
     comp = components(links.unionByName(more)) if not more.isEmpty() else comp
 
     named = comp.join(classes.select("node", "id"), "node")

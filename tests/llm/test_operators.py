@@ -3,9 +3,11 @@ repeated rows, empty tables and columns whose names clash with internal ones."""
 
 import hashlib
 import math
+import os
 import pickle
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,6 +16,7 @@ import pyarrow as pa
 import pytest
 
 from tagseries.llm import (
+    common,
     decontaminate,
     hash_forest,
     jaccard_join,
@@ -142,6 +145,58 @@ def test_near_duplicates(docs, no_docs, leaf):
         assert jaccard_join.near_duplicates(no_docs).count() == 0
 
 
+def test_large_family_of_near_copies(spark, monkeypatch):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(200)], []
+    for _ in range(150):
+        ws = list(base)
+        for at in r.sample(range(200), r.randint(0, 9)):
+            ws[at] = word()
+        texts.append(" ".join(ws))
+    texts += [" ".join(word() for _ in range(60)) for _ in range(30)]
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    links = [(a, b) for a in root for b in root[:a] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in range(len(texts)):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    staged, plain = [], jaccard_join.stage
+
+    def counting(df, name):
+        out = plain(df, name)
+        staged.append((name, out.count(), out.staged_path))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", counting)
+    monkeypatch.setattr(jaccard_join, "MANY", 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    out = jaccard_join.near_duplicates(docs, leaf=10, depth=2, rounds=1).collect()
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in out} == {(i, len(sets[i]), root[i]) for i in range(len(texts))}
+    most = lambda name: max((n for x, n, _ in staged if x == name), default=0)
+    assert 0 < most("rest") and most("cells") <= 2 * most("rest")  # every set's window reaches every cell
+    assert sum(n for x, n, _ in staged if x == "near") > most("near") > most("pairs")  # nearest pairs first: few others are left
+    gone = {x for x, *_ in staged} - {"sets", "classes", "links", "windows", "cells", "rest"}
+    exists = lambda p: os.path.exists(p.removeprefix("file:"))
+    assert gone >= {"led", "members", "regions", "pairs", "wanted", "near", "best"}
+    assert not [x for x, _, path in staged if x in gone and exists(path)]
+
+
+def test_shuffle_files_go_with_their_job(spark, tmp_path):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    held = lambda: {f for d in dirs for _, _, names in os.walk(str(d)) for f in names if f.startswith("shuffle_")}
+    before = held()
+    with common.drop_shuffles(spark):
+        spark.range(10000).selectExpr("id % 7 k", "id").groupBy("k").count().write.parquet(f"{tmp_path}/a")
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(key, None) is None
+    assert spark.read.parquet(f"{tmp_path}/a").count() == 7
+
+
 def test_lm_score(docs, no_docs):
     held = {r[0]: zlib.crc32(str(r[0]).encode()) % 5 == 1 for r in ROWS}
     toks = lambda t: t.encode().lower().split() + [None]
