@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagseries.llm.common import batch_bytes, stage, table
 from tagseries.llm.decontaminate import decontaminate
@@ -36,23 +37,27 @@ def _free(name: str, names: list[str]) -> str:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with its row key.  Rows with an id come before rows without."""
+    """``docs`` with its row key.  Rows with an id come before rows without.  All fields of the key may be null, as they
+    may in a key read from a table, so that the two are of one type and are joined without a cast."""
     name = ROW
     while any(c.lower().startswith(name) for c in docs.columns):  # an input column of that name stays what it is
         name += "_"
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text").isNull().alias("no_text"),
                    F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
-    out = docs.withColumn(name, key)
+    kinds = [T.BooleanType(), docs.select("doc_id").schema[0].dataType, T.BooleanType(), T.LongType(), T.LongType()]
+    fields = zip(("no_id", "id", "no_text", "a", "b"), kinds, strict=True)
+    out = docs.withColumn(name, key.cast(T.StructType([T.StructField(n, kind) for n, kind in fields])))
     out.row_key = name
     return out
 
 
 def _by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """Rows of the keyed ``docs`` whose key is (semi) or is not (anti) in ``rows(row_)``, without the key."""
+    """Rows of the keyed ``docs`` whose key is (semi) or is not (anti) in ``rows(row_)``.  A key is never null, and null
+    fields of two keys are equal, so plain equality holds, and what is dealt by key need not be dealt again."""
     name = docs.row_key
     keys = rows.select(F.col(name).alias(name + "key")).distinct()
-    return docs.join(keys, docs[name].eqNullSafe(keys[name + "key"]), how)
+    return docs.join(keys, docs[name] == keys[name + "key"], how)
 
 
 def _found(rows: DataFrame) -> DataFrame:

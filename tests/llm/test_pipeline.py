@@ -120,6 +120,18 @@ def test_rows_are_judged_one_by_one(spark, tmp_path):
         assert f(spark, none, str(tmp_path)).count() == 0
 
 
+def test_texts_are_dealt_by_key_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (None, None), (None, "x"), (None, "x")], "doc_id bigint, text string")
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(key, before)
+    dealt = [line for line in plan.split("\n") if "Exchange" in line and "row_#" in line]
+    assert len(dealt) == 1 and "hashpartitioning(row_#" in dealt[0], plan  # the join deals by what rows are made distinct by
+    assert sorted((x.doc_id or 0, x.text or "") for x in out.collect()) == [(0, ""), (0, "x"), (1, "a b c d e f")]
+
+
 def test_one_query_per_operator():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)
